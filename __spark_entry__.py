@@ -246,7 +246,9 @@ ROAD = "b.road = s.road AND b.code = s.code"
 LANE = "b.code = s.code"
 TIME = "abs(b.t - s.t) <= 10000000"
 TIME_GAP, CHAIN_GAP = "abs(b.t - s.t)", "abs(b.c - s.c)"
-CENTIMETRE_FREE = f"round({DIST_SQL}, 6)"
+MICROMETRES = f"round({DIST_SQL}, 6)"
+# Up to this many possible pairs, no distance is forced on the match.
+SMALL = "((SELECT count(*) FROM b) * (SELECT count(*) FROM s) <= 10000000)"
 
 
 def _pair_sql(on: str) -> str:
@@ -272,7 +274,7 @@ def _best_sql(on: str, order: str, supp: str = "s") -> str:
 
 
 DEFAULT_BEST = _best_cte(f"{ROAD} AND {TIME} AND {CHAIN_GAP} <= 5 AND {NEAR}",
-                         f"{TIME_GAP}, {CENTIMETRE_FREE}")
+                         f"{TIME_GAP}, {MICROMETRES}")
 DEFAULT_MERGE = """SELECT b.rec_id, b.road AS "RoadName", b.code AS "Lane", b.latitude, b.longitude,
     b.chainage, b.road_id, b.region_id, b."TestDateUTC", m.tsd_d0, m."Filename",
     CAST(floor(tgap / 1000000) AS bigint) AS time_diff_seconds, cgap AS chainage_diff_meters
@@ -318,9 +320,9 @@ def oracle_sql() -> dict[str, str]:
         "tolerance_distance_only": _pair_sql(f"{LANE} AND {NEAR}"),
         "tolerance_spatial_off": _pair_sql(f"{ROAD} AND {TIME} AND {CHAIN_GAP} <= 5"),
         "tolerance_time_lane": _pair_sql(f"{LANE} AND {TIME}"),
-        "best_by_time": _best_sql(f"{near20} AND {TIME}", f"{TIME_GAP}, {CENTIMETRE_FREE}"),
-        "best_by_chainage": _best_sql(near20, f"{CHAIN_GAP}, {CENTIMETRE_FREE}"),
-        "best_by_distance": _best_sql(f"{LANE} AND {NEAR}", CENTIMETRE_FREE),
+        "best_by_time": _best_sql(f"{near20} AND {TIME}", f"{TIME_GAP}, {MICROMETRES}"),
+        "best_by_chainage": _best_sql(near20, f"{CHAIN_GAP}, {MICROMETRES}"),
+        "best_by_distance": _best_sql(f"{LANE} AND {NEAR}", MICROMETRES),
         "best_first": _sql(f"""SELECT b.rec_id, f.rec_id AS rec_id_lmd,
             CAST(floor(abs(b.t - f.t) / 1000000) AS bigint) AS time_diff_seconds,
             abs(b.c - f.c) AS chainage_diff_meters
@@ -329,7 +331,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_default": _sql(DEFAULT_MERGE, DEFAULT_BEST),
         "merge_distance": _sql("""SELECT b.rec_id, sid AS rec_id_lmd, round(dist, 3) AS dist_m
             FROM b LEFT JOIN best ON bid = b.rec_id""",
-            _best_cte(f"{LANE} AND {TIME} AND {NEAR}", f"{TIME_GAP}, {CENTIMETRE_FREE}")),
+            _best_cte(f"{LANE} AND {TIME} AND {NEAR}", f"{TIME_GAP}, {MICROMETRES}")),
         "merge_range": _best_sql(f"{inside} AND {road_lane_any}", CHAIN_GAP, "r"),
         "merge_range_mixed": _best_sql(f"{inside} AND {road_lane_any} AND {CHAIN_GAP} <= 5", CHAIN_GAP, "r"),
         "merge_blocked": _best_sql(f"{ROAD} AND {TIME} AND {CHAIN_GAP} <= 5", TIME_GAP),
@@ -338,8 +340,10 @@ def oracle_sql() -> dict[str, str]:
             f"b.road IS NOT DISTINCT FROM s.road AND {LANE} AND {TIME}", TIME_GAP),
         "merge_cross": _best_sql(f"{LANE} AND {TIME}", TIME_GAP),
         "strategy_auto": _best_sql(f"{ROAD} AND {TIME} AND {CHAIN_GAP} <= 5 AND {NEAR}",
-                                   f"{TIME_GAP}, {CENTIMETRE_FREE}"),
-        "strategy_auto_forced": _best_sql(f"{LANE} AND {TIME} AND {NEAR}", f"{TIME_GAP}, {CENTIMETRE_FREE}"),
+                                   f"{TIME_GAP}, {MICROMETRES}"),
+        "strategy_auto_forced": _best_sql(
+            f"{LANE} AND {TIME} AND ({SMALL} OR ({NEAR}))",
+            f"{TIME_GAP}, CASE WHEN NOT {SMALL} THEN {MICROMETRES} END"),
         "suffix_conflicts": _sql("""SELECT b.rec_id, b.road AS "RoadName", b.code AS "Lane", b.latitude,
             b.longitude, b.chainage, b.road_id, b.region_id, b."TestDateUTC", 'x' AS "Filename_s",
             'y' AS "Filename", m."Filename" AS "Filename_s2", m.tsd_d0, m.code AS "Lane_s",

@@ -6,9 +6,13 @@ see FIXTURES.md for the shape of the values.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymatch.session import checkpoint_folder
+
 LANE_RAW = """CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN ' L2' WHEN 'purchase' THEN 'R1'
     WHEN 'signup' THEN 'L1 ' ELSE 'X9' END"""
 LANES_RAW = """CASE WHEN event_id % 3 = 0 THEN 'ALL' WHEN event_type = 'view' THEN 'L1'
@@ -79,21 +83,39 @@ def _filled(expression: str, spark: bool) -> str:
             .replace("{time:supp}", _time(SUPP_MS, spark)))
 
 
-def _table(spark: SparkSession, sf_dir: str, columns: dict) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select(*[F.expr(_filled(e, True)).alias(n) for n, e in columns.items()])
+# Folders written by this application, by data folder and table.
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, columns: dict) -> DataFrame:
+    """The derived table, written once to the shared folder and read from there.
+
+    A survey reaches a merge as stored text; deriving it anew inside each plan
+    would put the cost of making the text into every query.
+    """
+    context = spark.sparkContext
+    key = (context.applicationId, sf_dir, name)
+    if key not in _written:
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        rows = events.select(*[F.expr(_filled(e, True)).alias(n) for n, e in columns.items()])
+        # The given file is one row group, which one task would read alone.
+        spread = rows.repartition(context.defaultParallelism, "rec_id")
+        path = f"{checkpoint_folder(spark)}/survey-{uuid.uuid4().hex}/{name}"
+        spread.write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
 
 
 def base_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, BASE)
+    return _table(spark, sf_dir, "base", BASE)
 
 
 def supp_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, SUPP)
+    return _table(spark, sf_dir, "points", SUPP)
 
 
 def supp_range_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, RANGES)
+    return _table(spark, sf_dir, "intervals", RANGES)
 
 
 # --- the same tables in SQL -------------------------------------------------

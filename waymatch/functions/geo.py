@@ -21,8 +21,9 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     up = F.sin((p2 - p1) / 2)
     across = F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     half = up * up + F.cos(p1) * F.cos(p2) * across * across
-    root = F.sqrt(F.greatest(half, F.lit(0.0)))
-    return F.asin(F.least(root, F.lit(1.0))) * (2 * EARTH_RADIUS_M)
+    # Rounding may step out of 0..1; greatest() and least() would hide a null.
+    bounded = F.when(half < 0.0, 0.0).when(half > 1.0, 1.0).otherwise(half)
+    return F.asin(F.sqrt(bounded)) * (2 * EARTH_RADIUS_M)
 
 
 def _on_globe(lat: Column, lon: Column) -> tuple[Column, Column]:

@@ -11,9 +11,9 @@ from waymatch import config as C
 from waymatch.config import MatchConfig
 from waymatch.functions.geo import haversine_m
 from waymatch.operators.prepare import raw_columns
-from waymatch.operators.rules import MatchRules, all_of, both_timed
+from waymatch.operators.rules import MatchRules, both_timed
 from waymatch.operators.search import base_columns
-from waymatch.session import case_sensitive, quoted
+from waymatch.session import all_of, case_sensitive, quoted
 
 log = logging.getLogger(__name__)
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from waymatch.operators import buckets
 from waymatch.operators.rules import (
     MatchRules,
-    all_of,
     base_fields,
     chain_gap,
     check_columns,
@@ -25,6 +24,7 @@ from waymatch.operators.rules import (
     supp_fields,
     time_gap,
 )
+from waymatch.session import all_of
 
 # Attributes of both sides that travel with a pair.
 CARRIED = ("road", "lane", "time", "chain")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from waymatch import config as C
 from waymatch.functions.text import lane_code, lenient_double, strip, survey_micros
-from waymatch.session import quoted
+from waymatch.session import all_of, quoted
 
 log = logging.getLogger(__name__)
 
@@ -63,13 +63,13 @@ def _prepare(df: DataFrame, key: str | None, found: dict, numbers: dict, needed)
     else:
         added["_m_time"] = F.lit(None).cast("long")
 
-    ready = df.withColumns(added)
+    kept = []
     if found["lane"]:
-        ready = ready.where(F.col("_m_lane").isin(*C.VALID_LANES))
+        kept.append(F.col("_m_lane").isin(*C.VALID_LANES))
     if has_time(df):
-        ready = ready.where(F.col("_m_time").isNotNull())
-    for role in needed:
-        ready = ready.where(F.col(f"_m_{role}").isNotNull())
+        kept.append(F.col("_m_time").isNotNull())
+    kept += [F.col(f"_m_{role}").isNotNull() for role in needed]
+    ready = df.withColumns(added).where(all_of(kept))
     row_id = F.col(quoted(key)).cast("long") if key else F.monotonically_increasing_id()
     return ready.withColumn("_m_id", row_id)
 

@@ -12,7 +12,7 @@ from waymatch.config import MatchConfig
 from waymatch.functions.geo import haversine_m
 from waymatch.functions.text import finite, spoken_double
 from waymatch.operators.prepare import has_time
-from waymatch.session import quoted
+from waymatch.session import all_of, quoted
 
 SECOND = 1_000_000
 
@@ -131,12 +131,11 @@ def _source(field: str) -> Column:
 
 def _usable(df: DataFrame, prefix: str, rules: MatchRules) -> DataFrame:
     """Drop rows that can match nothing: a missing key or a non-number."""
-    for field in rules.equal:
-        df = df.where(F.col(prefix + field).isNotNull())
+    tests = [F.col(prefix + field).isNotNull() for field in rules.equal]
     for field in rules.values:
         value = F.col(prefix + field)
-        df = df.where(value.isNotNull() if field == "time" else finite(value))
-    return df
+        tests.append(value.isNotNull() if field == "time" else finite(value))
+    return df.where(all_of(tests))
 
 
 def base_fields(base: DataFrame, rules: MatchRules, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -227,10 +226,3 @@ def order_columns(rules: MatchRules) -> list[Column]:
     if rules.max_dist_m is not None:
         order.append(F.round(distance(), 6).alias("dist"))
     return [*order, F.col("s_id")]
-
-
-def all_of(tests) -> Column:
-    condition = F.lit(True)
-    for position, test in enumerate(tests):
-        condition = test if position == 0 else condition & test
-    return condition

@@ -16,14 +16,13 @@ from waymatch.config import MatchConfig
 from waymatch.operators import buckets
 from waymatch.operators.rules import (
     MatchRules,
-    all_of,
     base_points,
     key_condition,
     order_columns,
     residual_condition,
     supp_points,
 )
-from waymatch.session import saved
+from waymatch.session import all_of, saved, saved_both
 
 # A list of hot buckets is sent to the executors, so its length is limited.
 # Where there are more, every bucket is treated as hot.
@@ -130,9 +129,12 @@ def nearest_on_line(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRule
 # --- several numbers: bucket join -------------------------------------------
 
 def _in_buckets(base_keys, supp_keys, rules: MatchRules, cfg: MatchConfig) -> DataFrame:
-    kinds = buckets.usual(rules)
-    base, supp, names = buckets.place(base_keys, supp_keys, rules, kinds)
-    if cfg.hot_bucket_rows is None:
+    watch = cfg.hot_bucket_rows is not None
+    if watch:
+        # Read twice, by the count of the buckets and by the search.
+        base_keys, supp_keys = saved_both(base_keys, supp_keys)
+    base, supp, names = buckets.place(base_keys, supp_keys, rules, buckets.usual(rules))
+    if not watch:
         return _top(base, supp, rules, names)
     hot, crowds = _hot_buckets(base, supp, rules, names, cfg.hot_bucket_rows)
     if not crowds:
@@ -207,7 +209,7 @@ def _climb(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules) -> Dat
     settle on the first steps, where buckets are small; every row not settled
     goes on, up to the full limit, so nothing is lost.
     """
-    left, supp_keys = saved(base_keys), saved(supp_keys)
+    left, supp_keys = saved_both(base_keys, supp_keys)
     settled = []
     for step in _steps(rules):
         base, supp, names = buckets.place(left, supp_keys, step, buckets.available(step))

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def quoted(name: str):
@@ -12,6 +16,11 @@ def quoted(name: str):
     return "`" + name.replace("`", "``") + "`"
 
 
+def all_of(tests) -> Column:
+    """Conjunction of conditions; true if there are none."""
+    return reduce(and_, tests) if tests else F.lit(True)
+
+
 def case_sensitive(spark: SparkSession) -> bool:
     return spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
 
@@ -36,3 +45,10 @@ def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def saved_both(one: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``saved`` for two frames at a time: neither has to wait for the other."""
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.map(saved, (one, other))
+    return first, second
