@@ -352,9 +352,9 @@ def oracle_sql() -> dict[str, str]:
             FROM b LEFT JOIN best ON bid = b.rec_id LEFT JOIN s m ON m.rec_id = sid""", DEFAULT_BEST),
         "match_report": _sql("""SELECT count(*) AS base_rows, count(sid) AS matched_rows,
             round(count(sid) * 100.0 / count(*), 6) AS match_rate_pct,
-            round(min(floor(tgap / 1000000)), 6) AS min_time_diff_s,
+            CAST(min(floor(tgap / 1000000)) AS bigint) AS min_time_diff_s,
             round(avg(floor(tgap / 1000000)), 6) AS avg_time_diff_s,
-            round(max(floor(tgap / 1000000)), 6) AS max_time_diff_s,
+            CAST(max(floor(tgap / 1000000)) AS bigint) AS max_time_diff_s,
             round(min(cgap), 6) AS min_chainage_diff_m, round(avg(cgap), 6) AS avg_chainage_diff_m,
             round(max(cgap), 6) AS max_chainage_diff_m
             FROM b LEFT JOIN best ON bid = b.rec_id""", DEFAULT_BEST),

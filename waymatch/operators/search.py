@@ -28,6 +28,9 @@ from waymatch.session import all_of, saved, saved_both
 # Where there are more, every bucket is treated as hot.
 HOT_BUCKETS = 1000
 
+# Tasks that share the last look through one hot bucket.
+SALTS = 16
+
 # Shares of the rank limit tried one after the other in a hot bucket.
 LADDER = (1 / 4096, 1 / 256, 1 / 16)
 # Chainage steps (metres) tried first where the rank has no limit of its own.
@@ -54,12 +57,23 @@ def base_columns(rules: MatchRules) -> list[str]:
     return [f"b_{f}" for f in rules.fields]
 
 
+def same_fields(rules: MatchRules, names, left: str, right: str) -> list:
+    """Equality of fields under two prefixes.
+
+    Only keys that may be missing need the null-safe form; plain equality lets
+    a join reuse the partitioning its input already has.
+    """
+    return [
+        F.col(left + n).eqNullSafe(F.col(right + n)) if n in rules.same
+        else F.col(left + n) == F.col(right + n)
+        for n in names
+    ]
+
+
 def without(points: DataFrame, settled: DataFrame, rules: MatchRules) -> DataFrame:
     """Base points that are not among the settled ones."""
-    columns = base_columns(rules)
-    done = settled.select(*[F.col(c).alias(f"done_{c}") for c in columns])
-    same = [F.col(c).eqNullSafe(F.col(f"done_{c}")) for c in columns]
-    return points.join(done, all_of(same), "left_anti")
+    done = settled.select(*[F.col(f"b_{f}").alias(f"done_{f}") for f in rules.fields])
+    return points.join(done, all_of(same_fields(rules, rules.fields, "b_", "done_")), "left_anti")
 
 
 # --- one number: nearest neighbour on a line --------------------------------
@@ -107,8 +121,7 @@ def nearest_on_line(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRule
     }).where("wanted")
     near = near.join(
         ends,
-        all_of([F.col("part") == F.col("end_part"),
-                *[F.col(k).eqNullSafe(F.col(f"end_{k}")) for k in keys]]),
+        all_of([F.col("part") == F.col("end_part"), *same_fields(rules, keys, "", "end_")]),
         "left",
     )
 
@@ -141,8 +154,8 @@ def _in_buckets(base_keys, supp_keys, rules: MatchRules, cfg: MatchConfig) -> Da
         return _top(base, supp, rules, names)
     if crowds > HOT_BUCKETS:
         return _climb(base_keys, supp_keys, rules)
-    hot_base = _inside(base, "b_", hot).select(*base_columns(rules)).distinct()
-    hot_supp = _inside(supp, "s_", hot).drop(*[f"s_{n}" for n in names]).distinct()
+    hot_base = _inside(base, "b_", hot, rules).select(*base_columns(rules)).distinct()
+    hot_supp = _inside(supp, "s_", hot, rules).drop(*[f"s_{n}" for n in names]).distinct()
     cold = without(base, hot_base, rules)
     return _top(cold, supp, rules, names).unionByName(_climb(hot_base, hot_supp, rules))
 
@@ -163,10 +176,10 @@ def _hot_buckets(base, supp, rules, names, limit) -> tuple[DataFrame, int]:
     return base.sparkSession.createDataFrame(rows, counted.schema), len(rows)
 
 
-def _inside(df: DataFrame, prefix: str, hot: DataFrame) -> DataFrame:
+def _inside(df: DataFrame, prefix: str, hot: DataFrame, rules: MatchRules) -> DataFrame:
     """Rows lying in one of the hot buckets, a list of at most HOT_BUCKETS."""
-    same = [F.col(prefix + c).eqNullSafe(F.col(f"hot_{c}")) for c in hot.columns]
     listed = hot.select(*[F.col(c).alias(f"hot_{c}") for c in hot.columns])
+    same = same_fields(rules, hot.columns, prefix, "hot_")
     return df.join(F.broadcast(listed), all_of(same), "left_semi")
 
 
@@ -216,6 +229,11 @@ def _climb(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules) -> Dat
         found = saved(_top(base, supp, step, names))
         settled.append(found)
         left = without(left, found, rules)
+    # What is left in a crowd found nothing near: the rest of its bucket has to
+    # be looked through, by several tasks.
     base, supp, names = buckets.place(left, supp_keys, rules, buckets.available(rules))
-    settled.append(_top(base, supp, rules, names))
+    salt = F.pmod(F.hash(*base_columns(rules)), F.lit(SALTS))
+    base = base.withColumn("b_salt", salt)
+    supp = supp.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    settled.append(_top(base, supp, rules, [*names, "salt"]))
     return reduce(DataFrame.unionByName, settled)
