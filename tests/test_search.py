@@ -33,8 +33,9 @@ def matches(result):
 
 @pytest.mark.parametrize("case", CASES)
 @pytest.mark.parametrize("crowd", [False, True])
-def test_search_equals_brute_force(spark, case, crowd):
+def test_search_equals_brute_force(spark, monkeypatch, case, crowd):
     strategy, flags = CASES[case]
+    monkeypatch.setattr(search, "CROWD", 8)     # so that small crowds are stepped into
     base = brute.survey(120, f"b{case}", crowd=crowd)
     supp = brute.survey(150, f"s{case}", crowd=crowd)
     # A threshold of 20 rows makes nearly every bucket a hot one.
@@ -55,8 +56,10 @@ def test_more_hot_buckets_than_a_list_may_hold(spark, monkeypatch):
     assert matches(result) == brute.best(base, supp, rules_for("spatial", cfg, True))
 
 
-def test_one_moment_for_all_is_told_apart_by_distance(spark):
+def test_one_moment_for_all_is_told_apart_by_distance(spark, monkeypatch):
+    monkeypatch.setattr(search, "CROWD", 8)
     rng = random.Random(5)
+
     def rows(count):
         return [(i, "A", "L1", -27 + rng.uniform(0, 0.0005), 153 + rng.uniform(0, 0.0005), 7.0, 0)
                 for i in range(count)]

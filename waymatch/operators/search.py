@@ -31,10 +31,17 @@ HOT_BUCKETS = 1000
 # Tasks that share the last look through one hot bucket.
 SALTS = 16
 
-# Shares of the rank limit tried one after the other in a hot bucket.
-LADDER = (1 / 4096, 1 / 256, 1 / 16)
-# Chainage steps (metres) tried first where the rank has no limit of its own.
-OPEN_LADDER_M = (0.25, 4.0, 64.0)
+# A first step into a crowd is narrow enough to leave no more than CROWD points
+# in a bucket; the next steps widen the limit by STRIDE (in area or length) until
+# the last one takes the full limit.
+CROWD = 64
+STRIDE = 16
+TRIES = 6
+# Steps finer than this (metres, seconds) part nothing that matters.
+FINEST = {"dist": 1e-3, "chain": 1e-5, "time": 1e-6}
+
+# Reach (metres) of the steps where the rank has no limit of its own.
+OPEN_REACH_M = 64.0
 
 
 def find_best(base: DataFrame, supp: DataFrame, rules: MatchRules, cfg: MatchConfig) -> DataFrame:
@@ -149,19 +156,20 @@ def _in_buckets(base_keys, supp_keys, rules: MatchRules, cfg: MatchConfig) -> Da
     base, supp, names = buckets.place(base_keys, supp_keys, rules, buckets.usual(rules))
     if not watch:
         return _top(base, supp, rules, names)
-    hot, crowds = _hot_buckets(base, supp, rules, names, cfg.hot_bucket_rows)
-    if not crowds:
+    hot, largest = _hot_buckets(base, supp, rules, names, cfg.hot_bucket_rows)
+    if hot is None:
         return _top(base, supp, rules, names)
-    if crowds > HOT_BUCKETS:
-        return _climb(base_keys, supp_keys, rules)
+    if hot.count() > HOT_BUCKETS:
+        return _climb(base_keys, supp_keys, rules, largest)
     hot_base = _inside(base, "b_", hot, rules).select(*base_columns(rules)).distinct()
     hot_supp = _inside(supp, "s_", hot, rules).drop(*[f"s_{n}" for n in names]).distinct()
     cold = without(base, hot_base, rules)
-    return _top(cold, supp, rules, names).unionByName(_climb(hot_base, hot_supp, rules))
+    return _top(cold, supp, rules, names).unionByName(_climb(hot_base, hot_supp, rules, largest))
 
 
-def _hot_buckets(base, supp, rules, names, limit) -> tuple[DataFrame, int]:
-    """Buckets above ``limit`` rows, counted before any pair is formed.
+def _hot_buckets(base, supp, rules, names, limit) -> tuple[DataFrame | None, int]:
+    """Buckets above ``limit`` rows and the size of the largest, counted before
+    any pair is formed.
 
     At most one row more than HOT_BUCKETS comes back to the driver.
     """
@@ -169,11 +177,14 @@ def _hot_buckets(base, supp, rules, names, limit) -> tuple[DataFrame, int]:
     sides = [df.select(*[F.col(p + c).alias(c) for c in columns])
              for df, p in ((base, "b_"), (supp, "s_"))]
     counted = (
-        sides[0].unionByName(sides[1]).groupBy(*columns).count()
-        .where(F.col("count") > limit).drop("count").limit(HOT_BUCKETS + 1)
+        sides[0].unionByName(sides[1]).groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"))
+        .where(F.col("rows") > limit).orderBy(F.desc("rows")).limit(HOT_BUCKETS + 1)
     )
-    rows = counted.collect()
-    return base.sparkSession.createDataFrame(rows, counted.schema), len(rows)
+    found = counted.collect()
+    if not found:
+        return None, 0
+    hot = base.sparkSession.createDataFrame(found, counted.schema).drop("rows")
+    return hot, found[0]["rows"]
 
 
 def _inside(df: DataFrame, prefix: str, hot: DataFrame, rules: MatchRules) -> DataFrame:
@@ -194,27 +205,75 @@ def _top(base: DataFrame, supp: DataFrame, rules: MatchRules, names: list[str])
     pairs = base.join(supp, condition & residual_condition(rules))
     columns = base_columns(rules)
     extra = [] if "level" in names else [f"b_{n}" for n in names]
+    # Numbers lead the sort of the aggregate: they tell points apart at once.
+    numbers_first = columns[len(rules.keys):] + columns[:len(rules.keys)]
     best = F.min(F.struct(*order_columns(rules))).alias("best")
-    return pairs.groupBy(*extra, *columns).agg(best).select(
+    return pairs.groupBy(*numbers_first, *extra).agg(best).select(
         *columns, F.col("best.s_id").alias("s_id"))
 
 
-def _steps(rules: MatchRules) -> list[MatchRules]:
+def _shares(first: float, stride: float = STRIDE) -> list[float]:
+    """Shares of a limit from the first to nearly all."""
+    shares = []
+    while first < 0.5:
+        shares.append(first)
+        first *= stride
+    return shares
+
+
+def _first_share(supp_keys: DataFrame, rules: MatchRules, limited, size: int,
+                 power: float, lowest: float) -> float:
+    """A share of the limit small enough to break up the largest bucket.
+
+    Points may crowd in a small part of a bucket, so the guess made from the
+    bucket's size is checked and made again.  Equal points cannot be parted;
+    the guesses end at the ``lowest`` share.
+    """
+    share = 1.0
+    for _ in range(TRIES):
+        if size <= CROWD or share <= lowest:
+            break
+        share = max(share * (CROWD / 4 / size) ** power, lowest)
+        step = limited(share)
+        # Only the supplement side is of interest, so it stands in for both.
+        mirror = supp_keys.select(*[F.col(f"s_{f}").alias(f"b_{f}") for f in rules.fields])
+        placed, _, names = buckets.place(mirror, supp_keys, step, buckets.available(step))
+        size = _largest(placed, [f"b_{c}" for c in [*rules.keys, *names]])
+    return share
+
+
+def _largest(df: DataFrame, columns: list[str]) -> int:
+    counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.agg(F.max("rows")).first()[0] or 0
+
+
+def _steps(supp_keys: DataFrame, rules: MatchRules, crowd: int) -> list[MatchRules]:
     """Ever larger limits, all below the real ones."""
-    if rules.rank_limit is None:
-        return [rules.with_rank_limit(m) for m in OPEN_LADDER_M]
-    if rules.max_dist_m is None:
-        return [rules.with_rank_limit(rules.rank_limit * share) for share in LADDER]
-    # Distances are ranked in whole micrometres, so a step ends between two.
-    near = [round(rules.max_dist_m * share, 6) + 5e-7 for share in LADDER]
-    if rules.rank == "dist":
-        return [rules.with_rank_limit(m) for m in near]
-    # Crowds at one moment (or chainage) are told apart by distance.
-    level = [replace(rules.with_rank_limit(0), max_dist_m=m) for m in near]
-    return level + [rules.with_rank_limit(rules.rank_limit * share) for share in LADDER]
-
-
-def _climb(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules) -> DataFrame:
+    steps = []
+    if rules.max_dist_m is not None:
+        # Distances are ranked in whole micrometres, so a step ends between two.
+        near = lambda share: round(rules.max_dist_m * share, 6) + 5e-7
+        if rules.rank == "dist":
+            limited = lambda share: rules.with_rank_limit(near(share))
+            size = crowd
+        else:
+            # A crowd at one moment (or chainage) is told apart by distance.
+            still = rules.with_rank_limit(0)
+            limited = lambda share: replace(still, max_dist_m=near(share))
+            size = _largest(supp_keys, [*[f"s_{k}" for k in rules.keys], f"s_{rules.rank}"])
+        lowest = FINEST["dist"] / rules.max_dist_m
+        first = _first_share(supp_keys, rules, limited, size, 0.5, lowest)
+        steps = [limited(share) for share in _shares(first, STRIDE ** 0.5)]
+        if rules.rank == "dist":
+            return steps
+    whole = OPEN_REACH_M if rules.rank_limit is None else rules.rank_limit
+    limited = lambda share: rules.with_rank_limit(whole * share)
+    first = _first_share(supp_keys, rules, limited, crowd, 1.0, FINEST[rules.rank] / whole)
+    steps += [limited(share) for share in _shares(first)]
+    return [*steps, limited(1.0)] if rules.rank_limit is None else steps
+
+
+def _climb(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules, crowd: int) -> DataFrame:
     """Search crowded places with a small limit first, then a larger one.
 
     A match within a small limit of the rank beats everything outside it, so
@@ -224,16 +283,29 @@ def _climb(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules) -> Dat
     """
     left, supp_keys = saved_both(base_keys, supp_keys)
     settled = []
-    for step in _steps(rules):
+    for step in _steps(supp_keys, rules, crowd):
         base, supp, names = buckets.place(left, supp_keys, step, buckets.available(step))
-        found = saved(_top(base, supp, step, names))
+        found = saved(_top(_spread(base, step, names), supp, step, names))
         settled.append(found)
-        left = without(left, found, rules)
+        left = saved(without(left, found, rules))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
     # What is left in a crowd found nothing near: the rest of its bucket has to
     # be looked through, by several tasks.
     base, supp, names = buckets.place(left, supp_keys, rules, buckets.available(rules))
     salt = F.pmod(F.hash(*base_columns(rules)), F.lit(SALTS))
     base = base.withColumn("b_salt", salt)
     supp = supp.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    settled.append(_top(base, supp, rules, [*names, "salt"]))
+    names = [*names, "salt"]
+    settled.append(_top(_spread(base, rules, names), supp, rules, names))
     return reduce(DataFrame.unionByName, settled)
+
+
+def _spread(base: DataFrame, rules: MatchRules, names: list[str]) -> DataFrame:
+    """Partition for the coming join by a fixed number.
+
+    The work in a crowd is far larger than its bytes, by which adaptive
+    execution would merge the partitions.
+    """
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return base.repartition(parts, *[f"b_{c}" for c in [*rules.keys, *names]])
