@@ -19,6 +19,11 @@ WHITESPACE = (
 # letter ("1.5d") and surrounding blanks.
 NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
 
+_DIGITS = "[0-9](_?[0-9])*"
+SPOKEN_NUMBER = (
+    rf"(?U)^\s*[+-]?(({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?|(?i:inf|infinity|nan))\s*$"
+)
+
 SHORT_YEAR = "d/M/yy H:m:s[.SSSSSSSSS]X"
 LONG_YEAR = "d/M/yyyy H:m:s[.SSSSSSSSS]X"
 ISO = "yyyy-M-d'T'H:m:s[.SSSSSSSSS]'Z'X"
@@ -46,8 +51,8 @@ def lenient_double(df: DataFrame, name: str, column: Column) -> Column:
 def spoken_double(column: Column) -> Column:
     """As ``lenient_double``, but also takes blanks around the number and
     underscores between digits, which interval ends may carry."""
-    text = F.regexp_replace(strip(column), r"(?<=[0-9])_(?=[0-9])", "")
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    text = column.cast("string")
+    return F.when(text.rlike(SPOKEN_NUMBER), F.translate(strip(text), "_", "").try_cast("double"))
 
 
 def survey_micros(df: DataFrame, name: str, column: Column) -> Column:
@@ -74,4 +79,6 @@ def survey_micros(df: DataFrame, name: str, column: Column) -> Column:
 
 
 def finite(column: Column) -> Column:
-    return column.isNotNull() & ~F.isnan(column) & (F.abs(column) != float("inf"))
+    """Present, a number and not infinite.  In Spark's order NaN comes after
+    infinity, so one comparison covers all three."""
+    return F.abs(column) < float("inf")

@@ -55,9 +55,10 @@ def _interval(base: DataFrame, supp: DataFrame, rules: MatchRules):
     """Bins sized to each interval, so that none is copied more than twice.
 
     An interval goes to the level whose bin is at least as long as itself.  Base
-    rows look into every level that occurs, at most one per power of two.
+    rows look into every level that occurs, at most one per power of two.  A
+    reversed interval contains nothing; it just must not fill many bins.
     """
-    length = F.greatest(F.col("s_end") - F.col("s_start"), F.lit(1.0))
+    length = F.greatest(F.abs(F.col("s_end") - F.col("s_start")), F.lit(1.0))
     level = (F.ceil(F.log2(length)) + 1).cast("int")
     width = F.pow(F.lit(2.0), F.col("s_level"))
     supp = supp.withColumn("s_level", level)

@@ -169,8 +169,7 @@ def supp_fields(supp: DataFrame, rules: MatchRules, extra: tuple[str, ...] = ())
         columns["s_lane"] = F.explode(F.when(lanes == C.ANY_LANE, every).otherwise(F.array(lanes)))
     rows = supp.select(*[value.alias(name) for name, value in columns.items()])
     if rules.inside_interval:
-        rows = rows.where(
-            finite(F.col("s_start")) & finite(F.col("s_end")) & (F.col("s_start") <= F.col("s_end")))
+        rows = rows.where(finite(F.col("s_start")) & finite(F.col("s_end")))
     return _usable(rows, "s_", rules)
 
 
