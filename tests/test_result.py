@@ -99,6 +99,16 @@ def test_odd_column_names(spark):
     assert (row["a.b c"], row["d.e`f"]) == ("p", "q")
 
 
+def test_raw_columns_named_like_internal_ones(spark):
+    names = ", p_time string, b_lane string, s_id string, gap string"
+    base, supp = one_each(spark, names, names, ("1", "2", "3", "4"), ("5", "6", "7", "8"))
+    cfg = MatchConfig(supp_columns=("s_id", "gap"), base_key="rec_id", supp_key="rec_id")
+    row = {r["rec_id"]: r for r in merge(base, supp, cfg).collect()}[1]
+    assert [row[c] for c in ("p_time", "b_lane", "s_id", "gap", "s_id_lmd", "gap_lmd")] == list("123478")
+    with pytest.raises(ValueError, match="reserved"):
+        prepare_base(base.withColumnRenamed("p_time", "_m_time"))
+
+
 def test_legacy_drop_and_distance(spark):
     base, supp = one_each(spark)
     keys = {"base_key": "rec_id", "supp_key": "rec_id", "supp_columns": ("Lane", "RoadName")}

@@ -88,14 +88,17 @@ def assemble(base: DataFrame, supp: DataFrame, best: DataFrame, rules: MatchRule
     if cfg.legacy_drop:
         plan = {n: out for n, out in plan.items() if out not in LEGACY_DROPPED}
 
-    picked = {"p_id": F.col("_m_id"), "p_time": F.col("_m_time"), "p_chain": F.col("_m_chain"),
-              "p_lat": F.col("_m_lat"), "p_lon": F.col("_m_lon")}
-    payload = {name: f"p_col{i}" for i, name in enumerate(plan)}
+    # Everything joined to the base carries the private prefix, so that no raw
+    # column name can clash with it.
+    picked = {"_m_p_id": F.col("_m_id"), "_m_p_time": F.col("_m_time"),
+              "_m_p_chain": F.col("_m_chain"), "_m_p_lat": F.col("_m_lat"), "_m_p_lon": F.col("_m_lon")}
+    payload = {name: f"_m_p_col{i}" for i, name in enumerate(plan)}
     for name, inner in payload.items():
         picked[inner] = F.col(quoted(offered[name]))
-    found = best.join(
+    points = best.select(*[F.col(c).alias(f"_m_{c}") for c in best.columns])
+    found = points.join(
         supp.select(*[value.alias(name) for name, value in picked.items()]),
-        F.col("s_id") == F.col("p_id"))
+        F.col("_m_s_id") == F.col("_m_p_id"))
     if rules.rank is None and rules.keys == ("lane",):
         found = F.broadcast(found)      # one row per valid lane, six at most
 
@@ -104,12 +107,12 @@ def assemble(base: DataFrame, supp: DataFrame, best: DataFrame, rules: MatchRule
     for name, out in plan.items():
         columns[out] = F.col(payload[name])
     if timed:
-        gap = F.abs(F.col("_m_time") - F.col("p_time"))
+        gap = F.abs(F.col("_m_time") - F.col("_m_p_time"))
         columns["time_diff_seconds"] = F.floor(gap / 1_000_000)
-    columns["chainage_diff_meters"] = F.abs(F.col("_m_chain") - F.col("p_chain"))
+    columns["chainage_diff_meters"] = F.abs(F.col("_m_chain") - F.col("_m_p_chain"))
     if cfg.include_distance:
         columns["spatial_dist_m"] = haversine_m(
-            F.col("_m_lat"), F.col("_m_lon"), F.col("p_lat"), F.col("p_lon"))
+            F.col("_m_lat"), F.col("_m_lon"), F.col("_m_p_lat"), F.col("_m_p_lon"))
     if keep_id:
         columns["_m_id"] = F.col("_m_id")
     return joined.select(*[value.alias(name) for name, value in columns.items()])
@@ -118,4 +121,5 @@ def assemble(base: DataFrame, supp: DataFrame, best: DataFrame, rules: MatchRule
 def _same(column: str, rules: MatchRules):
     field = column.removeprefix("b_")
     left = F.col(field if field in ("road_id", "region_id") else f"_m_{field}")
-    return left.eqNullSafe(F.col(column)) if field in rules.same else left == F.col(column)
+    right = F.col(f"_m_{column}")
+    return left.eqNullSafe(right) if field in rules.same else left == right

@@ -53,6 +53,9 @@ def _resolve(df: DataFrame, aliases: dict, given: dict) -> dict:
 
 
 def _prepare(df: DataFrame, key: str | None, found: dict, numbers: dict, needed) -> DataFrame:
+    private = [c for c in df.columns if c.startswith("_m_")]
+    if private:
+        raise ValueError(f"column names starting with _m_ are reserved: {private}")
     added = {f"_m_{role}": number for role, number in numbers.items()}
     if found["road"]:
         added["_m_road"] = strip(F.col(quoted(found["road"])))

@@ -168,17 +168,19 @@ def _in_buckets(base_keys, supp_keys, rules: MatchRules, cfg: MatchConfig) -> Da
 
 
 def _hot_buckets(base, supp, rules, names, limit) -> tuple[DataFrame | None, int]:
-    """Buckets above ``limit`` rows and the size of the largest, counted before
-    any pair is formed.
+    """Buckets of more than ``limit`` rows from both sides together, and the size
+    of the largest, counted before any pair is formed.
 
     At most one row more than HOT_BUCKETS comes back to the driver.
     """
     columns = [*rules.keys, *names]
-    sides = [df.select(*[F.col(p + c).alias(c) for c in columns])
+    sides = [df.select(*[F.col(p + c).alias(c) for c in columns], F.lit(p).alias("side"))
              for df, p in ((base, "b_"), (supp, "s_"))]
     counted = (
-        sides[0].unionByName(sides[1]).groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"))
-        .where(F.col("rows") > limit).orderBy(F.desc("rows")).limit(HOT_BUCKETS + 1)
+        sides[0].unionByName(sides[1]).groupBy(*columns)
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("side").alias("one"), F.max("side").alias("other"))
+        .where((F.col("rows") > limit) & (F.col("one") != F.col("other")))
+        .drop("one", "other").orderBy(F.desc("rows")).limit(HOT_BUCKETS + 1)
     )
     found = counted.collect()
     if not found:
