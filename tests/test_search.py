@@ -40,7 +40,7 @@ def test_search_equals_brute_force(spark, monkeypatch, case, crowd):
     supp = brute.survey(150, f"s{case}", crowd=crowd)
     # A threshold of 20 rows makes nearly every bucket a hot one.
     cfg = MatchConfig(strategy=strategy, max_time_diff_s=3 if crowd else 60, max_chainage_diff_m=5,
-                      hot_bucket_rows=20 if crowd else 10_000, **KEYS, **flags)
+                      hot_bucket_rows=20 if crowd else 2_000, **KEYS, **flags)
     result = merge(brute.as_base(spark, base), brute.as_supp(spark, supp), cfg)
     expected = brute.best(base, supp, rules_for(strategy, cfg, True))
     assert result.count() == len(base)
@@ -122,7 +122,7 @@ def intervals(count, seed, crowd=False):
 def test_interval_search_equals_brute_force(spark, strategy, crowd):
     base_df = brute.as_base(spark, brute.survey(120, "i", crowd=crowd))
     rows = intervals(120, strategy, crowd)
-    cfg = MatchConfig(strategy=strategy, hot_bucket_rows=20 if crowd else 10_000, **KEYS)
+    cfg = MatchConfig(strategy=strategy, hot_bucket_rows=20 if crowd else 2_000, **KEYS)
     result = merge(base_df, spark.createDataFrame(rows, brute.RANGE_SCHEMA), cfg)
     expected = brute.best_interval(base_df.collect(), rows, None if strategy == "range" else 5.0)
     assert matches(result) == expected

@@ -119,7 +119,7 @@ class MatchConfig:
     supp_map: dict[str, str] = field(default_factory=dict)
     include_distance: bool = False
     legacy_drop: bool = False
-    hot_bucket_rows: int | None = 10_000
+    hot_bucket_rows: int | None = 2_000
 
     def __post_init__(self):
         if self.strategy not in STRATEGIES:
