@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import uuid
 from collections.abc import Callable
@@ -196,7 +197,7 @@ def entry(spark: SparkSession) -> DataFrame:
     return merge_default(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def survey_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "prep_base": prep_base,
         "prep_supp": prep_supp,
@@ -281,7 +282,7 @@ DEFAULT_MERGE = """SELECT b.rec_id, b.road AS "RoadName", b.code AS "Lane", b.la
   FROM b LEFT JOIN best ON bid = b.rec_id LEFT JOIN s m ON m.rec_id = sid"""
 
 
-def oracle_sql() -> dict[str, str]:
+def survey_sql() -> dict[str, str]:
     inside = ("b.road_id IS NOT DISTINCT FROM s.road_id AND b.region_id IS NOT DISTINCT FROM s.region_id "
               "AND b.c BETWEEN s.c AND s.c_end")
     road_lane_any = "b.road = s.road AND (s.\"Lanes\" = 'ALL' OR b.code = s.\"Lanes\")"
@@ -367,3 +368,28 @@ def oracle_sql() -> dict[str, str]:
         "csv_roundtrip": _sql(DEFAULT_MERGE, DEFAULT_BEST),
         "preview": _sql("SELECT * FROM base_raw ORDER BY rec_id LIMIT 100"),
     }
+
+
+# --- the training-data operators, where their folder is present ---------------
+
+def _with_llm() -> bool:
+    """Only the folder's absence is forgiven; an import that fails inside it is an error."""
+    return importlib.util.find_spec("llm") is not None
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every query by name: from a session and the folder of the tables to its rows."""
+    found = survey_queries()
+    if _with_llm():
+        from llm.queries import queries as llm_queries
+        found |= llm_queries()
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB's SQL for each query that SQL can express."""
+    found = survey_sql()
+    if _with_llm():
+        from llm.queries import oracle_sql as llm_sql
+        found |= llm_sql()
+    return found

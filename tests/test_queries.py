@@ -21,13 +21,13 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.survey_queries()) == set(entry.survey_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.survey_queries()))
 def test_query_equals_sql(spark, db, name):
-    frame = entry.queries()[name](spark, SF)
-    cursor = db.execute(entry.oracle_sql()[name])
+    frame = entry.survey_queries()[name](spark, SF)
+    cursor = db.execute(entry.survey_sql()[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(frame.columns) == sorted(columns)
     assert rows(frame.columns, frame.collect()) == rows(columns, cursor.fetchall())
