@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import mixing, sharding
 
 
 def queries():
     return {
+        "op3_mixing": mixing.op3_mixing,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql():
     return {
+        "op3_mixing": mixing.OP3_SQL,
         "op10_sharding": sharding.OP10_SQL,
     }
