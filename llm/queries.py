@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import lines, mixing, sharding
 
 
 def queries():
     return {
         "op3_mixing": mixing.op3_mixing,
+        "op6_line_dedup": lines.op6_line_dedup,
         "op10_sharding": sharding.op10_sharding,
     }
 
@@ -15,5 +16,6 @@ def queries():
 def oracle_sql():
     return {
         "op3_mixing": mixing.OP3_SQL,
+        "op6_line_dedup": lines.OP6_SQL,
         "op10_sharding": sharding.OP10_SQL,
     }
