@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, sharding
+from . import lines, mixing, sharding, simhash
 
 
 def queries():
     return {
         "op3_mixing": mixing.op3_mixing,
+        "op4_simhash": simhash.op4_simhash,
         "op6_line_dedup": lines.op6_line_dedup,
         "op10_sharding": sharding.op10_sharding,
     }
