@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, sharding, simhash
+from . import lines, mixing, sharding, simhash, substring
 
 
 def queries():
     return {
+        "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op4_simhash": simhash.op4_simhash,
         "op6_line_dedup": lines.op6_line_dedup,
@@ -16,6 +17,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_substring_dedup": substring.OP2_SQL,
         "op3_mixing": mixing.OP3_SQL,
         "op6_line_dedup": lines.OP6_SQL,
         "op10_sharding": sharding.OP10_SQL,
