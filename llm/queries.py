@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, sharding, simhash, substring
+from . import langid, lines, mixing, sharding, simhash, substring
 
 
 def queries():
     return {
+        "op1_langid": langid.op1_langid,
         "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op4_simhash": simhash.op4_simhash,
