@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, sharding, simhash, substring
+from . import langid, lines, mixing, sharding, simhash, substring, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_mixing": mixing.op3_mixing,
         "op4_simhash": simhash.op4_simhash,
         "op6_line_dedup": lines.op6_line_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op10_sharding": sharding.op10_sharding,
     }
 
