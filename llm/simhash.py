@@ -62,13 +62,15 @@ def links(fps: DataFrame) -> DataFrame:
     all those under one value, at most 65, are linked to the least of them.
     That takes 65 rows for each such fingerprint however large the group.
     """
-    fps = fps.select("fp").distinct()
+    # Signatures are 64 times as many as fingerprints: made in as many tasks as a shuffle has, however small their input.
+    fps = fps.select("fp").distinct().repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     signed = fps.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(63)))).select("fp", F.expr(
         "shiftleft(CAST(bit AS bigint), 32) | (shiftrightunsigned(fp, bit - bit % 32) & 4294967295 & ~shiftleft(1L, bit % 32))")
         .alias("signature"))
     shared = stored(signed.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
                     .where("n > 1"))
-    members = signed.join(shared.where("n > 2").select("signature", "n"), "signature")
+    # What is shared grows with the table, so it is not to be broadcast even where it happens to be small.
+    members = signed.join(shared.where("n > 2").select("signature", "n").hint("merge"), "signature")
     within = f"bit_count({{0}} ^ {{1}}) <= {MAX_BITS}"
     twos = shared.where("n = 2").where(within.format("a", "b")).select("a", "b")
     some = members.where(f"n <= {BUCKET}").groupBy("signature").agg(F.collect_list("fp").alias("m")) \
