@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, sharding, simhash, substring, toxicity
+from . import langid, lines, mixing, rabitq, sharding, simhash, substring, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op4_simhash": simhash.op4_simhash,
+        "op5_ann": rabitq.op5_ann,
         "op6_line_dedup": lines.op6_line_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_sharding": sharding.op10_sharding,
@@ -21,6 +22,7 @@ def oracle_sql():
     return {
         "op2_substring_dedup": substring.OP2_SQL,
         "op3_mixing": mixing.OP3_SQL,
+        "op5_ann": rabitq.OP5_SQL,
         "op6_line_dedup": lines.OP6_SQL,
         "op10_sharding": sharding.OP10_SQL,
     }
