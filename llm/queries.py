@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, rabitq, sharding, simhash, substring, toxicity
+from . import langid, lines, mixing, rabitq, sharding, simhash, substring, topk, toxicity
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_ann": rabitq.op5_ann,
         "op6_line_dedup": lines.op6_line_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_topk": topk.op9_topk,
         "op10_sharding": sharding.op10_sharding,
     }
 
@@ -24,5 +25,6 @@ def oracle_sql():
         "op3_mixing": mixing.OP3_SQL,
         "op5_ann": rabitq.OP5_SQL,
         "op6_line_dedup": lines.OP6_SQL,
+        "op9_topk": topk.OP9_SQL,
         "op10_sharding": sharding.OP10_SQL,
     }
