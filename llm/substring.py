@@ -153,19 +153,31 @@ def _windows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(read, _with(docs, WORD_BLOCKS))
 
 
-def _found_before(runs: DataFrame) -> DataFrame:
-    """The runs whose anchor more than one id has, with ``earlier``: whether a smaller id has the same words.
+#: Some id is smaller than another one; null is larger than any other.
+SHARED = "least < most OR (unnamed AND least IS NOT NULL)"
 
-    Ids are added up by content and then by anchor, both with a combine before
-    the shuffle, and joined back by content; adaptive execution splits the runs
-    of a passage that very many documents share.
+
+def _ids():
+    return F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.col("doc_id").isNull()).alias("unnamed")
+
+
+def _by_content(runs: DataFrame, *more) -> DataFrame:
+    """The runs with ``earlier``: whether a smaller id has the same words.
+
+    Ids are added up with a combine before the shuffle and joined back;
+    adaptive execution splits the runs of a passage that very many documents share.
     """
-    by_content = runs.groupBy("anchor", "block").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
-    shared = by_content.groupBy("anchor").agg(F.min("least").alias("l"), F.max("most").alias("m"), F.max("unnamed").alias("u")) \
-        .where("l < m OR (u AND l IS NOT NULL)").select("anchor")
-    return runs.join(by_content.join(shared, "anchor").select("anchor", "block", "least"), ["anchor", "block"]) \
-        .select("doc_id", "mark", "first", "n", F.expr("coalesce(least < doc_id, least IS NOT NULL)").alias("earlier"))
+    least = runs.groupBy("anchor", "block").agg(*_ids())
+    return runs.join(least.where(SHARED).select("anchor", "block", "least"), ["anchor", "block"], "left") \
+        .select("doc_id", "mark", "first", "n", F.expr("coalesce(least < doc_id, least IS NOT NULL)").alias("earlier"), *more)
+
+
+def _matched_blocks(blocks: DataFrame) -> DataFrame:
+    """Of the blocks whose anchor more than one id has: ``earlier``, and ``open`` if their windows are to be matched one by one."""
+    shared = blocks.groupBy("anchor").agg(*_ids(), F.min("block").alias("low"), F.max("block").alias("high")).where(SHARED)
+    # Where all blocks of an anchor are equal there is nothing left to match.
+    runs = stored(blocks.join(shared.select("anchor", (F.col("low") != F.col("high")).alias("differ")), "anchor"))
+    return _by_content(runs, "differ").withColumn("open", F.expr("differ AND NOT earlier")).drop("differ")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,8 +188,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stands, one in about twenty words; only anchors that more than one id has
     go on.  Extension: the neighbouring windows that share an anchor form a
     block, which is matched as a whole first; a block that a smaller id has is
-    done.  The windows of the other blocks, at the ends of what repeats and in
-    the first text that has it, are matched one by one.  So the maximal
+    done.  Where the blocks of an anchor differ, at the ends of what repeats,
+    the windows of those that are not done are matched one by one.  So the maximal
     repeats come out exactly, and no two documents are ever paired, however many
     share a passage.  Contents are compared by 128 bits of hash.
 
@@ -193,12 +205,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     # The mark tells rows of the same id apart; rows equal in both have the same result.
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
-    blocks = stored(_found_before(stored(_blocks(keyed))))
-    pending = blocks.where("NOT earlier").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("open")) \
+    blocks = stored(_matched_blocks(stored(_blocks(keyed))))
+    pending = blocks.where("open").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("open")) \
         .select(F.col("doc_id").alias("open_id"), F.col("mark").alias("open_mark"), "open")
     mine = F.col("doc_id").eqNullSafe(F.col("open_id")) & (F.col("mark") == F.col("open_mark"))
     single = stored(_windows(keyed.join(pending, mine).select("doc_id", "mark", "text", "open")))
-    found = blocks.where("earlier").unionByName(_found_before(single).where("earlier")) \
+    found = blocks.where("earlier").drop("open").unionByName(_by_content(single).where("earlier")) \
         .groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("gone")) \
         .select(F.col("doc_id").alias("open_id"), F.col("mark").alias("open_mark"), "gone")
     rows = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("doc_id"),
