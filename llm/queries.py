@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, rabitq, sharding, simhash, substring, topk, toxicity
+from . import langid, lines, mixing, rabitq, sentencepiece, sharding, simhash, substring, topk, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_simhash": simhash.op4_simhash,
         "op5_ann": rabitq.op5_ann,
         "op6_line_dedup": lines.op6_line_dedup,
+        "op7_sentencepiece": sentencepiece.op7_sentencepiece,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_topk": topk.op9_topk,
         "op10_sharding": sharding.op10_sharding,
