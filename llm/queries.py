@@ -6,6 +6,8 @@ from . import langid, lines, mixing, rabitq, sentencepiece, sharding, simhash, s
 
 
 def queries():
+    import corpus_pipeline  # it imports this package in its turn
+
     return {
         "op1_langid": langid.op1_langid,
         "op2_substring_dedup": substring.op2_substring_dedup,
@@ -17,6 +19,7 @@ def queries():
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_topk": topk.op9_topk,
         "op10_sharding": sharding.op10_sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -39,15 +39,17 @@ def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` of every row."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    """``doc_id``, ``mark`` (a hash of the text) and ``fp`` of every row."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"),
+                       F.col(text_col).cast("binary").alias("text"))
 
     def hashed(batches):
         for batch in slices(batches, "text"):
             found = [fingerprint(x, shingle_words) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(found, pa.int64())],
+                                             ["doc_id", "mark", "fp"])
 
-    return docs.mapInArrow(hashed, docs.select("doc_id").schema.add("fp", "long"))
+    return docs.mapInArrow(hashed, docs.select("doc_id", "mark").schema.add("fp", "long"))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -85,11 +87,13 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The class of near copies of every row: ``doc_id``, ``fp`` and ``component_id``.
+    """The class of near copies of every row: ``doc_id``, ``mark``, ``fp``, ``component`` and ``component_id``.
 
     Two rows are linked if their fingerprints differ in two bits or fewer;
-    ``component_id`` is the smallest id reachable over links.  Rows of equal
-    fingerprint are one node, so copies are never expanded into pairs.
+    ``component_id`` is the smallest id reachable over links and ``component``
+    the smallest fingerprint; ``mark`` is a hash of the text that tells rows of
+    one id apart.  Rows of equal fingerprint are one node, so copies are never
+    expanded into pairs.
 
     A null text, an empty one and one of white space have fingerprint zero and
     are linked like any other; texts shorter than a shingle are hashed whole.
@@ -103,7 +107,8 @@ def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: str
     classed = nodes.join(linked, nodes["fp"] == linked["node"], "left") \
         .select("fp", "first", F.coalesce("component", "fp").alias("component"))
     ids = classed.groupBy("component").agg(F.min("first").alias("component_id"))
-    return rows.join(classed.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(classed.join(ids, "component").select("fp", "component", "component_id"), "fp") \
+        .select("doc_id", "mark", "fp", "component", "component_id")
 
 
 def op4_simhash(spark, sf_dir):

@@ -72,7 +72,7 @@ def test_rows(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "one", "y"), (None, "no other has this text", "y"), (3, "one two", "z"),
                                                           (3, "one two", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
-    got = near_copies(docs).collect()
+    got = near_copies(docs).select("doc_id", "fp", "component_id").collect()
     assert len(got) == len(rows)
     fps = [plain(t) for _, t, _ in rows]
     fps = [f - 2**64 if f >> 63 else f for f in fps]
