@@ -71,7 +71,7 @@ def top_products(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "ve
     found = stored(classes(whole, "v", k))
     queries = queries_of(whole, "v", found, every)
     asked = found.join(queries.select("qrep").distinct(), F.col("rep") == F.col("qrep"), "left_semi")
-    sides, m = blocks(found.select(F.size("v").alias("d"), "rep", "v"), "rep", VECTORS, "shard")
+    sides, m = blocks(found.select(F.size("v").alias("d"), "rep", F.col("ids")[0].alias("first"), "v"), "rep", VECTORS, "shard")
     asking, n = blocks(asked.select(F.size("v").alias("d"), F.col("rep").alias("qrep"), F.col("v").alias("w")), "qrep", QUERIES, "block")
     left = sides.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     right = asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
@@ -80,12 +80,12 @@ def top_products(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "ve
     def search(shard, block):
         if not len(shard) or not len(block):
             return pd.DataFrame({"qrep": [], "rep": [], "score": []})
-        vectors, ids = np.stack(shard["v"].to_list()).astype(np.int64), shard["rep"].to_numpy()
+        vectors, ids, reps = np.stack(shard["v"].to_list()).astype(np.int64), shard["first"].to_numpy(), shard["rep"].to_numpy()
         lists = np.argsort(vectors, axis=0, kind="stable").T.copy()
         out = []
         for qrep, v in zip(block["qrep"], block["w"], strict=True):
             best, scores = threshold_search(vectors, ids, lists, np.asarray(v, np.int64), need)
-            out.append(pd.DataFrame({"qrep": qrep, "rep": ids[best], "score": scores}))
+            out.append(pd.DataFrame({"qrep": qrep, "rep": reps[best], "score": scores}))
         return pd.concat(out)
 
     scored = left.groupBy("d", "shard", "block").cogroup(right.groupBy("d", "shard", "block")) \

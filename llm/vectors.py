@@ -16,7 +16,7 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def classes(vectors: DataFrame, value: str, k: int) -> DataFrame:
-    """One row for each different ``value``: the smallest id with it as ``rep``, and its smallest k + 1 ids.
+    """One row for each different ``value``: a number ``rep``, to be stored, and the smallest k + 1 ids with it.
 
     More than k + 1 rows with the same vector never get into one answer.  The
     rows are limited where they are read, before the shuffle, so a vector that
@@ -24,7 +24,7 @@ def classes(vectors: DataFrame, value: str, k: int) -> DataFrame:
     """
     least = Window.partitionBy(value).orderBy("vec_id")
     return vectors.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1).groupBy(value) \
-        .agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0])
+        .agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.monotonically_increasing_id())
 
 
 def queries_of(vectors: DataFrame, value: str, found: DataFrame, every: int) -> DataFrame:
@@ -41,9 +41,9 @@ def blocks(df: DataFrame, key: str, size: int, name: str) -> tuple[DataFrame, in
 
 def answers(scored: DataFrame, found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """From scores between classes (``qrep``, ``rep``, ``score``) the ``k`` best other rows of every query; ties to the smaller id."""
-    by_class = Window.partitionBy("qrep").orderBy(F.desc("score"), "rep")
-    best = scored.withColumn("nth", F.row_number().over(by_class)).where(F.col("nth") <= k + 1).drop("nth")
-    rows = best.join(found.select("rep", "ids"), "rep").select("qrep", "score", F.explode("ids").alias("vec_id"))
+    by_class = Window.partitionBy("qrep").orderBy(F.desc("score"), F.col("ids")[0])
+    best = scored.join(found.select("rep", "ids"), "rep").withColumn("nth", F.row_number().over(by_class)).where(F.col("nth") <= k + 1)
+    rows = best.select("qrep", "score", F.explode("ids").alias("vec_id"))
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.join(queries, "qrep").where(F.col("vec_id") != F.col("query_id")) \
         .withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
