@@ -64,8 +64,9 @@ def links(fps: DataFrame) -> DataFrame:
     all those under one value, at most 65, are linked to the least of them.
     That takes 65 rows for each such fingerprint however large the group.
     """
-    # Signatures are 64 times as many as fingerprints: made in as many tasks as a shuffle has, however small their input.
-    fps = fps.select("fp").distinct().repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Signatures are 64 times as many as fingerprints: made in as many tasks as a shuffle has, however small their input.  Dealt
+    # without a key, since by one Spark would find the rows dealt already and put their small partitions together.
+    fps = fps.select("fp").distinct().repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     signed = fps.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(63)))).select("fp", F.expr(
         "shiftleft(CAST(bit AS bigint), 32) | (shiftrightunsigned(fp, bit - bit % 32) & 4294967295 & ~shiftleft(1L, bit % 32))")
         .alias("signature"))
