@@ -13,42 +13,57 @@ from .vectors import answers, blocks, classes, queries_of, usable
 #: Components become floor(SCALE * x).
 SCALE = 256
 #: Vectors in a shard with lists of its own, and queries that are answered on it in one task.
-VECTORS, QUERIES = 8192, 1024
-#: Entries read from every list between two looks at the bound.
+VECTORS, QUERIES = 16_384, 1024
+#: Entries read from every list before the first look at the bound.
 DEPTH = 64
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores, ties to the smaller id, in that order."""
+    place = np.arange(len(scores))
+    if len(scores) > k:
+        place = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return place[np.lexsort((ids[place], -scores[place]))[:k]]
+
+
+def exact_floats(vectors: np.ndarray, queries: np.ndarray) -> bool:
+    """Whether all sums of products are whole numbers that doubles hold exactly."""
+    size = [max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0)))) for x in (vectors, queries)]
+    return size[0] * size[1] * max(1, vectors.shape[1]) < 1 << 53
+
+
 def threshold_search(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and scores of the ``k`` best rows of a shard, ties to the smaller id; and no list is read deeper than needed.
+    """Row numbers and scores of the ``k`` best rows of a shard, ties to the smaller id; no list is read much deeper than needed.
 
     ``lists`` has the row numbers in ascending order of each component.  For a
     positive component of the query its list is read from the end, for a
     negative one from the start.  Rows seen for the first time in any list are
     scored whole.  What is still unseen scores at most the inner product of the
     query with the components last read; once that is below the k-th score,
-    nothing can change.
+    nothing can change.  The bound is looked at after ever twice as many entries.
     """
     used = np.flatnonzero(query)
     n = len(vectors)
     if not len(used):
-        best = np.lexsort((ids, np.zeros(n)))[:k]
+        best = _best(ids, np.zeros(n, vectors.dtype), k)
         return best, np.zeros(len(best), np.int64)
     down = query[used] > 0
-    seen, rows, scores = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for at in range(0, n, DEPTH):
-        to = min(at + DEPTH, n)
-        read = np.where(down[:, None], lists[used, n - to:n - at][:, ::-1], lists[used, at:to])
-        new = np.unique(read)
-        new = new[~seen[new]]
-        seen[new] = True
-        rows, scores = np.append(rows, new), np.append(scores, vectors[new] @ query)
-        if len(rows) > k:
-            best = np.lexsort((ids[rows], -scores))[:k]
-            rows, scores = rows[best], scores[best]
-        if len(rows) == k and vectors[read[:, -1], used] @ query[used] < scores[-1]:
+    seen, rows, scores, at, depth = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0, vectors.dtype), 0, DEPTH
+    while at < n:
+        to = min(at + depth, n)
+        before = seen.copy()
+        seen[lists[used[down], n - to:n - at].ravel()] = True
+        seen[lists[used[~down], at:to].ravel()] = True
+        new = np.flatnonzero(seen & ~before)
+        found = (vectors @ query)[new] if 2 * len(new) > n else vectors[new] @ query
+        rows, scores = np.append(rows, new), np.append(scores, found)
+        best = _best(ids[rows], scores, k)
+        rows, scores = rows[best], scores[best]
+        last = np.where(down, lists[used, n - to], lists[used, to - 1])
+        if seen.all() or len(rows) == k and vectors[last, used] @ query[used] < scores[-1]:
             break
-    order = np.lexsort((ids[rows], -scores))
-    return rows[order], scores[order]
+        at, depth = to, 2 * depth
+    return rows, scores.astype(np.int64)
 
 
 def top_products(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -81,12 +96,14 @@ def top_products(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "ve
         if not len(shard) or not len(block):
             return pd.DataFrame({"qrep": [], "rep": [], "score": []})
         vectors, ids, reps = np.stack(shard["v"].to_list()).astype(np.int64), shard["first"].to_numpy(), shard["rep"].to_numpy()
+        asked = np.stack(block["w"].to_list()).astype(np.int64)
         lists = np.argsort(vectors, axis=0, kind="stable").T.copy()
-        out = []
-        for qrep, v in zip(block["qrep"], block["w"], strict=True):
-            best, scores = threshold_search(vectors, ids, lists, np.asarray(v, np.int64), need)
-            out.append(pd.DataFrame({"qrep": qrep, "rep": reps[best], "score": scores}))
-        return pd.concat(out)
+        if exact_floats(vectors, asked):
+            vectors, asked = vectors.astype(np.float64), asked.astype(np.float64)
+        found = [threshold_search(vectors, ids, lists, q, need) for q in asked]
+        counts = [len(rows) for rows, _ in found]
+        return pd.DataFrame({"qrep": np.repeat(block["qrep"].to_numpy(), counts), "rep": reps[np.concatenate([r for r, _ in found])],
+                             "score": np.concatenate([x for _, x in found])})
 
     scored = left.groupBy("d", "shard", "block").cogroup(right.groupBy("d", "shard", "block")) \
         .applyInPandas(search, "qrep long, rep long, score long")
