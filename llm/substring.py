@@ -164,11 +164,12 @@ def _ids():
 def _by_content(runs: DataFrame, *more) -> DataFrame:
     """The runs with ``earlier``: whether a smaller id has the same words.
 
-    Ids are added up with a combine before the shuffle and joined back;
-    adaptive execution splits the runs of a passage that very many documents share.
+    Ids are added up with a combine before the shuffle, written and joined back:
+    so adaptive execution can split the runs of a passage that very many
+    documents share, which it cannot beside an aggregate.
     """
-    least = runs.groupBy("anchor", "block").agg(*_ids())
-    return runs.join(least.where(SHARED).select("anchor", "block", "least"), ["anchor", "block"], "left") \
+    least = stored(runs.groupBy("anchor", "block").agg(*_ids()).where(SHARED).select("anchor", "block", "least"))
+    return runs.join(least, ["anchor", "block"], "left") \
         .select("doc_id", "mark", "first", "n", F.expr("coalesce(least < doc_id, least IS NOT NULL)").alias("earlier"), *more)
 
 
