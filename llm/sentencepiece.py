@@ -18,7 +18,9 @@ from .cuckoo import mixed
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Units whose pieces are kept, and characters that advance together.
-CACHE, TOGETHER = 600_000, 400_000
+CACHE, TOGETHER = 400_000, 400_000
+#: Rows that are decoded at a time.
+ROWS = 256
 #: Slots for pairs of pieces whose border has been judged.
 SLOTS = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -341,22 +343,22 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast(pieces(model_path).texts)
 
     def write(batches):
-        flat = np.frombuffer(b"".join(sent.value), np.uint8)
-        sizes = np.array([len(t) for t in sent.value], np.int64)
-        begin = np.cumsum(sizes) - sizes
+        piece = sent.value.__getitem__
         for batch in batches:
-            lists = batch.column("ids")
-            ids = lists.flatten().to_numpy()
-            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            data, sums = ragged(flat, begin[ids], sizes[ids])
-            data, borders = data.tobytes(), sums[np.concatenate(([0], np.cumsum(counts)))]
-            texts = [None if null else data[a:b].removeprefix(b" ").decode("utf-8", "replace")
-                     for null, a, b in zip(lists.is_null().to_pylist(), borders[:-1], borders[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), lists, pa.array(texts, pa.string())], ["row", "ids", "text"])
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                texts = [_joined(piece, ids) for ids in some.column("ids")]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], [*some.schema.names, "text"])
 
     return encoded.mapInArrow(write, _schema(encoded, "text", "string"))
 
 
+def _joined(piece, ids: pa.ListScalar) -> str | None:
+    if not ids.is_valid:
+        return None
+    return b"".join(map(piece, ids.values.to_numpy().tolist())).removeprefix(b" ").decode("utf-8", "replace")
+
+
 def _schema(df: DataFrame, name: str, kind: str):
     kept = df.select(*[c for c in ("row", "ids") if c in df.columns])
     return df.sparkSession.createDataFrame([], kept.schema).withColumn(name, F.lit(None).cast(kind)).schema
