@@ -248,8 +248,6 @@ LANE = "b.code = s.code"
 TIME = "abs(b.t - s.t) <= 10000000"
 TIME_GAP, CHAIN_GAP = "abs(b.t - s.t)", "abs(b.c - s.c)"
 MICROMETRES = f"round({DIST_SQL}, 6)"
-# Up to this many possible pairs, no distance is forced on the match.
-SMALL = "((SELECT count(*) FROM b) * (SELECT count(*) FROM s) <= 10000000)"
 
 
 def _pair_sql(on: str) -> str:
@@ -342,9 +340,7 @@ def survey_sql() -> dict[str, str]:
         "merge_cross": _best_sql(f"{LANE} AND {TIME}", TIME_GAP),
         "strategy_auto": _best_sql(f"{ROAD} AND {TIME} AND {CHAIN_GAP} <= 5 AND {NEAR}",
                                    f"{TIME_GAP}, {MICROMETRES}"),
-        "strategy_auto_forced": _best_sql(
-            f"{LANE} AND {TIME} AND ({SMALL} OR ({NEAR}))",
-            f"{TIME_GAP}, CASE WHEN NOT {SMALL} THEN {MICROMETRES} END"),
+        "strategy_auto_forced": _best_sql(f"{LANE} AND {TIME}", TIME_GAP),
         "suffix_conflicts": _sql("""SELECT b.rec_id, b.road AS "RoadName", b.code AS "Lane", b.latitude,
             b.longitude, b.chainage, b.road_id, b.region_id, b."TestDateUTC", 'x' AS "Filename_s",
             'y' AS "Filename", m."Filename" AS "Filename_s2", m.tsd_d0, m.code AS "Lane_s",

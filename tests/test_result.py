@@ -153,19 +153,18 @@ def test_parameters_are_checked():
         MatchConfig(max_time_diff_s=300, max_chainage_diff_m=0.1, max_distance_m=1000)
 
 
-@pytest.mark.parametrize("spatial, road, coordinates, intervals, pairs, expected", [
-    (True, True, True, True, 0, "spatial"),
-    (True, True, False, True, 0, "range"),
-    (True, False, False, False, 0, "blocked"),
-    (False, True, True, False, 0, "blocked"),
-    (False, False, True, False, 10_000_000, "cross"),
-    (False, False, True, False, 10_000_001, "spatial"),
-    (False, False, False, False, 10_000_001, "cross"),
-    (False, False, False, True, 0, "range"),
+@pytest.mark.parametrize("spatial, road, coordinates, intervals, expected", [
+    (True, True, True, True, "spatial"),
+    (True, True, False, True, "range"),
+    (True, False, False, False, "blocked"),
+    (False, True, True, False, "blocked"),
+    (False, False, True, False, "cross"),
+    (False, False, False, False, "cross"),
+    (False, False, False, True, "range"),
 ])
-def test_strategy_choice(spatial, road, coordinates, intervals, pairs, expected):
+def test_strategy_choice(spatial, road, coordinates, intervals, expected):
     cfg = MatchConfig(strategy="auto", enable_spatial=spatial, enable_road=road)
-    assert decide(cfg, coordinates, intervals, pairs) == expected
+    assert decide(cfg, coordinates, intervals) == expected
 
 
 def test_auto_without_coordinates_uses_the_road(spark):

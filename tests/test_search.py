@@ -36,6 +36,7 @@ def matches(result):
 def test_search_equals_brute_force(spark, monkeypatch, case, crowd):
     strategy, flags = CASES[case]
     monkeypatch.setattr(search, "CROWD", 8)     # so that small crowds are stepped into
+    monkeypatch.setattr(search, "PAIRS", 30)    # and cut into parts
     base = brute.survey(120, f"b{case}", crowd=crowd)
     supp = brute.survey(150, f"s{case}", crowd=crowd)
     # A threshold of 20 rows makes nearly every bucket a hot one.
@@ -48,8 +49,8 @@ def test_search_equals_brute_force(spark, monkeypatch, case, crowd):
     assert expected
 
 
-def test_more_hot_buckets_than_a_list_may_hold(spark, monkeypatch):
-    monkeypatch.setattr(search, "HOT_BUCKETS", 2)
+def test_buckets_are_cut_into_parts_and_shared(spark, monkeypatch):
+    monkeypatch.setattr(search, "PAIRS", 8)
     base, supp = brute.survey(100, 1), brute.survey(100, 2)
     cfg = MatchConfig(max_time_diff_s=60, hot_bucket_rows=2, **KEYS)
     result = merge(brute.as_base(spark, base), brute.as_supp(spark, supp), cfg)

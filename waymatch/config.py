@@ -35,7 +35,6 @@ OUTPUT_NAME = "LMD_MSD_Merged_V{version}.csv"
 OUTPUT_SUBFOLDER = "LMD-MSD_Merged"
 VERSION_PATTERN = r"V1\.0\.0\.(\d+)"
 PREVIEW_ROWS = 100
-PAIR_GUARD = 10_000_000
 
 # Supplement columns appended when the caller names none.
 DEFAULT_SUPP_COLUMNS = (
@@ -77,6 +76,12 @@ ESSENTIAL_SUPP_COLUMNS = (
     "BinViewerVersion", "Filename", "tsdSlope3000", "tsdSlope2000",
     "tsdSlope1000", "compositeModulus3000", "compositeModulus2000",
 )
+
+# Names of the helper columns and of those a result may drop again.
+HELPERS = {"Lat": "_m_lat", "Lon": "_m_lon", "Chain": "_m_chain", "TestDateUTC_parsed": "_m_time"}
+DIFFERENCES = ("time_diff_seconds", "chainage_diff_meters")
+RESERVED = (*HELPERS, "time_diff", "chainage_diff", *DIFFERENCES)
+LEGACY_DROPPED = ("Lane_lmd", "Time_lmd", "Chain_lmd", "RoadName_lmd")
 # --- End of fixed values ----------------------------------------------------
 
 STRATEGIES = ("spatial", "range", "blocked", "cross", "auto")
@@ -96,9 +101,10 @@ class MatchConfig:
     ``enable_time`` left at ``None`` means on, except for the explicit range
     strategy, where a position inside the interval is the whole test.
 
-    ``base_key`` / ``supp_key`` name a unique integer column.  Without one, row
-    ids are generated and the prepared table is checkpointed, so that a lost
-    executor cannot renumber rows half-way through a merge.
+    ``base_key`` / ``supp_key`` name a column that orders the rows: the base key
+    the output, the supplement key ties (nulls come last).  It need not be
+    unique, a number or present in every row; rows are told apart by ids that
+    are generated and written down with the columns the merge needs.
 
     ``hot_bucket_rows`` is the bucket size beyond which the search refines a
     bucket instead of comparing everything in it; ``None`` skips that check.

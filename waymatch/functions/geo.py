@@ -11,7 +11,6 @@ from waymatch.config import EARTH_RADIUS_M
 
 PAD = 1.000001      # keeps grid reach just above the exact radius
 PAD_DEG = 1e-9      # and above rounding, about 0.1 mm
-MAX_CELLS = 10_000_000
 CELL_WIDTH = 2.0    # cell side in radii: about four cells per circle
 
 
@@ -45,7 +44,7 @@ def _cells_in(band: Column, height: float) -> Column:
     low = band * height - 90.0
     edge = F.least(F.greatest(F.abs(low), F.abs(low + height)), F.lit(90.0))
     count = F.floor(F.cos(F.radians(edge)) * 360.0 / height)
-    return F.greatest(F.least(count, F.lit(MAX_CELLS)), F.lit(1)).cast("long")
+    return F.greatest(count, F.lit(1)).cast("long")
 
 
 def with_cell(df: DataFrame, lat: str, lon: str, radius_m: float,
@@ -88,3 +87,32 @@ def with_cells_near(df: DataFrame, lat: str, lon: str, radius_m: float,
         .withColumn(cell, F.pmod(F.col(cell), count))
         .drop("_east", "_reach", "_count")
     )
+
+
+def within_cell(df: DataFrame, lat: str, lon: str, radius_m: float, band: str, cell: str, parts: int, reach: bool):
+    """The part of its grid cell a point lies in, counted from 0 to ``parts`` - 1 in latitude and in longitude.
+
+    With ``reach`` the first and last parts that the circle around the point
+    touches: two pairs of columns.
+    """
+    height = _band_height(radius_m)
+    lat_in, east = _on_globe(F.col(lat), F.col(lon))
+    count = _cells_in(F.col(band), height)
+    up = (lat_in + 90.0) / height - F.col(band)
+    along = F.pmod(east / 360.0 * count - F.col(cell), count.cast("double"))
+
+    def part(x):
+        return F.greatest(F.least(F.floor(x * parts), F.lit(parts - 1)), F.lit(0))
+    if not reach:
+        return part(up), part(along)
+    angle = radius_m / EARTH_RADIUS_M
+    spread = math.degrees(angle) * PAD + PAD_DEG
+    half = F.asin(F.least(math.sin(min(angle, math.pi / 2)) / F.cos(F.radians(lat_in)), F.lit(1.0)))
+    over_pole = F.abs(lat_in) + spread >= 90.0
+    wide = F.when(over_pole, F.lit(360.0)).otherwise(F.degrees(half) * PAD + PAD_DEG) / 360.0 * count
+    # The way round the globe by which the circle is nearer to the cell.
+    nearer = F.when(along > count / 2, along - count).otherwise(along)
+    whole = wide * 2 >= count - 1
+    low = F.when(whole, 0.0).otherwise(nearer - wide)
+    high = F.when(whole, 1.0).otherwise(nearer + wide)
+    return (part(up - spread / height), part(up + spread / height)), (part(low), part(high))

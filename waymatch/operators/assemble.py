@@ -19,12 +19,6 @@ log = logging.getLogger(__name__)
 
 # Names under which a cleaned column is public, if the raw table has none such.
 PUBLIC = {"RoadName": "_m_road", "Lane": "_m_lane"}
-HELPERS = {"Lat": "_m_lat", "Lon": "_m_lon", "Chain": "_m_chain", "TestDateUTC_parsed": "_m_time"}
-DIFFERENCES = ("time_diff_seconds", "chainage_diff_meters")
-# Names a conflict suffix has to avoid although they are not in the result.
-RESERVED = (*HELPERS, "time_diff", "chainage_diff", *DIFFERENCES)
-# Suffixed names that ``legacy_drop`` removes again.
-LEGACY_DROPPED = ("Lane_lmd", "Time_lmd", "Chain_lmd", "RoadName_lmd")
 
 
 def public_columns(df: DataFrame) -> dict[str, str]:
@@ -48,7 +42,7 @@ def public_columns(df: DataFrame) -> dict[str, str]:
 
 def supp_catalogue_columns(supp: DataFrame) -> dict[str, str]:
     columns = public_columns(supp)
-    return {**{n: s for n, s in HELPERS.items() if n not in columns}, **columns}
+    return {**{n: s for n, s in C.HELPERS.items() if n not in columns}, **columns}
 
 
 def plan_names(requested, available, taken, suffix: str, sensitive: bool = True) -> dict[str, str]:
@@ -83,10 +77,10 @@ def assemble(base: DataFrame, supp: DataFrame, best: DataFrame, rules: MatchRule
     timed = both_timed(base, supp)
     shown = public_columns(base)
     offered = supp_catalogue_columns(supp)
-    plan = plan_names(cfg.requested_columns, offered, (*shown, *RESERVED), cfg.suffix,
+    plan = plan_names(cfg.requested_columns, offered, (*shown, *C.RESERVED), cfg.suffix,
                       case_sensitive(base.sparkSession))
     if cfg.legacy_drop:
-        plan = {n: out for n, out in plan.items() if out not in LEGACY_DROPPED}
+        plan = {n: out for n, out in plan.items() if out not in C.LEGACY_DROPPED}
 
     # Everything joined to the base carries the private prefix, so that no raw
     # column name can clash with it.

@@ -112,3 +112,47 @@ def place(base: DataFrame, supp: DataFrame, rules: MatchRules, kinds: list[str])
 
 def bucket_condition(names: list[str]) -> list[Column]:
     return [F.col(f"b_{n}") == F.col(f"s_{n}") for n in names]
+
+
+# --- parts of buckets --------------------------------------------------------
+# A crowded bucket is cut in two along each limited number, and its parts again:
+# a base row lies in one part, a supplement row is copied to those it reaches.
+
+def refined(base: DataFrame, supp: DataFrame, rules: MatchRules, kinds: list[str], level: int):
+    """Both sides with the parts of level ``level`` (2 ** level along each number) and the parts' names.
+
+    Expects the parts of the level before, except for the first one.
+    """
+    parts, names = 2 ** level, []
+    for kind in kinds:
+        if kind == "time":
+            width = max(rules.max_time_us, 1) * WIDTH
+            reach = max(rules.max_time_us, 1)
+            at = lambda t: F.floor((t - F.col("s_time_bucket")) * parts / width)
+            mine = F.floor((F.col("b_time") - F.col("b_time_bucket")) * parts / width)
+            lines = [("time_part", mine, at(F.col("s_time") - reach), at(F.col("s_time") + reach))]
+        elif kind == "chain":
+            width = max(rules.max_chain_m, 1e-6) * WIDTH
+            chain = F.col("s_chain")
+            reach = F.abs(chain) * 1e-12 + rules.max_chain_m * geo.PAD
+            at = lambda c: F.floor((c - F.col("s_chain_bucket") * width) * (parts / width))
+            # The base row's own part is found with the same rounding slack on the other side.
+            mine = F.floor((F.col("b_chain") - F.col("b_chain_bucket") * width) * (parts / width))
+            lines = [("chain_part", mine, at(chain - reach), at(chain + reach))]
+        elif kind == "cell":
+            up, along = geo.within_cell(base, "b_lat", "b_lon", rules.max_dist_m, "b_band", "b_cell", parts, False)
+            ups, alongs = geo.within_cell(supp, "s_lat", "s_lon", rules.max_dist_m, "s_band", "s_cell", parts, True)
+            lines = [("band_part", up, *ups), ("cell_part", along, *alongs)]
+        else:
+            raise ValueError(f"{kind} buckets have no parts")
+        for name, mine, first, last in lines:
+            inside = lambda x: F.greatest(F.least(x, F.lit(parts - 1)), F.lit(0)).cast("long")
+            base = base.withColumn(f"b_{name}", inside(mine))
+            first, last = inside(first), inside(last)
+            if level > 1:
+                # Of the two halves of the part before.
+                half = F.col(f"s_{name}") * 2
+                first, last = F.greatest(first, half), F.least(last, half + 1)
+            supp = supp.withColumn(f"s_{name}", F.explode(F.when(first <= last, F.sequence(first, last))))
+            names.append(name)
+    return base, supp, names

@@ -6,7 +6,9 @@ private names, so that a raw ``lat`` and the parsed latitude never meet:
 ``_m_id`` row id, ``_m_road`` and ``_m_lane`` text, ``_m_time`` microseconds,
 ``_m_chain`` metres, ``_m_lat`` and ``_m_lon`` degrees.
 
-Both functions are one narrow stage: a projection and a filter.
+Both functions are one narrow stage: a projection and a filter.  ``store``, if
+given, is applied between the two: a merge writes the table down there, so that
+no value is parsed twice.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def _resolve(df: DataFrame, aliases: dict, given: dict) -> dict:
     return {role: given.get(role) or find_column(df, aliases[role]) for role in ROLES}
 
 
-def _prepare(df: DataFrame, key: str | None, found: dict, numbers: dict, needed) -> DataFrame:
+def _prepare(df: DataFrame, key: str | None, found: dict, numbers: dict, needed, store=None) -> DataFrame:
     private = [c for c in df.columns if c.startswith("_m_")]
     if private:
         raise ValueError(f"column names starting with _m_ are reserved: {private}")
@@ -72,12 +74,12 @@ def _prepare(df: DataFrame, key: str | None, found: dict, numbers: dict, needed)
     if has_time(df):
         kept.append(F.col("_m_time").isNotNull())
     kept += [F.col(f"_m_{role}").isNotNull() for role in needed]
-    ready = df.withColumns(added).where(all_of(kept))
-    row_id = F.col(quoted(key)).cast("long") if key else F.monotonically_increasing_id()
-    return ready.withColumn("_m_id", row_id)
+    added["_m_id"] = F.col(quoted(key)).try_cast("long") if key else F.monotonically_increasing_id()
+    ready = df.withColumns(added)
+    return (store(ready) if store else ready).where(all_of(kept))
 
 
-def prepare_base(df: DataFrame, key: str | None = None, columns: dict | None = None) -> DataFrame:
+def prepare_base(df: DataFrame, key: str | None = None, columns: dict | None = None, store=None) -> DataFrame:
     """The base survey: position and chainage are required in every row kept."""
     aliases = {"lat": C.LAT_ALIASES, "lon": C.LON_ALIASES, "chain": C.CHAIN_ALIASES,
                "road": C.BASE_ROAD_ALIASES, "lane": C.LANE_ALIASES}
@@ -93,10 +95,10 @@ def prepare_base(df: DataFrame, key: str | None = None, columns: dict | None = N
         numbers["chain"] = _number(df, location) * 1000
     else:
         raise ValueError(f"base table has no chainage column ({C.CHAIN_ALIASES} or {C.LOCATION_KM})")
-    return _prepare(df, key, found, numbers, needed=("lat", "lon", "chain"))
+    return _prepare(df, key, found, numbers, needed=("lat", "lon", "chain"), store=store)
 
 
-def prepare_supp(df: DataFrame, key: str | None = None, columns: dict | None = None) -> DataFrame:
+def prepare_supp(df: DataFrame, key: str | None = None, columns: dict | None = None, store=None) -> DataFrame:
     """The supplement survey: only chainage is required; the rest may be absent."""
     aliases = {"lat": C.LAT_ALIASES, "lon": C.LON_ALIASES, "chain": C.CHAIN_ALIASES,
                "road": C.SUPP_ROAD_ALIASES, "lane": C.LANE_ALIASES}
@@ -113,4 +115,4 @@ def prepare_supp(df: DataFrame, key: str | None = None, columns: dict | None = N
     else:
         log.warning("supplement has no chainage column, so none of its rows can be used")
         numbers["chain"] = missing
-    return _prepare(df, key, found, numbers, needed=("chain",))
+    return _prepare(df, key, found, numbers, needed=("chain",), store=store)

@@ -63,7 +63,7 @@ class MatchRules:
 
     @property
     def max_time_us(self) -> int | None:
-        return None if self.max_time_s is None else int(self.max_time_s * SECOND)
+        return None if self.max_time_s is None else round(self.max_time_s * SECOND)
 
     @property
     def rank_limit(self) -> float | None:

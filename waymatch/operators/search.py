@@ -24,19 +24,17 @@ from waymatch.operators.rules import (
 )
 from waymatch.session import all_of, saved, saved_both
 
-# A list of hot buckets is sent to the executors, so its length is limited.
-# Where there are more, every bucket is treated as hot.
-HOT_BUCKETS = 1000
-
-# Tasks that share the last look through one hot bucket.
-SALTS = 16
+# Pairs of rows that one task compares in a crowded bucket.  A bucket with more
+# is cut into parts, PARTS times in two along each limited number; a part that
+# still has more is shared by as many tasks as that takes.
+PAIRS = 1 << 21
+PARTS = 3
 
 # A first step into a crowd is narrow enough to leave no more than CROWD points
 # in a bucket; the next steps widen the limit by STRIDE (in area or length) until
 # the last one takes the full limit.
 CROWD = 64
 STRIDE = 16
-TRIES = 6
 # Steps finer than this (metres, seconds) part nothing that matters.
 FINEST = {"dist": 1e-3, "chain": 1e-5, "time": 1e-6}
 
@@ -98,7 +96,7 @@ def nearest_on_line(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRule
     line = [*keys, "value"]
     points = base_keys.select(
         *[F.col(f"b_{k}").alias(k) for k in keys], F.col(f"b_{value}").alias("value"),
-        F.lit(None).cast("long").alias("s_id"), F.lit(True).alias("wanted"),
+        F.lit(None).cast(supp_keys.schema["s_id"].dataType).alias("s_id"), F.lit(True).alias("wanted"),
     ).unionByName(supp_keys.select(
         *[F.col(f"s_{k}").alias(k) for k in keys], F.col(f"s_{value}").alias("value"),
         "s_id", F.lit(False).alias("wanted"),
@@ -156,44 +154,41 @@ def _in_buckets(base_keys, supp_keys, rules: MatchRules, cfg: MatchConfig) -> Da
     base, supp, names = buckets.place(base_keys, supp_keys, rules, buckets.usual(rules))
     if not watch:
         return _top(base, supp, rules, names)
-    hot, largest = _hot_buckets(base, supp, rules, names, cfg.hot_bucket_rows)
-    if hot is None:
+    hot = saved(_hot_buckets(base, supp, rules, names, cfg.hot_bucket_rows))
+    if hot.isEmpty():
         return _top(base, supp, rules, names)
-    if hot.count() > HOT_BUCKETS:
-        return _climb(base_keys, supp_keys, rules, largest)
-    hot_base = _inside(base, "b_", hot, rules).select(*base_columns(rules)).distinct()
-    hot_supp = _inside(supp, "s_", hot, rules).drop(*[f"s_{n}" for n in names]).distinct()
-    cold = without(base, hot_base, rules)
-    return _top(cold, supp, rules, names).unionByName(_climb(hot_base, hot_supp, rules, largest))
-
+    hot_base = _among(base, "b_", hot, rules, names, "left_semi")
+    hot_supp = _among(supp, "s_", hot, rules, names, "left_semi")
+    crowd = _climb(hot_base.select(*base_columns(rules)).distinct(),
+                   hot_supp.drop(*[f"s_{n}" for n in names]).distinct(), rules, hot)
+    if "level" in names:
+        # A point looks into several bins; if one is hot it has gone to the crowd.
+        cold = without(base, hot_base.select(*base_columns(rules)).distinct(), rules)
+        return _top(cold, supp, rules, names).unionByName(crowd)
+    cold = _among(base, "b_", hot, rules, names, "left_anti")
+    return _top(cold, _among(supp, "s_", hot, rules, names, "left_anti"), rules, names).unionByName(crowd)
+
+
+def _counted(base, supp, rules, names) -> DataFrame:
+    """Rows of either side in each bucket that holds both."""
+    columns = [*rules.keys, *names]
+    sides = [df.select(*[F.col(p + c).alias(c) for c in columns], F.lit(b).alias("b"), F.lit(1 - b).alias("s"))
+             for df, p, b in ((base, "b_", 1), (supp, "s_", 0))]
+    return sides[0].unionByName(sides[1]).groupBy(*columns) \
+        .agg(F.sum("b").alias("b_rows"), F.sum("s").alias("s_rows")).where("b_rows > 0 AND s_rows > 0")
 
-def _hot_buckets(base, supp, rules, names, limit) -> tuple[DataFrame | None, int]:
-    """Buckets of more than ``limit`` rows from both sides together, and the size
-    of the largest, counted before any pair is formed.
 
-    At most one row more than HOT_BUCKETS comes back to the driver.
-    """
-    columns = [*rules.keys, *names]
-    sides = [df.select(*[F.col(p + c).alias(c) for c in columns], F.lit(p).alias("side"))
-             for df, p in ((base, "b_"), (supp, "s_"))]
-    counted = (
-        sides[0].unionByName(sides[1]).groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("side").alias("one"), F.max("side").alias("other"))
-        .where((F.col("rows") > limit) & (F.col("one") != F.col("other")))
-        .drop("one", "other").orderBy(F.desc("rows")).limit(HOT_BUCKETS + 1)
-    )
-    found = counted.collect()
-    if not found:
-        return None, 0
-    hot = base.sparkSession.createDataFrame(found, counted.schema).drop("rows")
-    return hot, found[0]["rows"]
+def _hot_buckets(base, supp, rules, names, limit) -> DataFrame:
+    """Buckets of more than ``limit`` rows from both sides together, counted
+    before any pair is formed.  They stay a table, however many there are."""
+    return _counted(base, supp, rules, names).where(F.col("b_rows") + F.col("s_rows") > limit)
 
 
-def _inside(df: DataFrame, prefix: str, hot: DataFrame, rules: MatchRules) -> DataFrame:
-    """Rows lying in one of the hot buckets, a list of at most HOT_BUCKETS."""
-    listed = hot.select(*[F.col(c).alias(f"hot_{c}") for c in hot.columns])
-    same = same_fields(rules, hot.columns, prefix, "hot_")
-    return df.join(F.broadcast(listed), all_of(same), "left_semi")
+def _among(df: DataFrame, prefix: str, listed: DataFrame, rules: MatchRules, names, how: str) -> DataFrame:
+    """Rows whose bucket is (``left_semi``) or is not (``left_anti``) listed."""
+    columns = [*rules.keys, *names]
+    listed = listed.select(*[F.col(c).alias(f"hot_{c}") for c in columns])
+    return df.join(listed, all_of(same_fields(rules, columns, prefix, "hot_")), how)
 
 
 def _top(base: DataFrame, supp: DataFrame, rules: MatchRules, names: list[str]) -> DataFrame:
@@ -232,9 +227,7 @@ def _first_share(supp_keys: DataFrame, rules: MatchRules, limited, size: int,
     the guesses end at the ``lowest`` share.
     """
     share = 1.0
-    for _ in range(TRIES):
-        if size <= CROWD or share <= lowest:
-            break
+    while size > CROWD and share > lowest:
         share = max(share * (CROWD / 4 / size) ** power, lowest)
         step = limited(share)
         # Only the supplement side is of interest, so it stands in for both.
@@ -275,34 +268,73 @@ def _steps(supp_keys: DataFrame, rules: MatchRules, crowd: int) -> list[MatchRul
     return [*steps, limited(1.0)] if rules.rank_limit is None else steps
 
 
-def _climb(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules, crowd: int) -> DataFrame:
+def _climb(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules, hot: DataFrame) -> DataFrame:
     """Search crowded places with a small limit first, then a larger one.
 
     A match within a small limit of the rank beats everything outside it, so
     rows settled on one step need no further one.  In a crowd nearly all rows
-    settle on the first steps, where buckets are small; every row not settled
-    goes on, up to the full limit, so nothing is lost.
+    that match settle on the first steps, where buckets are small; every row not
+    settled goes on, up to the full limit, so nothing is lost.  Rows that match
+    nothing are told apart by the parts of their buckets on each step.
     """
     left, supp_keys = saved_both(base_keys, supp_keys)
+    crowd = hot.agg(F.max(F.col("b_rows") + F.col("s_rows"))).first()[0]
     settled = []
     for step in _steps(supp_keys, rules, crowd):
-        base, supp, names = buckets.place(left, supp_keys, step, buckets.available(step))
-        found = saved(_top(_spread(base, step, names), supp, step, names))
+        found = saved(_split_top(left, supp_keys, step))
         settled.append(found)
         left = saved(without(left, found, rules))
         if left.isEmpty():
             return reduce(DataFrame.unionByName, settled)
-    # What is left in a crowd found nothing near: the rest of its bucket has to
-    # be looked through, by several tasks.
-    base, supp, names = buckets.place(left, supp_keys, rules, buckets.available(rules))
-    salt = F.pmod(F.hash(*base_columns(rules)), F.lit(SALTS))
-    base = base.withColumn("b_salt", salt)
-    supp = supp.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    names = [*names, "salt"]
-    settled.append(_top(_spread(base, rules, names), supp, rules, names))
+    settled.append(_split_top(left, supp_keys, rules))
     return reduce(DataFrame.unionByName, settled)
 
 
+def _split_top(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules) -> DataFrame:
+    """``_top`` in which buckets with too many pairs are cut into parts.
+
+    Parts are narrower than the limits in every limited number, so rows that
+    cannot match part ways, and supplement rows are copied only to parts of
+    buckets that are still too large and hold base rows.
+    """
+    kinds = buckets.available(rules)
+    base, supp, names = buckets.place(base_keys, supp_keys, rules, kinds)
+    done = []
+    for level in range(1, PARTS + 2):
+        cells = saved(_counted(base, supp, rules, names))
+        big = cells.where(F.col("b_rows") * F.col("s_rows") > PAIRS)
+        if big.isEmpty():
+            done.append(_top(base, supp, rules, names))
+            break
+        if level > PARTS or "interval" in kinds:
+            done.append(_shared_top(base, supp, rules, names, cells))
+            break
+        done.append(_top(_among(base, "b_", big, rules, names, "left_anti"),
+                         _among(supp, "s_", big, rules, names, "left_anti"), rules, names))
+        base, supp = saved_both(_among(base, "b_", big, rules, names, "left_semi"),
+                                _among(supp, "s_", big, rules, names, "left_semi"))
+        base, supp, parts = buckets.refined(base, supp, rules, kinds, level)
+        names = list(dict.fromkeys([*names, *parts]))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _shared_top(base, supp, rules, names, cells) -> DataFrame:
+    """``_top`` with each bucket shared by as many tasks as its pairs take.
+
+    Supplement rows of buckets without base rows are left out, the others copied
+    once for each task of their bucket.
+    """
+    columns = [*rules.keys, *names]
+    cells = cells.select(*[F.col(c).alias(f"hot_{c}") for c in columns],
+                         F.ceil(F.col("b_rows") * F.col("s_rows") / PAIRS).cast("int").alias("tasks"))
+
+    def tasks(df, prefix):
+        return df.join(cells, all_of(same_fields(rules, columns, prefix, "hot_"))).drop(*[f"hot_{c}" for c in columns])
+    base = tasks(base, "b_").withColumn("b_salt", F.pmod(F.xxhash64(*base_columns(rules)), "tasks")).drop("tasks")
+    supp = tasks(supp, "s_").withColumn("s_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1))).drop("tasks")
+    return _top(_spread(base, rules, [*names, "salt"]), supp, rules, [*names, "salt"])
+
+
 def _spread(base: DataFrame, rules: MatchRules, names: list[str]) -> DataFrame:
     """Partition for the coming join by a fixed number.
 

@@ -1,12 +1,16 @@
-"""The merge as one lazy DataFrame, and as a job from files to files."""
+"""The merge as a DataFrame, and as a job from files to files."""
 
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from waymatch import config as C
 from waymatch.config import MatchConfig
 from waymatch.operators.assemble import assemble
 from waymatch.operators.prepare import prepare_base, prepare_supp
@@ -14,7 +18,7 @@ from waymatch.operators.report import report_columns
 from waymatch.operators.rules import both_timed, check_columns, rules_for
 from waymatch.operators.search import find_best
 from waymatch.plans.strategy import choose_strategy
-from waymatch.session import saved
+from waymatch.session import quoted, saved
 from waymatch.sources.csv import output_path, read_survey, write_merged
 
 log = logging.getLogger(__name__)
@@ -28,18 +32,39 @@ class MergeSummary:
 
 
 def merge(base_df: DataFrame, supp_df: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """Every base row once, with the chosen columns of its best match or nulls."""
+    """Every base row once, with the chosen columns of its best match or nulls.
+
+    Calling it runs Spark jobs: each side is cleaned and written down, buckets
+    are counted, and crowded ones searched.  The last joins run with the result.
+    """
     base, supp = _prepared(base_df, supp_df, cfg)
     rules = _rules(base, supp, cfg, choose_strategy(base, supp, cfg))
     return assemble(base, supp, find_best(base, supp, rules, cfg), rules, cfg)
 
 
 def _prepared(base_df, supp_df, cfg: MatchConfig):
-    base = prepare_base(base_df, cfg.base_key, cfg.base_map)
-    supp = prepare_supp(supp_df, cfg.supp_key, cfg.supp_map)
-    # A generated id is read twice, by the search and by the final join; it
-    # must not change in between.  Base ids serve the output order only.
-    return base, supp if cfg.supp_key else saved(supp)
+    """Both sides cleaned, in one read of each; of the supplement only the columns that may be used."""
+    used = {*cfg.requested_columns, "road_id", "region_id", C.START_KM, C.END_KM, C.RANGE_LANES, C.TIME_COLUMN}
+
+    def base():
+        return prepare_base(base_df, cfg.base_key, cfg.base_map, lambda df: saved(_numbered(df, cfg.base_key)))
+
+    def supp():
+        return prepare_supp(supp_df, cfg.supp_key, cfg.supp_map, lambda df: saved(
+            _numbered(df, cfg.supp_key).select(*[F.col(quoted(c)) for c in df.columns if c.startswith("_m_") or c in used])))
+
+    with ThreadPoolExecutor(2) as pool:
+        other = pool.submit(inheritable_thread_target(base_df.sparkSession)(supp))
+        return base(), other.result()
+
+
+def _numbered(df: DataFrame, key: str | None) -> DataFrame:
+    """``_m_id`` made unique: a key gives the order, numbers first, and a generated number tells equal ones apart."""
+    if not key:
+        return df
+    return df.withColumn("_m_id", F.struct(
+        F.col("_m_id").isNull().alias("last"), F.col("_m_id").alias("number"),
+        F.col(quoted(key)).cast("string").alias("text"), F.monotonically_increasing_id().alias("row")))
 
 
 def _rules(base, supp, cfg, strategy):

@@ -18,12 +18,11 @@ def has_interval_columns(base: DataFrame, supp: DataFrame) -> bool:
         "road_id", "region_id", C.START_KM, C.END_KM} <= set(supp.columns)
 
 
-def decide(cfg: MatchConfig, coordinates: bool, intervals: bool, pairs: int) -> str:
+def decide(cfg: MatchConfig, coordinates: bool, intervals: bool) -> str:
     """The strategy for given capabilities; plain logic without Spark."""
     # Asking for distances where none can be had falls back to the road.
     force_road = cfg.enable_spatial and not coordinates
-    wants_spatial = cfg.enable_spatial or pairs > C.PAIR_GUARD
-    if wants_spatial and coordinates:
+    if cfg.enable_spatial and coordinates:
         return "spatial"
     if intervals:
         return "range"
@@ -36,7 +35,6 @@ def choose_strategy(base: DataFrame, supp: DataFrame, cfg: MatchConfig) -> str:
         return cfg.strategy
     sides = {row["side"]: row for row in coverage(base, supp).collect()}
     coordinates = all(row["with_lat"] > 0 and row["with_lon"] > 0 for row in sides.values())
-    pairs = sides["base"]["rows"] * sides["supplement"]["rows"]
-    chosen = decide(cfg, coordinates, has_interval_columns(base, supp), pairs)
-    log.info("strategy %s for %d possible pairs", chosen, pairs)
+    chosen = decide(cfg, coordinates, has_interval_columns(base, supp))
+    log.info("strategy %s", chosen)
     return chosen

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import and_
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 
 def quoted(name: str):
@@ -37,18 +40,36 @@ def checkpoint_folder(spark: SparkSession) -> str:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="waymatch-checkpoint-")
+            _removed_at_exit(spark, folder)
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def _removed_at_exit(spark: SparkSession, folder: str) -> None:
+    """Folders of intermediate tables go when the JVM of the session ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written copy."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the checkpoint folder and go on from the copy.
+
+    Later reads take only the columns they need.  The copy's columns are
+    numbered, so any names will do, and columns without a type come back.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    empty = [f.name for f in plain.schema if isinstance(f.dataType, NullType)]
+    typed = plain.drop(*empty)
+    typed.write.parquet(folder)
+    _removed_at_exit(spark, folder)
+    back = spark.read.schema(typed.schema).parquet(folder)
+    return back.withColumns({c: F.lit(None) for c in empty}).select(*plain.columns).toDF(*df.columns)
 
 
 def saved_both(one: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``saved`` for two frames at a time: neither has to wait for the other."""
     with ThreadPoolExecutor(2) as pool:
-        first, second = pool.map(saved, (one, other))
-    return first, second
+        second = pool.submit(inheritable_thread_target(one.sparkSession)(saved), other)
+        return saved(one), second.result()

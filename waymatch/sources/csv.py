@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymatch import config as C
-from waymatch.operators.assemble import HELPERS, public_columns
+from waymatch.config import HELPERS
+from waymatch.operators.assemble import public_columns
 from waymatch.session import quoted
 
 
