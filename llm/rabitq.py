@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -19,6 +19,8 @@ BITS = 8
 SURE = 3.0
 #: Codes and queries that meet in one task.
 CODES, QUERIES = 16_384, 1024
+#: Queries that are estimated at a time.
+STEP = 128
 
 
 @lru_cache(8)
@@ -63,29 +65,50 @@ def _codes(found: DataFrame) -> DataFrame:
     return found.mapInArrow(read, found.select("*").schema.add("code", "binary").add("factor", "double"))
 
 
+def _unit(rows) -> np.ndarray:
+    v = np.stack(rows.to_list())
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def reranked(codes: np.ndarray, factors: np.ndarray, vectors: np.ndarray, queries: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and queries (their numbers) of which the rows are among the query's ``need`` best of this block.
+
+    Only rows whose upper bound reaches the ``need``-th lower bound are scored
+    with the vectors themselves.  Rows that are level with the last one, but for
+    rounding, stay as well.
+    """
+    rows, whose = [], []
+    for at in range(0, len(queries), STEP):
+        estimate, reach = bounds(codes, factors, queries[at:at + STEP])
+        low = estimate - reach[:, None]
+        bar = np.partition(low, -need, axis=0)[-need] if len(codes) >= need else np.full(low.shape[1], -np.inf)
+        maybe = (estimate + reach[:, None] >= bar).T
+        for q, among in enumerate(maybe):
+            place = np.flatnonzero(among)
+            exact = vectors[place] @ queries[at + q]
+            if len(place) > need:
+                place = place[exact >= np.partition(exact, -need)[-need] - 1e-12]
+            rows.append(place)
+            whose.append(np.full(len(place), at + q))
+    return np.concatenate(rows), np.concatenate(whose)
+
+
 def _candidates(found: DataFrame, asked: DataFrame, need: int) -> DataFrame:
-    """The pairs of query and code that may be among the ``need`` best: each block of queries meets each block of codes once."""
-    codes, m = blocks(found.select(F.size("v").alias("d"), "rep", "code", "factor"), "rep", CODES, "chunk")
-    queries, n = blocks(asked.select(F.size("v").alias("d"), F.col("rep").alias("qrep"), "v"), "qrep", QUERIES, "block")
+    """The pairs of query and row that may be among the ``need`` best: each block of queries meets each block of codes once."""
+    codes, m = blocks(found.select(F.size("v").alias("d"), "rep", "code", "factor", "v"), "rep", CODES, "chunk")
+    queries, n = blocks(asked.select(F.size("v").alias("d"), F.col("rep").alias("qrep"), F.col("v").alias("w")), "qrep", QUERIES, "block")
     left = codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     right = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
     def meet(c, q):
         if not len(c) or not len(q):
-            return pd.DataFrame({"qrep": [], "rep": [], "low": [], "high": []})
-        v = np.stack(q["v"].to_list())
-        v = v / np.abs(v).max(1, keepdims=True)
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        factors = c["factor"].to_numpy()
-        estimate, reach = bounds(np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1), factors, v)
-        low = estimate - reach[:, None]
-        bar = np.partition(low, -need, axis=0)[-need] if len(c) >= need else np.full(len(q), -np.inf)
-        i, j = np.nonzero(estimate + reach[:, None] >= bar)
-        return pd.DataFrame({"qrep": q["qrep"].to_numpy()[j], "rep": c["rep"].to_numpy()[i], "low": low[i, j],
-                             "high": estimate[i, j] + reach[i]})
+            return pd.DataFrame({"qrep": [], "rep": []})
+        codes = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
+        i, j = reranked(codes, c["factor"].to_numpy(), _unit(c["v"]), _unit(q["w"]), need)
+        return pd.DataFrame({"qrep": q["qrep"].to_numpy()[j], "rep": c["rep"].to_numpy()[i]})
 
-    return left.groupBy("d", "block", "chunk").cogroup(right.groupBy("d", "block", "chunk")) \
-        .applyInPandas(meet, "qrep long, rep long, low float, high float")
+    return left.groupBy("d", "block", "chunk").cogroup(right.groupBy("d", "block", "chunk")).applyInPandas(meet, "qrep long, rep long")
 
 
 def nearest(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -95,9 +118,10 @@ def nearest(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id"
     times its dimensions) and keeps the signs as packed bits, with the one
     scalar that corrects the estimate of an inner product made from them.
     Blocks of queries meet blocks of codes; each estimate has an error bound of
-    ``SURE`` standard deviations, and only pairs whose upper bound reaches the
-    lower bounds of the best so far go on to be scored exactly from the vectors
-    themselves, in double precision.  All codes are looked at; what is
+    ``SURE`` standard deviations, and only rows whose upper bound reaches the
+    lower bounds of the best are reranked with the vectors themselves.  The best
+    of each block are scored in double precision and put together, about k + 1
+    rows for each query and block.  All codes are looked at; what is
     approximate is that a bound may be missed, with a chance of about one in
     seven hundred for a neighbour at the very edge of it.
 
@@ -112,13 +136,10 @@ def nearest(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id"
     found = stored(_codes(classes(vectors, "v", k)))
     queries = queries_of(vectors, "v", found, every)
     asked = found.join(queries.select("qrep").distinct(), F.col("rep") == F.col("qrep"), "left_semi")
-    pairs = stored(_candidates(found, asked, k + 1))
-    bars = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("qrep").orderBy(F.desc("low")))) \
-        .where(F.col("nth") == k + 1).select("qrep", F.col("low").alias("bar"))
-    left = pairs.join(bars, "qrep", "left").where(F.col("bar").isNull() | (F.col("high") >= F.col("bar"))).select("qrep", "rep")
+    pairs = _candidates(found, asked, k + 1)
     root = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     sides = found.select("rep", "v", root.alias("size"))
-    scored = left.join(sides, "rep").join(sides.select(F.col("rep").alias("qrep"), F.col("v").alias("w"), F.col("size").alias("qsize")), "qrep") \
+    scored = pairs.join(sides, "rep").join(sides.select(F.col("rep").alias("qrep"), F.col("v").alias("w"), F.col("size").alias("qsize")), "qrep") \
         .select("qrep", "rep", (F.aggregate(F.zip_with("w", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
                                 / (F.col("qsize") * F.col("size"))).alias("score"))
     return answers(scored, found, queries, k)
