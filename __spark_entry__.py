@@ -7,11 +7,11 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import survey_tables as tables
-from survey_tables import DIST_SQL, MICROS, TABLES_SQL
+from survey_tables import BASE_CROWD, BASE_KM, DIST_SQL, MICROS, RANGES_CROWD, SUPP_CROWD, SUPP_LATE, TABLES_SQL, tables_sql
 from waymatch import (
     MatchConfig,
     blocked_pair_counts,
@@ -135,6 +135,61 @@ def _best(strategy: str, intervals: bool = False, **flags):
     return query
 
 
+def _crowded(strategy: str, intervals: bool = False, **flags):
+    """``_best`` over tables folded into a crowd."""
+    def query(spark, sf):
+        cfg = MatchConfig(strategy=strategy, supp_columns=("rec_id",), **KEYS, **flags)
+        supp = (tables.range_crowd if intervals else tables.supp_crowd)(spark, sf)
+        result = merge(tables.base_crowd(spark, sf), supp, cfg)
+        timed = ["time_diff_seconds"] if "time_diff_seconds" in result.columns else []
+        return result.select("rec_id", "rec_id_lmd", *timed, "chainage_diff_meters")
+    return query
+
+
+def time_limit_edge(spark, sf):
+    """Partners exactly at a limit that is no whole number of microseconds in floating point."""
+    cfg = MatchConfig(max_time_diff_s=8.2, supp_columns=("rec_id",), **KEYS)
+    return merge(tables.base_raw(spark, sf), tables.supp_late(spark, sf), cfg).select(
+        "rec_id", "rec_id_lmd", "time_diff_seconds", "chainage_diff_meters")
+
+
+def merge_without_keys(spark, sf):
+    """Generated ids; the time gap alone is compared, so that ties cannot decide."""
+    cfg = MatchConfig(supp_columns=("tsd_d0",))
+    return merge(tables.base_raw(spark, sf), tables.supp_raw(spark, sf), cfg).select(
+        "rec_id", F.col("tsd_d0").isNotNull().alias("matched"), "time_diff_seconds")
+
+
+DEFAULT_SOME = ("tsd_d200", "tsd_d300", "r2", "NumIts", "h1", "h2", "E1", "E2", "c0", "n", "FitMethod", "Governing LDE")
+
+
+def merge_default_columns(spark, sf):
+    """No column list: the usual columns of those the supplement has."""
+    supp = tables.supp_raw(spark, sf).withColumns({c: F.concat(F.lit(f"{i}-"), "tsd_d0") for i, c in enumerate(DEFAULT_SOME)})
+    out = merge(tables.base_raw(spark, sf), supp, MatchConfig(**KEYS))
+    return out.select("rec_id", "Filename", "tsd_d0", *DEFAULT_SOME, F.lit(len(out.columns)).alias("n_columns"))
+
+
+def location_chainage(spark, sf):
+    return _canonical(prepare_base(tables.base_km(spark, sf), "rec_id"))
+
+
+def job_counts(spark, sf):
+    """Rows that a job on files has read, kept after cleaning, and matched."""
+    summary = _csv_job(spark, sf)
+    return spark.createDataFrame([tuple(summary.counts.values())], ", ".join(f"{k} long" for k in summary.counts))
+
+
+def csv_order(spark, sf):
+    """The rows of each output file in base order: how many come after a larger one, and the version in the name."""
+    summary = _csv_job(spark, sf)
+    back = read_survey(spark, summary.path).select(
+        F.col("rec_id").cast("long").alias("rec_id"), F.monotonically_increasing_id().alias("at"), F.input_file_name().alias("file"))
+    here = back.withColumn("before", F.lag("rec_id").over(Window.partitionBy("file").orderBy("at")))
+    return here.agg(F.count(F.lit(1)).alias("rows_out"), F.count_if(F.col("before") > F.col("rec_id")).alias("out_of_order"),
+                    F.lit(os.path.basename(summary.path)).alias("name"))
+
+
 PAYLOAD = MatchConfig(supp_columns=("tsd_d0", "Filename"), **KEYS)
 
 
@@ -171,15 +226,20 @@ def coverage_check(spark, sf):
     return coverage(_base(spark, sf), _ranges(spark, sf))
 
 
-def csv_roundtrip(spark, sf):
-    """Both surveys to CSV, the whole job on the files, and the output read back."""
+def _csv_job(spark, sf):
+    """Both surveys to CSV, and the whole job on the files."""
     folder = os.path.join(checkpoint_folder(spark), f"csv-{uuid.uuid4().hex}")
     base, supp = f"{folder}/base.csv", f"{folder}/points V1.0.0.7.csv"
     tables.base_raw(spark, sf).write.option("header", True).option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(base)
     tables.supp_raw(spark, sf).write.option("header", True).option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(supp)
-    summary = run_merge_job(spark, base, supp, cfg=PAYLOAD)
+    return run_merge_job(spark, base, supp, cfg=PAYLOAD)
+
+
+def csv_roundtrip(spark, sf):
+    """The output of the job on files, read back."""
+    summary = _csv_job(spark, sf)
     back = read_survey(spark, summary.path)
     return back.withColumns({
         "rec_id": F.col("rec_id").cast("long"),
@@ -235,11 +295,21 @@ def survey_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "coverage_check": coverage_check,
         "csv_roundtrip": csv_roundtrip,
         "preview": first_rows,
+        "merge_crowded": _crowded("spatial"),
+        "distance_crowded": _crowded("spatial", enable_road=False, enable_time=False, max_distance_m=12),
+        "range_crowded": _crowded("range", intervals=True),
+        "auto_blocked": _best("auto", enable_spatial=False),
+        "time_limit_edge": time_limit_edge,
+        "merge_without_keys": merge_without_keys,
+        "merge_default_columns": merge_default_columns,
+        "location_chainage": location_chainage,
+        "job_counts": job_counts,
+        "csv_order": csv_order,
     }
 
 
-def _sql(body: str, more: str = "") -> str:
-    return f"WITH {TABLES_SQL}{more}\n{body}"
+def _sql(body: str, more: str = "", given: str = TABLES_SQL) -> str:
+    return f"WITH {given}{more}\n{body}"
 
 
 NEAR = f"""abs(s.y - b.y) <= 0.0009 AND abs(s.x - b.x) <= 0.00102 AND {DIST_SQL} <= 100"""
@@ -266,10 +336,10 @@ def _best_cte(on: str, order: str, supp: str = "s") -> str:
     best AS (SELECT * FROM ranked WHERE place = 1)"""
 
 
-def _best_sql(on: str, order: str, supp: str = "s") -> str:
+def _best_sql(on: str, order: str, supp: str = "s", given: str = TABLES_SQL) -> str:
     seconds = "CAST(floor(tgap / 1000000) AS bigint) AS time_diff_seconds, " if supp == "s" else ""
     return _sql(f"""SELECT b.rec_id, sid AS rec_id_lmd, {seconds}cgap AS chainage_diff_meters
-        FROM b LEFT JOIN best ON bid = b.rec_id""", _best_cte(on, order, supp))
+        FROM b LEFT JOIN best ON bid = b.rec_id""", _best_cte(on, order, supp), given)
 
 
 DEFAULT_BEST = _best_cte(f"{ROAD} AND {TIME} AND {CHAIN_GAP} <= 5 AND {NEAR}",
@@ -281,6 +351,7 @@ DEFAULT_MERGE = """SELECT b.rec_id, b.road AS "RoadName", b.code AS "Lane", b.la
 
 
 def survey_sql() -> dict[str, str]:
+    crowd = tables_sql(BASE_CROWD, SUPP_CROWD, RANGES_CROWD)
     inside = ("b.road_id IS NOT DISTINCT FROM s.road_id AND b.region_id IS NOT DISTINCT FROM s.region_id "
               "AND b.c BETWEEN s.c AND s.c_end")
     road_lane_any = "b.road = s.road AND (s.\"Lanes\" = 'ALL' OR b.code = s.\"Lanes\")"
@@ -363,6 +434,22 @@ def survey_sql() -> dict[str, str]:
             SELECT 'supplement', count(*), 0, 0 FROM r"""),
         "csv_roundtrip": _sql(DEFAULT_MERGE, DEFAULT_BEST),
         "preview": _sql("SELECT * FROM base_raw ORDER BY rec_id LIMIT 100"),
+        "merge_crowded": _best_sql(f"{ROAD} AND {TIME} AND {CHAIN_GAP} <= 5 AND {NEAR}", f"{TIME_GAP}, {MICROMETRES}", given=crowd),
+        "distance_crowded": _best_sql(f"{LANE} AND abs(s.y - b.y) <= 0.0002 AND {DIST_SQL} <= 12", MICROMETRES, given=crowd),
+        "range_crowded": _best_sql(f"{inside} AND {road_lane_any}", CHAIN_GAP, "r", given=crowd),
+        "auto_blocked": _best_sql(f"{ROAD} AND {TIME} AND {CHAIN_GAP} <= 5", TIME_GAP),
+        "time_limit_edge": _best_sql(f"{ROAD} AND abs(b.t - s.t) <= 8200000 AND {CHAIN_GAP} <= 5 AND {NEAR}",
+                                     f"{TIME_GAP}, {MICROMETRES}", given=tables_sql(supp=SUPP_LATE)),
+        "merge_without_keys": _sql("""SELECT b.rec_id, sid IS NOT NULL AS matched, CAST(floor(tgap / 1000000) AS bigint) AS time_diff_seconds
+            FROM b LEFT JOIN best ON bid = b.rec_id""", DEFAULT_BEST),
+        "merge_default_columns": _sql("SELECT b.rec_id, m.\"Filename\", m.tsd_d0, " + ", ".join(
+            f"'{i}-' || m.tsd_d0 AS \"{c}\"" for i, c in enumerate(DEFAULT_SOME)) + f""", {9 + 2 + len(DEFAULT_SOME) + 2} AS n_columns
+            FROM b LEFT JOIN best ON bid = b.rec_id LEFT JOIN s m ON m.rec_id = sid""", DEFAULT_BEST),
+        "location_chainage": _sql(f"SELECT {canonical} FROM b", given=tables_sql(base=BASE_KM)),
+        "job_counts": _sql("""SELECT (SELECT count(*) FROM base_raw) AS base_read, (SELECT count(*) FROM b) AS base_kept,
+            (SELECT count(*) FROM supp_raw) AS supp_read, (SELECT count(*) FROM s) AS supp_kept, (SELECT count(*) FROM best) AS matched""",
+            DEFAULT_BEST),
+        "csv_order": _sql("SELECT count(*) AS rows_out, 0::bigint AS out_of_order, 'LMD_MSD_Merged_V7.csv' AS name FROM b"),
     }
 
 

@@ -59,6 +59,32 @@ RANGES = {
                          "+ CASE WHEN event_id % 499 = 0 THEN 2 ELSE 0 END as decimal(12,3)) as {text})",
     "tsd_d0": "cast(cast(value as decimal(12,2)) as {text})",
 }
+# The same events folded into a crowd: one road, four lanes, a few metres and half a minute.  Half of the base rows, and half of
+# the supplement rows, lie where the other side has nothing.
+CROWD_LANE = "CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN ' 2' WHEN 'purchase' THEN 'R1' WHEN 'signup' THEN 'L1 ' ELSE 'X9' END"
+BASE_CROWD = {
+    **BASE, "roadname": "' Road 0 '", "lane": CROWD_LANE,
+    "latitude": "cast(cast(-27 + (event_id % 29) * 0.000007 as decimal(10,6)) as {text})",
+    "longitude": "cast(cast(153 + (event_id % 31) * 0.000003 as decimal(10,6)) as {text})",
+    "chainage": "cast(cast((event_id % 37) * 0.1 + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 30 END as decimal(12,2)) as {text})",
+    "road_id": "'R0'", "region_id": "concat('G', cast(event_id % 4 as {text}))", "TestDateUTC": "{time:crowd}",
+}
+SUPP_CROWD = {
+    **SUPP, "roadname": "'Road 0'", "lane": CROWD_LANE,
+    "lat": "cast(cast(-27 + (event_id % 23) * 0.000009 + CASE WHEN event_id % 3 = 0 THEN 0.01 ELSE 0 END as decimal(10,6)) as {text})",
+    "lon": "cast(cast(153 + (event_id % 19) * 0.000005 as decimal(10,6)) as {text})",
+    "chainage": "cast(cast((event_id % 41) * 0.1 + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 10 END as decimal(12,2)) as {text})",
+    "TestDateUTC": "{time:crowd}",
+}
+RANGES_CROWD = {
+    **RANGES, "road_id": "'R0'", "region_id": "concat('G', cast(event_id % 5 as {text}))",
+    "Start Chainage (km)": "cast(cast((event_id % 1999) * 0.00001 as decimal(12,5)) as {text})",
+    "End Chainage (km)": "cast(cast((event_id % 1999) * 0.00001 + 0.001 + (event_id % 13) * 0.003 as decimal(12,5)) as {text})",
+}
+# Supplement rows a fixed time behind the base row of the same event.
+SUPP_LATE = {**SUPP, "TestDateUTC": "{time:late}"}
+# Chainage in kilometres under another name.
+BASE_KM = {**{k: v for k, v in BASE.items() if k != "chainage"}, "location": "cast(cast(event_id * 0.005 as decimal(12,3)) as {text})"}
 
 
 def _time(ms: str, spark: bool) -> str:
@@ -80,7 +106,9 @@ def _time(ms: str, spark: bool) -> str:
 def _filled(expression: str, spark: bool) -> str:
     return (expression.replace("{text}", "string" if spark else "varchar")
             .replace("{time:base}", _time(BASE_MS, spark))
-            .replace("{time:supp}", _time(SUPP_MS, spark)))
+            .replace("{time:supp}", _time(SUPP_MS, spark))
+            .replace("{time:crowd}", _time("(event_id * 7) % 30000", spark))
+            .replace("{time:late}", _time(f"{BASE_MS} + 8200", spark)))
 
 
 # Folders written by this application, by data folder and table.
@@ -99,7 +127,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str, columns: dict) -> DataFr
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
         rows = events.select(*[F.expr(_filled(e, True)).alias(n) for n, e in columns.items()])
         # The given file is one row group, which one task would read alone.
-        spread = rows.repartition(context.defaultParallelism, "rec_id")
+        spread = rows.repartition("rec_id")
         path = f"{checkpoint_folder(spark)}/survey-{uuid.uuid4().hex}/{name}"
         spread.write.parquet(path)
         _written[key] = path
@@ -118,6 +146,26 @@ def supp_range_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "intervals", RANGES)
 
 
+def base_crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "base_crowd", BASE_CROWD)
+
+
+def supp_crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "points_crowd", SUPP_CROWD)
+
+
+def range_crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "intervals_crowd", RANGES_CROWD)
+
+
+def supp_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "points_late", SUPP_LATE)
+
+
+def base_km(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "base_km", BASE_KM)
+
+
 # --- the same tables in SQL -------------------------------------------------
 
 def _select(columns: dict) -> str:
@@ -129,10 +177,16 @@ MICROS = ("epoch_us(try_strptime(\"TestDateUTC\", ['%d/%m/%y %H:%M:%S.%f', '%d/%
 LANE_SQL = "CASE trim(lane) WHEN '1' THEN 'L1' WHEN '2' THEN 'L2' ELSE trim(lane) END"
 VALID_SQL = "('L1', 'R1', 'L2', 'R2', 'LSK1', 'RSK1')"
 
-TABLES_SQL = f"""
-base_raw AS ({_select(BASE)}),
-supp_raw AS ({_select(SUPP)}),
-range_raw AS ({_select(RANGES)}),
+
+def tables_sql(base: dict = BASE, supp: dict = SUPP, ranges: dict = RANGES) -> str:
+    """The raw tables and their cleaned forms ``b``, ``s`` and ``r`` as common table expressions."""
+    raw = f"base_raw AS ({_select(base)}),\nsupp_raw AS ({_select(supp)}),\nrange_raw AS ({_select(ranges)}),"
+    cleaned = CLEANED_SQL.replace("try_cast(chainage AS double) AS c\n    FROM base_raw",
+                                  "try_cast(location AS double) * 1000 AS c\n    FROM base_raw") if "location" in base else CLEANED_SQL
+    return raw + cleaned
+
+
+CLEANED_SQL = f"""
 b AS (
   SELECT * FROM (
     SELECT *, trim(roadname) AS road, {LANE_SQL} AS code, {MICROS} AS t,
@@ -155,6 +209,8 @@ r AS (
   WHERE c IS NOT NULL)
 """
 
+TABLES_SQL = tables_sql()
+
 DIST_SQL = """2 * 6371000 * asin(least(1, sqrt(
   sin((radians(s.y) - radians(b.y)) / 2) * sin((radians(s.y) - radians(b.y)) / 2)
   + cos(radians(b.y)) * cos(radians(s.y))

@@ -27,7 +27,7 @@ from waymatch.session import all_of, saved, saved_both
 # Pairs of rows that one task compares in a crowded bucket.  A bucket with more
 # is cut into parts, PARTS times in two along each limited number; a part that
 # still has more is shared by as many tasks as that takes.
-PAIRS = 1 << 21
+PAIRS = 1 << 22
 PARTS = 3
 
 # A first step into a crowd is narrow enough to leave no more than CROWD points
@@ -297,8 +297,8 @@ def _split_top(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules) ->
     cannot match part ways, and supplement rows are copied only to parts of
     buckets that are still too large and hold base rows.
     """
-    kinds = buckets.available(rules)
-    base, supp, names = buckets.place(base_keys, supp_keys, rules, kinds)
+    base, supp, names = buckets.place(base_keys, supp_keys, rules, buckets.available(rules))
+    kinds = buckets.usual(rules)    # parts of the grid on top of time and chainage would only multiply copies
     done = []
     for level in range(1, PARTS + 2):
         cells = saved(_counted(base, supp, rules, names))

@@ -29,6 +29,7 @@ class MergeSummary:
     path: str
     strategy: str
     report: dict
+    counts: dict
 
 
 def merge(base_df: DataFrame, supp_df: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
@@ -79,9 +80,12 @@ def run_merge_job(spark: SparkSession, base_path: str, supp_path: str,
     """Read two CSV sources, write the merged CSV in base order.
 
     Nothing is written and ``None`` returned when no base row has a match.  The
-    report is gathered by the write itself, without another pass.
+    report is gathered by the write itself, without another pass, and the rows
+    read by the cleaning.
     """
-    base, supp = _prepared(read_survey(spark, base_path), read_survey(spark, supp_path), cfg)
+    read = Observation("base"), Observation("supplement")
+    base, supp = _prepared(*[read_survey(spark, path).observe(seen, F.count(F.lit(1)).alias("rows"))
+                             for path, seen in zip((base_path, supp_path), read, strict=True)], cfg)
     strategy = choose_strategy(base, supp, cfg)
     rules = _rules(base, supp, cfg, strategy)
     best = saved(find_best(base, supp, rules, cfg))
@@ -94,4 +98,7 @@ def run_merge_job(spark: SparkSession, base_path: str, supp_path: str,
     path = write_merged(
         result.observe(seen, *report_columns(result)),
         output_path(base_path, supp_path, output_dir), one_file)
-    return MergeSummary(path, strategy, seen.get)
+    report = seen.get
+    counts = {"base_read": read[0].get["rows"], "base_kept": report["base_rows"], "supp_read": read[1].get["rows"],
+              "supp_kept": supp.count(), "matched": report["matched_rows"]}
+    return MergeSummary(path, strategy, report, counts)
