@@ -12,6 +12,7 @@ from waymatch import (
     null_counts, plan_names, prepare_base, prepare_supp, preview, read_survey, run_merge_job,
     write_merged,
 )
+from waymatch.operators.rules import rules_for
 from waymatch.plans.strategy import decide
 from waymatch.sources.csv import as_text, file_version, output_path
 
@@ -254,3 +255,37 @@ def test_paths():
     assert file_version("/x/V1.0.0.345/lmd.csv") == "345"
     assert file_version("/x/V1.0.1.3.csv") == "unknown"
     assert output_path("/d/base.csv", "s.csv", "/out") == "/out/LMD_MSD_Merged_Vunknown.csv"
+
+
+# --- keys and limits ---------------------------------------------------------
+
+def keyed(spark, key):
+    """Sixty rows a side, matched one to one, under keys made by ``key``."""
+    base = spark.createDataFrame(
+        [(i, key(i), "A", "L1", "0", "0", str(100 * i), AT) for i in range(60)],
+        "n long, k string, roadname string, lane string, latitude string, longitude string, chainage string, TestDateUTC string")
+    supp = spark.createDataFrame(
+        [(i, key(i), "A", "L1", "0", "0", str(100 * i), AT) for i in range(60)],
+        "m long, k string, roadname string, lane string, lat string, lon string, chainage string, TestDateUTC string")
+    return base, supp
+
+
+@pytest.mark.parametrize("key", [
+    lambda i: None if i % 2 else str(i), lambda i: str(i // 2), lambda i: f"key {i % 7}", lambda i: None])
+def test_keys_neither_lose_nor_multiply_rows(spark, key):
+    base, supp = keyed(spark, key)
+    out = merge(base, supp, MatchConfig(supp_columns=("m",), base_key="k", supp_key="k")).collect()
+    assert sorted((r["n"], r["m"]) for r in out) == [(i, i) for i in range(60)]
+
+
+def test_keys_decide_ties_by_number_then_text(spark):
+    base, _ = one_each(spark)
+    rows = [(k, "A", "1", "0", "0", "12.5", AT) for k in ("b", "10", "9", None, "a")]
+    supp = spark.createDataFrame(rows, brute.SUPP_SCHEMA.replace("rec_id long", "rec_id string"))
+    out = merge(base, supp, MatchConfig(supp_columns=("rec_id",), base_key="rec_id", supp_key="rec_id"))
+    assert {r["rec_id"]: r["rec_id_lmd"] for r in out.collect()} == {1: "9", 2: None}
+
+
+def test_time_limit_is_rounded():
+    for ms in (8_200, 1_001, 4_100, 299_999):
+        assert rules_for("spatial", MatchConfig(max_time_diff_s=ms / 1000), True).max_time_us == ms * 1000

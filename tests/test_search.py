@@ -180,3 +180,33 @@ def test_unlimited_pairs_are_refused(spark):
         rules = rules_for(strategy, MatchConfig(strategy=strategy, **flags), True)
         with pytest.raises(ValueError, match="tolerance"):
             match_pairs(b, s, rules)
+
+
+def crowd(n, low, high, seed):
+    """Rows on one road and lane within half a minute and a metre, between two chainages."""
+    rng = random.Random(seed)
+    return [(i, "A", "L1", -27 + rng.uniform(0, 1e-5), 153 + rng.uniform(0, 1e-5), rng.uniform(low, high), rng.randrange(30_000_000))
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("lows", [(0, 10), (0, 6), (0, 0)])
+def test_crowds_that_match_nothing_in_part_or_wholly(spark, monkeypatch, lows):
+    monkeypatch.setattr(search, "PAIRS", 200)
+    base, supp = crowd(150, lows[0], lows[0] + 4, 1), crowd(160, lows[1], lows[1] + 9, 2)
+    cfg = MatchConfig(hot_bucket_rows=20, **KEYS)
+    result = merge(brute.as_base(spark, base), brute.as_supp(spark, supp), cfg)
+    assert matches(result) == brute.best(base, supp, rules_for("spatial", cfg, True))
+
+
+def test_only_hot_buckets_leave_the_plain_path(spark, monkeypatch):
+    seen = []
+    climb = search._climb
+    monkeypatch.setattr(search, "_climb", lambda base, supp, rules, hot: seen.append(base.count()) or climb(base, supp, rules, hot))
+    base, supp = brute.survey(100, 1), brute.survey(100, 2)
+    hot_base, hot_supp = crowd(60, 50_000, 50_004, 3), crowd(60, 50_000, 50_004, 4)
+    base += [(1000 + x[0], "Z", *x[2:]) for x in hot_base]
+    supp += [(1000 + x[0], "Z", *x[2:]) for x in hot_supp]
+    cfg = MatchConfig(hot_bucket_rows=40, **KEYS)
+    result = merge(brute.as_base(spark, base), brute.as_supp(spark, supp), cfg)
+    assert matches(result) == brute.best(base, supp, rules_for("spatial", cfg, True))
+    assert seen == [60]
