@@ -219,7 +219,6 @@ def test_job_on_files(spark, tmp_path):
     cfg = MatchConfig(max_time_diff_s=60, supp_columns=("rec_id",))
     summary = run_merge_job(spark, base_path, supp_path, cfg=cfg)
     assert summary.path == str(tmp_path / "LMD-MSD_Merged" / "LMD_MSD_Merged_V12.csv")
-    from waymatch import rules_for
     expected = brute.best(base, supp, rules_for("spatial", cfg, True))
     rows = read_rows(summary.path)
     assert [int(r["rec_id"]) for r in rows] == [b[0] for b in base]       # base order
@@ -230,10 +229,10 @@ def test_job_on_files(spark, tmp_path):
     back = read_survey(spark, summary.path)
     assert back.count() == 60
 
-    # A second run replaces the first; one file on request.
-    again = run_merge_job(spark, base_path, supp_path, str(tmp_path), cfg, one_file=True)
-    assert len(glob.glob(f"{again.path}/part-*.csv")) == 1
+    # A second run replaces the first.
+    again = run_merge_job(spark, base_path, supp_path, str(tmp_path), cfg)
     assert read_rows(again.path) == rows
+    assert summary.counts == {"base_read": 60, "base_kept": 60, "supp_read": len(supp), "supp_kept": len(supp), "matched": len(expected)}
 
 
 def test_nothing_is_written_without_a_match(spark, tmp_path):

@@ -75,8 +75,7 @@ def _rules(base, supp, cfg, strategy):
 
 
 def run_merge_job(spark: SparkSession, base_path: str, supp_path: str,
-                  output_dir: str | None = None, cfg: MatchConfig = MatchConfig(),
-                  one_file: bool = False) -> MergeSummary | None:
+                  output_dir: str | None = None, cfg: MatchConfig = MatchConfig()) -> MergeSummary | None:
     """Read two CSV sources, write the merged CSV in base order.
 
     Nothing is written and ``None`` returned when no base row has a match.  The
@@ -97,7 +96,7 @@ def run_merge_job(spark: SparkSession, base_path: str, supp_path: str,
     seen = Observation("merge")
     path = write_merged(
         result.observe(seen, *report_columns(result)),
-        output_path(base_path, supp_path, output_dir), one_file)
+        output_path(base_path, supp_path, output_dir))
     report = seen.get
     counts = {"base_read": read[0].get["rows"], "base_kept": report["base_rows"], "supp_read": read[1].get["rows"],
               "supp_kept": supp.count(), "matched": report["matched_rows"]}

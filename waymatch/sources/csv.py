@@ -14,7 +14,6 @@ from waymatch.config import HELPERS
 from waymatch.operators.assemble import public_columns
 from waymatch.session import quoted
 
-
 # Quotes inside a value are doubled, and blanks around a value are part of it.
 _DIALECT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
             "ignoreTrailingWhiteSpace": False}
@@ -60,14 +59,8 @@ def _plain(df: DataFrame) -> bool:
     return not any(isinstance(f.dataType, nested) for f in df.schema.fields)
 
 
-def write_merged(result: DataFrame, path: str, one_file: bool = False) -> str:
-    """Write a folder of CSV part files with headers, replacing what is there.
-
-    ``one_file`` pulls the whole result through one task: only for results
-    known to be small.
-    """
+def write_merged(result: DataFrame, path: str) -> str:
+    """Write a folder of CSV part files with headers, replacing what is there."""
     out = result if _plain(result) else as_text(result)
-    if one_file:
-        out = out.coalesce(1)
     out.write.mode("overwrite").options(**_DIALECT).csv(path)
     return path
