@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from waymatch.session import checkpoint_folder
 
 #: Whole texts are worked on in slices of about this many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+
+#: Bytes of an Arrow batch between JVM and Python, and the setting that holds them.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +37,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def same(left: str, right: str) -> Column:
-    """Equality of two columns in which null equals null."""
-    return F.col(left).eqNullSafe(F.col(right))
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` for rows with texts: the session's Arrow batches are held to ``BATCH_BYTES``.
+
+    By default a batch takes up to 64 MB, which JVM and Python each hold more than once for each task.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) in (None, "67108864b"):
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(function, schema)
 
 
 def in_training_part(doc_id: Column) -> Column:
@@ -44,13 +53,21 @@ def in_training_part(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != 0, F.lit(True))
 
 
+def _borders(column: pa.Array) -> np.ndarray:
+    """The n + 1 offsets of a column of texts or bytes in its data, which is not copied."""
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not len(column):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[1], np.int64 if large else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+
+
 def texts_as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its values; a null has no bytes."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    _, ends, data = column.buffers()
-    offsets = np.frombuffer(ends, np.int64)[column.offset:column.offset + len(column) + 1]
+    offsets = _borders(column)
+    if column.null_count and np.diff(offsets)[column.is_null().to_numpy(zero_copy_only=False)].any():
+        column = column.fill_null("")
+        offsets = _borders(column)
+    data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
@@ -58,9 +75,7 @@ def texts_as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of text, or a single row."""
     for batch in batches:
-        sizes = batch.column(text).cast(pa.large_string()).fill_null("")
-        ends = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset:sizes.offset + len(sizes) + 1]
-        first = 0
+        ends, first = _borders(batch.column(text)), 0
         while first < batch.num_rows:
             last = max(int(np.searchsorted(ends, ends[first] + most, "right")) - 1, first + 1)
             yield batch.slice(first, last - first)

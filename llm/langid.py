@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_training_part, slices, table, texts_as_bytes
+from .common import in_training_part, mapped, slices, table, texts_as_bytes
 
 #: Buckets of hashed n-grams: the first quarter for pairs of bytes, the rest for triples.
 DIMENSIONS = 4096
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                                          ["bucket", "n"])
 
     df = np.zeros(DIMENSIONS + 1)
-    for bucket, n in docs.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
+    for bucket, n in mapped(docs.select("text"), frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
         df[bucket] = n
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 [batch.column("lang"), pa.array([np.flatnonzero(c).astype(np.int16).tobytes() for c in counts], pa.binary()),
                  pa.array([c[c > 0].astype(np.int32).tobytes() for c in counts], pa.binary())], ["lang", "at", "n"])
 
-    rows = drawn.mapInArrow(sparse, "lang string, at binary, n binary").collect()
+    rows = mapped(drawn, sparse, "lang string, at binary, n binary").collect()
     centroids, names, reach = [], [], []
     for lang in sorted(langs):
         own = sorted((bytes(r["at"]), bytes(r["n"])) for r in rows if r["lang"] == lang)
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)],
                                              ["doc_id", "nearest", "score", "rejected"])
 
-    return docs.mapInArrow(judge, docs.select("doc_id").schema.add("nearest", "string").add("score", "double").add("rejected", "boolean"))
+    return mapped(docs, judge, docs.select("doc_id").schema.add("nearest", "string").add("score", "double").add("rejected", "boolean"))
 
 
 def op1_langid(spark, sf_dir):

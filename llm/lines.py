@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cuckoo
-from .common import slices, stored, table
+from .common import mapped, slices, stored, table
 
 #: Characters of a key and documents that hold it, from which it counts as repeated.
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -54,7 +54,7 @@ def _references(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
                     [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), batch.column("doc_id").take(pa.array(rows))],
                     ["hi", "lo", "doc_id"])
 
-    return docs.mapInArrow(read, f"{KEY}, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    return mapped(docs, read, f"{KEY}, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
 
 
 @dataclass(frozen=True)
@@ -206,7 +206,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, id_col: str = "
                 [batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()),
                  pa.array(lost, pa.int64())], ["row", "text", "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(clean, rows.select("row", "text").schema.add("n_lines", "long").add("n_dropped", "long"))
+    return mapped(joined, clean, rows.select("row", "text").schema.add("n_lines", "long").add("n_dropped", "long"))
 
 
 def op6_line_dedup(spark, sf_dir):

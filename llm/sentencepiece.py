@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import mapped, slices, table
 from .cuckoo import mixed
 
 #: A model file of byte-pair pieces; a parameter everywhere.
@@ -19,8 +19,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Units whose pieces are kept, and characters that advance together.
 CACHE, TOGETHER = 400_000, 400_000
-#: Rows that are decoded at a time.
-ROWS = 256
+#: Bytes of text that are encoded, and rows that are decoded, at a time.
+BATCH_BYTES, ROWS = 2 << 20, 256
 #: Slots for pairs of pieces whose border has been judged.
 SLOTS = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -325,13 +325,13 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text") ->
 
     def read(batches):
         encoder = Encoder(sent.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BATCH_BYTES):
             texts = batch.column("text")
             ids, borders = encoder.encode(texts.to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(ids, pa.int32()), mask=texts.is_null())
             yield pa.RecordBatch.from_arrays([batch.column("row"), lists], ["row", "ids"])
 
-    return rows.mapInArrow(read, _schema(rows, "ids", "array<int>"))
+    return mapped(rows, read, _schema(rows, "ids", "array<int>"))
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -350,7 +350,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
                 texts = [_joined(piece, ids) for ids in some.column("ids")]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], [*some.schema.names, "text"])
 
-    return encoded.mapInArrow(write, _schema(encoded, "text", "string"))
+    return mapped(encoded, write, _schema(encoded, "text", "string"))
 
 
 def _joined(piece, ids: pa.ListScalar) -> str | None:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import mapped, slices, stored, table
 from .components import components
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 2, 42
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(found, pa.int64())],
                                              ["doc_id", "mark", "fp"])
 
-    return docs.mapInArrow(hashed, docs.select("doc_id", "mark").schema.add("fp", "long"))
+    return mapped(docs, hashed, docs.select("doc_id", "mark").schema.add("fp", "long"))
 
 
 def links(fps: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, texts_as_bytes
+from .common import mapped, slices, stored, table, texts_as_bytes
 from .cuckoo import mixed
 
 #: Words of a window, and of the grams of which each window's least is its anchor.
@@ -121,7 +121,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
                  _signed(content(at[first], n + WINDOW - 1)), pa.array(nth[first].astype(np.int32)), pa.array(n.astype(np.int32))],
                 ["doc_id", "mark", "anchor", "block", "first", "n"])
 
-    return docs.mapInArrow(read, _with(docs, WORD_BLOCKS))
+    return mapped(docs, read, _with(docs, WORD_BLOCKS))
 
 
 def _with(docs: DataFrame, more: str):
@@ -150,7 +150,7 @@ def _windows(docs: DataFrame) -> DataFrame:
                  _signed(content(at[picked], WINDOW)), pa.array(nth[picked].astype(np.int32)),
                  pa.array(np.ones(len(picked), np.int32))], ["doc_id", "mark", "anchor", "block", "first", "n"])
 
-    return docs.mapInArrow(read, _with(docs, WORD_BLOCKS))
+    return mapped(docs, read, _with(docs, WORD_BLOCKS))
 
 
 #: Some id is smaller than another one; null is larger than any other.
@@ -237,7 +237,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 [batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()),
                  pa.array(removed, pa.int64())], ["row", "text", "n_words", "n_removed"])
 
-    return joined.mapInArrow(clean, rows.select("row", "text").schema.add("n_words", "long").add("n_removed", "long"))
+    return mapped(joined, clean, rows.select("row", "text").schema.add("n_words", "long").add("n_removed", "long"))
 
 
 def op2_substring_dedup(spark, sf_dir):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_training_part, slices, table, texts_as_bytes
+from .common import in_training_part, mapped, slices, table, texts_as_bytes
 
 #: Bound on the labelled rows that are learned from: about so many, drawn by a hash of the id.
 SAMPLE = 20_000
@@ -37,7 +37,7 @@ _SPLIT = re.compile(r"\w[.\-_*]\w+[.\-_*]\w")
 _LENGTHENED = re.compile(r"([^\W\d_])\1\1")
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Words kept with what was found out about them, for each task.
-CACHE = 200_000
+CACHE = 100_000
 
 BUCKETS = 1 << 20
 #: Evidence a feature needs: labelled texts with it, and the lower end of its share of toxic ones against that of all.
@@ -86,7 +86,7 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["triple", "n"])
 
     counts = np.full(SYMBOLS ** 3, SMOOTHING)
-    for triple, n in docs.select(F.col(text_col).alias("text")).mapInArrow(count, "triple long, n long") \
+    for triple, n in mapped(docs.select(F.col(text_col).alias("text")), count, "triple long, n long") \
             .groupBy("triple").agg(F.sum("n")).collect():
         counts[triple] += n
     counts = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
@@ -188,7 +188,9 @@ class Reader:
     def __call__(self, text: str | None) -> set[int]:
         found = set()
         for word in set(SPACED.sub(self._span, (text or "").lower()).split()):
-            found |= self._of_word(word)
+            more = self._of_word(word)
+            if more:
+                found |= more
         return found
 
 
@@ -241,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, sample: int = SAM
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("label").cast(pa.int32()), pa.array([sorted(reader(t.as_py())) for t in batch.column("text")],
                                                                       pa.list_(pa.int32()))], ["label", "found"])
-        return texts.mapInArrow(found, "label int, found array<int>")
+        return mapped(texts, found, "label int, found array<int>")
 
     total = dict(texts.groupBy((F.col("label") > 0).cast("int")).count().collect())
     bad, all_ = total.get(1, 0), sum(total.values())
@@ -278,7 +280,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             scores = [model.score(reader(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
 
-    return rows.mapInArrow(judge, rows.select("row").schema.add("score", "double"))
+    return mapped(rows, judge, rows.select("row").schema.add("score", "double"))
 
 
 def trained(spark, docs: DataFrame, sf_dir: str) -> ToxicityModel:
