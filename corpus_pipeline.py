@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,16 @@ def _as_documents(rows: DataFrame, like: DataFrame) -> DataFrame:
     return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in like.columns])
 
 
+def _in_file_order(docs: DataFrame) -> DataFrame:
+    """Rows by file name and place in the file, as Spark reads large files first; rows that are not read from files as they come."""
+    place = ["place.file_name", "place.row_index"]
+    try:
+        placed = docs.select("*", F.col("_metadata").alias("place"))
+    except AnalysisException:
+        return docs
+    return placed.repartitionByRange(*place).sortWithinPartitions(*place).drop("place")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score as toxic.  Labels are learned from those that may be learned from."""
     kept = score(docs, trained(spark, docs, sf_dir)).where(F.col("score") < TOXIC)
@@ -54,13 +65,16 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in a stream that keeps to the weights of the sources: those of small sources come more than once."""
-    return _as_documents(mix(docs).select("row"), docs)
+    """All documents in a stream that keeps to the weights of the sources: those of small sources come more than once.
+
+    The stream's order is that of the written files by name and of the rows in them.
+    """
+    return _as_documents(mix(docs).repartitionByRange("position").sortWithinPartitions("position"), docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every text, and the text they decode to."""
-    return round_trip(docs)
+    """The pieces of every text, and the text they decode to, in the order of the files that are read."""
+    return round_trip(_in_file_order(docs))
 
 
 STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("simhash near dedup", simhash), ("mixing", mixing),

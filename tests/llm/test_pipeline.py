@@ -1,7 +1,9 @@
 """The pipeline's stages on their own inputs against plain Python, and the registered queries against their SQL."""
 
 import os
+from fractions import Fraction
 
+import pyarrow.parquet as pq
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
@@ -9,6 +11,7 @@ duckdb = pytest.importorskip("duckdb")
 import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from check_queries import rows  # noqa: E402
+from llm.mixing import BLOCK_ROWS, mix  # noqa: E402
 from llm.toxicity import score, trained  # noqa: E402
 
 from . import test_lines, test_simhash  # noqa: E402
@@ -70,6 +73,45 @@ def test_odd_rows(spark, tmp_path):
         assert none.count() == 0
 
 
+def stream(sizes, weights):
+    """(source, rank) of every row by earliest deadline first, slot by slot, until all rows have come once."""
+    order = sorted(sizes, key=lambda x: (x is not None, x or ""))
+    done, out = dict.fromkeys(order, 0), []
+    while any(done[s] * BLOCK_ROWS < sizes[s] for s in order):
+        slot = len(out) // BLOCK_ROWS
+        turn = min((s for s in order if done[s] // weights[s] <= slot), key=lambda s: -(-(done[s] + 1) // weights[s]))
+        out += [(turn, k % sizes[turn]) for k in range(done[turn] * BLOCK_ROWS, (done[turn] + 1) * BLOCK_ROWS)]
+        done[turn] += 1
+    return out
+
+
+def in_files(path):
+    """Rows file by file in the order of the names."""
+    return [r for f in sorted(path.glob("part-*.parquet")) for r in pq.read_table(f).to_pylist()]
+
+
+def test_mixing_keeps_the_stream(spark, tmp_path):
+    sizes = {"a": 900, "b": 150, "c": 31, None: 3}
+    records = [(1000 * j + i, f"text {j} of {i}", s) for j, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    docs = stored(spark.createDataFrame(records, "doc_id long, text string, source string"), tmp_path / "docs")
+    weights = {r.source: Fraction(r.weight) for r in mix(docs).select("source", "weight").distinct().collect()}
+    want = [1000 * list(sizes).index(s) + i for s, i in stream(sizes, weights)]
+    stages = dict(corpus_pipeline.STAGES)
+    # Several files, of which a smaller one comes first.
+    four = stored(stages["mixing"](spark, docs, SF), tmp_path / "4")
+    assert [r["doc_id"] for r in in_files(tmp_path / "4")] == want
+    pq_files = tmp_path / "5in"
+    cut = [0, 50, 900, len(want)]
+    text = {i: t for i, t, _ in records}
+    pq_files.mkdir()
+    for n, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+        spark.createDataFrame([(i, text[i]) for i in want[a:b]], four.select("doc_id", "text").schema).coalesce(1) \
+            .write.parquet(str(tmp_path / f"cut{n}"))
+        (next((tmp_path / f"cut{n}").glob("part-*.parquet"))).rename(pq_files / f"part-{n:05}.parquet")
+    stored(stages["sentencepiece"](spark, spark.read.parquet(str(pq_files)), SF), tmp_path / "5")
+    assert [r["doc_id"] for r in in_files(tmp_path / "5")] == want
+
+
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
