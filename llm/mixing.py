@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import islice
+from math import isfinite
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import mapped, stored, table
 
-#: Slots after which the schedule repeats; weights are multiples of one part in this many.
+#: Weights are whole numbers of parts of the stream, one in this many.
+PARTS = 1 << 48
+#: Slots after which the schedule of ``op3_mixing`` repeats, as its SQL has it.
 CYCLE = 4096
 #: Rows in a block.
 BLOCK_ROWS = 8
@@ -15,6 +24,9 @@ BLOCK_ROWS = 8
 TEMPERING = 0.8
 #: The schedule is planned for the sources together, so their number is bounded.
 MAX_SOURCES = 1000
+#: Slots that are handed on together.
+SLOTS = 1 << 16
+
 
 #: One cycle, slot by slot: block j (from 0) of a source with q blocks a cycle is released at slot j * cycle div q and
 #: due by slot ceil((j + 1) * cycle / q); of the released blocks the one due first runs, ties to the first source.
@@ -29,29 +41,67 @@ aggregate(sequence(0, {cycle} - 1),
     s -> s.turns)"""
 
 
-def _quotas(counts: DataFrame, weights: dict | None, cycle: int, tempering: float) -> DataFrame:
-    """Blocks a cycle for each source: one, and the rest by weight with largest remainders."""
-    if weights is None:
-        weighed = counts.withColumn("w", F.pow("n", F.lit(tempering)))
-    else:
-        given = [F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in weights.items()]
-        weighed = counts.withColumn("w", F.coalesce(*given, F.raise_error(F.concat(
-            F.lit("no weight is given for source "), F.coalesce(F.col("source").cast("string"), F.lit("null"))))))
+def quotas(weights: np.ndarray) -> np.ndarray:
+    """Parts of the stream for each source: the weights to the precision of ``PARTS``, at least one."""
+    q = np.maximum(np.rint(weights / weights.sum() * PARTS), 1).astype(np.int64)
+    q[np.argmax(q)] += PARTS - q.sum()
+    return q
+
+
+def schedule(parts: list[int], blocks: list[int]) -> Iterator[tuple[int, int]]:
+    """(source, its block) slot by slot, until every source has given its ``blocks``.
+
+    Block j (from 0) of a source with q of all parts is released at slot
+    j * all div q and due by slot ceil((j + 1) * all / q); of the released
+    blocks the one due first runs, ties to the first source.
+    """
+    whole, slot, left, done = sum(parts), 0, len(parts), [0] * len(parts)
+    ready, waiting = [(-(-whole // q), i) for i, q in enumerate(parts)], []
+    heapify(ready)
+    while left:
+        while waiting and waiting[0][0] <= slot:
+            i = heappop(waiting)[1]
+            heappush(ready, (-(-(done[i] + 1) * whole // parts[i]), i))
+        i = heappop(ready)[1]
+        yield i, done[i]
+        done[i] += 1
+        left -= done[i] == blocks[i]
+        heappush(waiting, (done[i] * whole // parts[i], i))
+        slot += 1
+
+
+def _slots(counts: DataFrame, block: int) -> DataFrame:
+    """The block that runs in each slot, from the sources' numbers of rows and weights: one task, one step a slot."""
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        sources = pa.Table.from_batches(batches).combine_chunks()
+        n = sources.column("n").to_numpy()
+        parts = quotas(sources.column("w").to_numpy())
+        weight, slot = parts / PARTS, 0
+        turns = schedule(parts.tolist(), (-(-n // block)).tolist())
+        while some := list(islice(turns, SLOTS)):
+            i, j = np.array(some, np.int64).T
+            yield pa.RecordBatch.from_arrays(
+                [sources.column("source").take(pa.array(i)).combine_chunks(), pa.array(n[i]), pa.array(weight[i]), pa.array(j),
+                 pa.array(np.arange(slot, slot + len(some)))], ["source", "n", "weight", "block", "slot"])
+            slot += len(some)
+
+    ordered = counts.repartition(1).sortWithinPartitions(F.asc_nulls_first("source")).select("source", "n", "w")
+    schema = counts.select("source", "n").schema.add("weight", "double").add("block", "long").add("slot", "long")
+    return mapped(ordered, run, schema)
+
+
+def _slots_of_cycles(counts: DataFrame, block: int, cycle: int) -> DataFrame:
+    """The same with weights rounded to blocks a cycle: one for each source, and the rest by weight with largest remainders."""
     every, order = Window.partitionBy(), Window.orderBy(F.desc("rest"), F.asc_nulls_first("source"))
-    sources = F.count(F.lit(1)).over(every)
-    shares = weighed.withColumn("sources", F.when(sources <= min(MAX_SOURCES, cycle), sources).otherwise(
-        F.raise_error(F.lit(f"more than {min(MAX_SOURCES, cycle)} sources")).cast("long"))) \
+    shares = counts.withColumn("sources", F.count(F.lit(1)).over(every)) \
         .withColumn("share", F.col("w") / F.sum("w").over(every) * (F.lit(cycle) - F.col("sources"))) \
         .withColumn("rest", F.col("share") - F.floor("share"))
     left = F.lit(cycle) - F.col("sources") - F.sum(F.floor("share")).over(every)
-    return shares.withColumn("q", (1 + F.floor("share") + F.when(F.row_number().over(order) <= left, 1).otherwise(0))
-                             .cast("int")).select("source", "n", "q")
-
-
-def _plan(counts: DataFrame, weights: dict | None, cycle: int, block: int, tempering: float) -> DataFrame:
-    """For each source its rows, blocks a cycle, slots within the cycle and rows to be emitted in all."""
-    quotas = _quotas(counts, weights, cycle, tempering)
-    listed = quotas.agg(F.array_sort(F.collect_list(F.struct(
+    parts = shares.withColumn("q", (1 + F.floor("share") + F.when(F.row_number().over(order) <= left, 1).otherwise(0)).cast("int"))
+    listed = parts.agg(F.array_sort(F.collect_list(F.struct(
         F.col("source").isNotNull().alias("named"), "source", "n", "q"))).alias("all"))
     turns = listed.withColumn("quotas", F.col("all.q")).select(
         "all", F.posexplode(F.expr(SCHEDULE.format(cycle=cycle))).alias("slot", "i"))
@@ -61,11 +111,13 @@ def _plan(counts: DataFrame, weights: dict | None, cycle: int, block: int, tempe
     blocks = f"((n + {block} - 1) DIV {block})"
     ends = slots.withColumn("end", F.expr(
         f"max(({blocks} - 1) DIV q * {cycle} + slots[CAST(({blocks} - 1) % q AS int)] + 1) OVER ()"))
-    return ends.select("source", "n", "q", "slots", F.expr(
-        f"(end DIV {cycle} * q + size(filter(slots, x -> x < end % {cycle}))) * {block}").alias("emitted"))
+    return ends.withColumn("block", F.explode(F.expr(
+        f"sequence(0L, end DIV {cycle} * q + size(filter(slots, x -> x < end % {cycle})) - 1)"))).select(
+        "source", "n", (F.col("q") / F.lit(cycle)).alias("weight"), "block",
+        F.expr(f"block DIV q * {cycle} + slots[CAST(block % q AS int)]").alias("slot"))
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE,
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, cycle: int | None = None,
         tempering: float = TEMPERING, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Put the rows of all sources into one stream that keeps to the target weights everywhere.
 
@@ -73,9 +125,10 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     run from slot floor(j / w) and must have run by slot ceil((j + 1) / w).
     Earliest deadline first meets every window, so at each slot border each
     source is less than one block away from its share.  Weights (default: rows
-    to the power ``tempering``) are rounded to parts of ``cycle``, each source
-    getting one part at least; the schedule then repeats after ``cycle`` slots
-    and a row's position follows from its rank in its source alone.
+    to the power ``tempering``) are taken to 48 bits.  With ``cycle`` they are
+    rounded to parts of so many slots instead, each source getting one part at
+    least, and the schedule repeats; the stream then keeps to the rounded ones.
+    That needs no Python.
 
     The stream goes on until every row has been in it once.  Sources that run
     out earlier start anew, so their rows come more than once, numbered by
@@ -90,8 +143,10 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     source without a weight in ``weights`` is an error, and so are more than
     ``MAX_SOURCES`` sources.
     """
-    if block_rows < 1 or cycle < 1:
+    if block_rows < 1 or cycle is not None and cycle < 1:
         raise ValueError("block_rows and cycle must be positive")
+    if weights is not None and not all(isfinite(v) and v > 0 for v in weights.values()):
+        raise ValueError("weights must be positive")
     # Contiguous ranges of (source, id): even if one source holds most rows.  "at" has the range in its upper bits and the
     # place within it below; ranges are stored as their borders are sampled anew each time.
     ranges = ["source", "id", "tie"]
@@ -104,20 +159,31 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(F.col("part").alias("run_part"), F.col("source").alias("run_source"), "first",
                        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    # The rows themselves, which may be long, only join once it is known where they go.
+    ranks = rows.select("source", "part", "at") \
+        .join(runs, (F.col("part") == F.col("run_part")) & F.col("source").eqNullSafe(F.col("run_source"))) \
+        .select(F.col("source").alias("rank_source"), (F.col("before") + F.col("at") - F.col("first")).alias("rank"), "at")
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    plan = _plan(counts, weights, cycle, block_rows, tempering).withColumnRenamed("source", "plan_source")
-    placed = rows.join(F.broadcast(runs), (F.col("part") == F.col("run_part")) & F.col("source").eqNullSafe(F.col("run_source"))) \
-        .withColumn("rank", F.col("before") + F.col("at") - F.col("first")) \
-        .join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source")))
-    copies = placed.withColumn("epoch", F.explode(F.expr("sequence(0L, (emitted - 1 - rank) DIV n)"))) \
-        .withColumn("k", F.col("rank") + F.col("epoch") * F.col("n")).withColumn("block", F.expr(f"k DIV {block_rows}"))
-    return copies.select(
-        "row", "source", (F.col("q") / F.lit(cycle)).alias("weight"), "epoch", "block",
-        F.expr(f"(block DIV q * {cycle} + slots[CAST(block % q AS int)]) * {block_rows} + k % {block_rows}").alias("position"))
+    if weights is None:
+        weighed = counts.withColumn("w", F.pow("n", F.lit(tempering)))
+    else:
+        given = [F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in weights.items()]
+        weighed = counts.withColumn("w", F.coalesce(*given, F.raise_error(F.concat(
+            F.lit("no weight is given for source "), F.coalesce(F.col("source").cast("string"), F.lit("null"))))))
+    if counts.count() > min(MAX_SOURCES, cycle or MAX_SOURCES):
+        raise ValueError(f"more than {min(MAX_SOURCES, cycle or MAX_SOURCES)} sources")
+    slots = _slots_of_cycles(weighed, block_rows, cycle) if cycle else _slots(weighed, block_rows)
+    copies = slots.repartition("slot") \
+        .withColumn("k", F.explode(F.expr(f"sequence(block * {block_rows}, (block + 1) * {block_rows} - 1)"))) \
+        .select("source", "weight", F.expr("k DIV n").alias("epoch"), "block", F.expr("k % n").alias("turn"),
+                F.expr(f"slot * {block_rows} + k % {block_rows}").alias("position"))
+    placed = copies.join(ranks, F.col("source").eqNullSafe(F.col("rank_source")) & (F.col("turn") == F.col("rank"))) \
+        .select("source", "weight", "epoch", "block", "position", "at")
+    return placed.join(rows.select("at", "row"), "at").select("row", "source", "weight", "epoch", "block", "position")
 
 
 def op3_mixing(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source")) \
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"), cycle=CYCLE) \
         .select("row.doc_id", "source", "weight", "epoch", "block", "position")
 
 

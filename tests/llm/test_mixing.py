@@ -2,9 +2,10 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from llm.mixing import mix
+from llm.mixing import BLOCK_ROWS, mix, quotas, schedule
 
 
 def docs_of(spark, sizes):
@@ -44,6 +45,31 @@ def test_given_weights(spark):
     assert {r.source: round(r.weight, 3) for r in found} == {"a": 0.25, "b": 0.25, "c": 0.5}
 
 
+@pytest.mark.parametrize("sizes, weights", [({"a": 9, "b": 2400}, {"a": 1, "b": 3}), ({"a": 700, "b": 800, "tail": 1}, None),
+                                            ({"hot": 2000} | {f"s{i}": 1 for i in range(300)}, {"hot": 300} | {f"s{i}": 2 for i in range(300)})])
+def test_deviation_from_the_weights_given(spark, sizes, weights):
+    found = mix(docs_of(spark, sizes), weights, block_rows=2).collect()
+    check(found, sizes, 2)
+    target = weights or {s: n ** 0.8 for s, n in sizes.items()}
+    every, seen = sum(target.values()), Counter()
+    for slot, first in enumerate(sorted(found, key=lambda r: r.position)[::2], 1):
+        seen[first.source] += 1
+        assert all(abs(seen[s] - slot * w / every) < 1 for s, w in target.items())
+
+
+def test_cycles_keep_to_the_weights_in_the_long_run():
+    """Ten large sources and one of one row: the latter comes by its weight, not in every cycle."""
+    sizes = [1_000_000] * 10 + [1]
+    weights = np.array(sizes) ** 0.8
+    seen = Counter(i for i, _ in schedule(quotas(weights).tolist(), [-(-n // BLOCK_ROWS) for n in sizes]))
+    assert all(abs(seen[i] - sum(seen.values()) * w / weights.sum()) < 1 for i, w in enumerate(weights)) and seen[10] <= 3
+
+
+def test_weights_that_leave_rows_out(spark):
+    with pytest.raises(ValueError):
+        mix(docs_of(spark, {"a": 1}), {"a": 0})
+
+
 def test_other_cases(spark):
     repeated = spark.createDataFrame([(1, "a", "x")] * 5 + [(None, "a", None), (2, None, "y")], "doc_id long, source string, epoch string")
     found = mix(repeated, block_rows=1).collect()
