@@ -22,8 +22,6 @@ CYCLE = 4096
 BLOCK_ROWS = 8
 #: A source's default weight grows as its number of rows to this power.
 TEMPERING = 0.8
-#: The schedule is planned for the sources together, so their number is bounded.
-MAX_SOURCES = 1000
 #: Slots that are handed on together.
 SLOTS = 1 << 16
 
@@ -128,7 +126,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     to the power ``tempering``) are taken to 48 bits.  With ``cycle`` they are
     rounded to parts of so many slots instead, each source getting one part at
     least, and the schedule repeats; the stream then keeps to the rounded ones.
-    That needs no Python.
+    That needs no Python, and holds as far as the sources fit into a cycle.
 
     The stream goes on until every row has been in it once.  Sources that run
     out earlier start anew, so their rows come more than once, numbered by
@@ -140,8 +138,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
 
     A null source is a source of its own; null ids come first in their source;
     rows with equal ids are put in any order.  An empty table gives no rows.  A
-    source without a weight in ``weights`` is an error, and so are more than
-    ``MAX_SOURCES`` sources.
+    source without a weight in ``weights`` is an error.  There may be any
+    number of sources: one task holds a few numbers for each.
     """
     if block_rows < 1 or cycle is not None and cycle < 1:
         raise ValueError("block_rows and cycle must be positive")
@@ -170,9 +168,9 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
         given = [F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in weights.items()]
         weighed = counts.withColumn("w", F.coalesce(*given, F.raise_error(F.concat(
             F.lit("no weight is given for source "), F.coalesce(F.col("source").cast("string"), F.lit("null"))))))
-    if counts.count() > min(MAX_SOURCES, cycle or MAX_SOURCES):
-        raise ValueError(f"more than {min(MAX_SOURCES, cycle or MAX_SOURCES)} sources")
-    slots = _slots_of_cycles(weighed, block_rows, cycle) if cycle else _slots(weighed, block_rows)
+    # A cycle with fewer slots than sources is none.
+    cycles = cycle is not None and counts.count() <= cycle
+    slots = _slots_of_cycles(weighed, block_rows, cycle) if cycles else _slots(weighed, block_rows)
     copies = slots.repartition("slot") \
         .withColumn("k", F.explode(F.expr(f"sequence(block * {block_rows}, (block + 1) * {block_rows} - 1)"))) \
         .select("source", "weight", F.expr("k DIV n").alias("epoch"), "block", F.expr("k % n").alias("turn"),

@@ -65,6 +65,15 @@ def test_cycles_keep_to_the_weights_in_the_long_run():
     assert all(abs(seen[i] - sum(seen.values()) * w / weights.sum()) < 1 for i, w in enumerate(weights)) and seen[10] <= 3
 
 
+@pytest.mark.parametrize("sources, cycle", [(4500, None), (4500, 4096), (1500, 4096), (0, 4096)])
+def test_many_sources(spark, sources, cycle):
+    docs = spark.range(2 * sources).selectExpr("id AS doc_id", f"concat('s', id % {sources or 1}) AS source")
+    found = mix(docs, block_rows=1, cycle=cycle).select("row.doc_id", "source", "weight", "position").collect()
+    assert sorted(r.position for r in found) == list(range(len(found))) and {r.doc_id for r in found} == set(range(2 * sources))
+    off = 1 / cycle if cycle and sources <= cycle else 1e-9
+    assert len({r.source for r in found}) == sources and all(abs(r.weight - 1 / sources) < off for r in found)
+
+
 def test_weights_that_leave_rows_out(spark):
     with pytest.raises(ValueError):
         mix(docs_of(spark, {"a": 1}), {"a": 0})
