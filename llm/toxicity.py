@@ -40,8 +40,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 CACHE = 100_000
 
 BUCKETS = 1 << 20
-#: Evidence a feature needs: labelled texts with it, and the lower end of its share of toxic ones against that of all.
-LEAST_TEXTS, SURE = 3, 2.0
+#: Evidence a feature needs: labelled texts with it, standard deviations to the lower end of its share of toxic ones, and how many
+#: times the odds of all labelled texts the odds at that end must be.
+LEAST_TEXTS, SURE, LIFT = 3, 2.0, 2.0
+#: The most that a text without any such feature scores, whatever the share of toxic labels: nothing speaks against it.
+UNSURE = 0.4
 #: Of the regression: steps, and the pull of weights to zero.
 STEPS, RIDGE = 1000, 1e-7
 
@@ -205,12 +208,18 @@ class ToxicityModel:
         return 1 / (1 + exp(-x)) if x > -700 else 0.0
 
 
+def _bias(prior: float) -> float:
+    """Log odds of a text without any feature."""
+    share = min(prior, UNSURE)
+    return float(np.log(share / (1 - share)))
+
+
 def _regression(rows: list[np.ndarray], labels: np.ndarray, size: int, prior: float) -> np.ndarray:
-    """Logistic regression over sets of features; the last weight is the bias.  Full gradients, steps by Adam."""
+    """Logistic regression over sets of features; the last weight is the bias, which is bounded.  Full gradients, steps by Adam."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     columns = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     w = np.zeros(size + 1)
-    w[-1] = np.log(prior / (1 - prior))
+    w[-1] = _bias(prior)
     mean, square = np.zeros(size + 1), np.zeros(size + 1)
     for turn in range(1, STEPS + 1):
         x = np.bincount(owner, w[columns], len(rows)) + w[-1]
@@ -219,6 +228,7 @@ def _regression(rows: list[np.ndarray], labels: np.ndarray, size: int, prior: fl
         slope[:-1] += RIDGE * w[:-1]
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope ** 2
         w -= 0.05 * mean / (1 - 0.9 ** turn) / (np.sqrt(square / (1 - 0.999 ** turn)) + 1e-8)
+        w[-1] = min(w[-1], _bias(UNSURE))
     return w
 
 
@@ -227,8 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, sample: int = SAM
     """Learn from about ``sample`` of the labelled rows given, all of which may be learned from.
 
     Features that are seen clearly more often in toxic texts than by chance are
-    kept and weighed by logistic regression.  Only a count per feature and the
-    kept features of the sampled rows reach the driver.
+    kept and weighed by logistic regression.  They are judged by odds, so any
+    share of toxic labels will do; a text without any of them scores ``UNSURE``
+    at most, also when no label can be learned from or all are alike.  Only a
+    count per feature and the kept features of the sampled rows reach the driver.
     """
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL") \
         .groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -249,12 +261,12 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, sample: int = SAM
     bad, all_ = total.get(1, 0), sum(total.values())
     prior = (bad + 0.5) / (all_ + 1)
     if not bad or bad == all_:
-        return ToxicityModel(costs, float(np.log(prior / (1 - prior))))
+        return ToxicityModel(costs, _bias(prior))
     share = F.col("bad") / F.col("n")
     low = share - SURE * F.sqrt(share * (1 - share) / F.col("n") + 1 / (4 * F.col("n") * F.col("n")))
     kept = read(None).select("label", F.explode("found").alias("feature")).groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("label") > 0).cast("int")).alias("bad")) \
-        .where((F.col("bad") >= LEAST_TEXTS) & (low > 2 * prior)).select("feature").collect()
+        .where((F.col("bad") >= LEAST_TEXTS) & (low * (1 - prior) > LIFT * prior * (1 - low))).select("feature").collect()
     place = {r.feature: i for i, r in enumerate(sorted(kept))}
     rows = sorted((tuple(place[f] for f in r.found), int(r.label > 0)) for r in read(place).collect())
     w = _regression([np.array(r, np.int64) for r, _ in rows], np.array([x for _, x in rows]), len(place), prior)

@@ -97,6 +97,27 @@ def test_without_labels(spark):
         assert isinstance(learned, ToxicityModel) and all(0 <= r.score <= 1 for r in score(docs, learned).collect())
 
 
+@pytest.mark.parametrize("of_twenty", [0, 1, 8, 10, 15, 18, 20])
+def test_any_share_of_toxic_labels(spark, of_twenty):
+    rng = random.Random(of_twenty)
+    words = ["the", "house", "green", "river", "walks", "under", "seven", "stone", "bridge", "lamp", "winter", "sea"]
+    texts = [[rng.choice(words) for _ in range(12)] + ["idiot", "moron"][:i % 20 < of_twenty] for i in range(800)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("idiot" in t)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    got = {r.row.doc_id: r.score for r in score(docs, fit(docs, labels, language_model(docs))).collect()}
+    clean = [i for i, t in enumerate(texts) if "idiot" not in t]
+    assert all(got[i] < 0.5 for i in clean)
+    # Nothing can be told from labels that are all alike: nothing is rejected.
+    assert {i for i in got if got[i] < 0.5} == set(clean if 0 < of_twenty < 20 else got)
+
+
+@pytest.mark.parametrize("marks", [[], [(99, 1)], [(1, 1)], [(1, None)]])
+def test_labels_of_no_use_reject_nothing(spark, marks):
+    docs = spark.createDataFrame([(1, "text"), (2, "another"), (None, None)], "doc_id long, text string")
+    learned = fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int"), language_model(docs))
+    assert all(0 <= r.score < 0.5 for r in score(docs, learned).collect())
+
+
 def test_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = op8_toxicity(spark, SF).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
