@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, rabitq, sentencepiece, sharding, simhash, substring, topk, toxicity
+from . import langid, lines, mixing, quality, rabitq, sentencepiece, sharding, simhash, substring, topk, toxicity
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_topk": topk.op9_topk,
         "op10_sharding": sharding.op10_sharding,
+        "op11_quality": quality.op11_quality,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -31,4 +32,5 @@ def oracle_sql():
         "op6_line_dedup": lines.OP6_SQL,
         "op9_topk": topk.OP9_SQL,
         "op10_sharding": sharding.OP10_SQL,
+        "op11_quality": quality.OP11_SQL,
     }
