@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, phrases, quality, rabitq, sentencepiece, sharding, simhash, substring, topk, toxicity
+from . import conversations, langid, lines, mixing, phrases, quality, rabitq, sentencepiece, sharding, simhash, substring, topk, toxicity
 
 
 def queries():
@@ -20,6 +20,7 @@ def queries():
         "op9_topk": topk.op9_topk,
         "op10_sharding": sharding.op10_sharding,
         "op11_quality": quality.op11_quality,
+        "op12_conversations": conversations.op12_conversations,
         "op13_phrases": phrases.op13_phrases,
         "pipeline": corpus_pipeline.run,
     }
@@ -34,5 +35,6 @@ def oracle_sql():
         "op9_topk": topk.OP9_SQL,
         "op10_sharding": sharding.OP10_SQL,
         "op11_quality": quality.OP11_SQL,
+        "op12_conversations": conversations.OP12_SQL,
         "op13_phrases": phrases.OP13_SQL,
     }
