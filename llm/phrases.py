@@ -149,25 +149,25 @@ def _pairs(ids: np.ndarray) -> np.ndarray:
     return first[both] << 32 | second[both]
 
 
-def _tries(phrases: DataFrame, size: int, longest: int) -> Iterator[tuple[int, object]]:
+def _tries(phrases: DataFrame, size: int, longest: int, vocabulary: int) -> Iterator[tuple[int, object]]:
     """Broadcast tries of ``TRIE_PHRASES`` phrases each, and the number of the first."""
     for low in range(0, size, TRIE_PHRASES):
         block = phrases.where(F.col("nth").between(low, low + TRIE_PHRASES - 1)).orderBy("nth")
         block = block.select(*[F.coalesce(F.get("ids", F.lit(i)), F.lit(-1)).alias(f"w{i}") for i in range(longest)]).toArrow()
-        trie = DoubleArray.of(np.stack([c.to_numpy() for c in block.columns], 1))
+        trie = DoubleArray.of(np.stack([c.to_numpy() for c in block.columns], 1), vocabulary)
         sent = phrases.sparkSession.sparkContext.broadcast(trie)
         yield low, sent
         sent.unpersist()
 
 
-def _longer(coded: DataFrame, phrases: DataFrame, size: int, length: int, least: int) -> DataFrame:
+def _longer(coded: DataFrame, phrases: DataFrame, size: int, vocabulary: int, length: int, least: int) -> DataFrame:
     """Frequent phrases of ``length`` words, from those of one word less.
 
     Only places count where the words before the last make a frequent phrase;
     as far as one trie holds all phrases, those after the first must too.
     """
     found = []
-    for low, sent in _tries(phrases, size, length - 1):
+    for low, sent in _tries(phrases, size, length - 1, vocabulary):
         def codes(ids, sent=sent, every=size <= TRIE_PHRASES):
             trie = sent.value
             *_, (at, state) = trie.walk(ids)
@@ -186,10 +186,10 @@ def _longer(coded: DataFrame, phrases: DataFrame, size: int, length: int, least:
         .select(F.concat("ids", F.array("word")).alias("ids"))
 
 
-def _occurrences(coded: DataFrame, phrases: DataFrame, size: int, longest: int) -> DataFrame:
+def _occurrences(coded: DataFrame, phrases: DataFrame, size: int, vocabulary: int, longest: int) -> DataFrame:
     """Each phrase's occurrences ``a``: all positions advance through a trie, a shard counts its accepting states, shards add up."""
     found = []
-    for low, sent in _tries(phrases, size, longest):
+    for low, sent in _tries(phrases, size, longest, vocabulary):
         def read(batches, sent=sent, low=low):
             trie, total = sent.value, None
             for batch in batches:
@@ -242,18 +242,18 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, mo
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counts = stored(_word_counts(docs))
     sizes = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    vocabulary, size = _numbered(counts.where(F.col("n") >= least), "lang", "word")
-    coded = _encoded(docs, vocabulary, size) if size else docs.select(F.lit(None).cast("binary").alias("ids")).limit(0)
+    vocabulary, known = _numbered(counts.where(F.col("n") >= least), "lang", "word")
+    coded = _encoded(docs, vocabulary, known) if known else docs.select(F.lit(None).cast("binary").alias("ids")).limit(0)
     pairs = _counted(coded, _pairs).where(F.col("n") >= least)
     phrases, size = _numbered(pairs.select(F.expr("array(CAST(shiftright(code, 32) AS int), CAST(code & 4294967295L AS int))").alias("ids")), "ids")
     lengths = [phrases]
     for length in range(3, longest + 1):
         if size:
-            phrases, size = _numbered(_longer(coded, phrases, size, length, least), "ids")
+            phrases, size = _numbered(_longer(coded, phrases, size, known, length, least), "ids")
             lengths.append(phrases)
     phrases, size = _numbered(reduce(DataFrame.unionByName, lengths).select("ids"), "ids")
     if size:
-        counted = phrases.join(_occurrences(coded, phrases, size, longest), "nth")
+        counted = phrases.join(_occurrences(coded, phrases, size, known, longest), "nth")
     else:
         counted = phrases.withColumn("a", F.lit(0).cast("long"))
     return _chosen(stored(_spelled(counted, vocabulary)), vocabulary, sizes, most, cover_pct)

@@ -7,95 +7,98 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Places that are tried at a time for the children of one state.
-TRIES = 1 << 16
+#: A number is taken digit by digit, so that the children of a state lie near each other.
+BITS = 8
+RADIX = 1 << BITS
+#: Places that are looked through at a time for the children of one state.
+WIDTH = 1 << 11
 
 
 @dataclass(frozen=True)
 class DoubleArray:
-    """States are places in three arrays.
+    """States are places in three arrays; 0 is the first state.
 
-    The first symbol leads to the state of its own number.  From state s symbol
-    c leads to ``base[s] + c`` if ``check`` of that place is s.  ``accept`` has
-    the number of the sequence that ends in a state, or -1.
+    From state s digit c leads to ``base[s] + c`` if ``check`` of that place is
+    s.  ``accept`` has the number of the sequence that ends in a state, or -1.
     """
 
     base: np.ndarray
     check: np.ndarray
     accept: np.ndarray
-    symbols: int
-    depth: int
+    digits: int
+    length: int
 
     @classmethod
-    def of(cls, sequences: np.ndarray) -> DoubleArray:
-        """From the rows of a matrix in lexicographic order, shorter ones filled up with -1."""
-        symbols, depth = int(sequences.max()) + 1, sequences.shape[1]
-        used = np.zeros(2 * symbols, bool)
-        used[:symbols] = True
-        state, low, edges = sequences[:, 0].astype(np.int64), symbols, []
-        for level in range(1, depth):
-            rows = np.flatnonzero(sequences[:, level] >= 0)
-            if not len(rows):
-                break
-            parent, symbol = state[rows], sequences[rows, level].astype(np.int64)
-            new = np.concatenate(([True], (parent[1:] != parent[:-1]) | (symbol[1:] != symbol[:-1])))
-            places, used, low = _placed(parent[new], symbol[new], symbols, used, low)
-            edges.append((parent[new], symbol[new], places))
-            state[rows] = places[np.cumsum(new) - 1]
-        bases = [p - s for _, s, p in edges]
-        size = max([int(b.max()) for b in bases], default=0) + 2 * symbols
-        base, check, accept = (np.full(size, -1, np.int32) for _ in range(3))
-        for (parent, _, place), b in zip(edges, bases, strict=True):
-            base[parent], check[place] = b, parent
+    def of(cls, sequences: np.ndarray, numbers: int) -> DoubleArray:
+        """From the rows of a matrix in lexicographic order, shorter ones filled up with -1, of numbers below ``numbers``."""
+        digits = max(1, -(-(numbers - 1).bit_length() // BITS))
+        state, used, edges = np.zeros(len(sequences), np.int64), np.zeros(2 * RADIX, bool), []
+        used[:RADIX] = True
+        for column in sequences.T:
+            for digit in reversed(range(digits)):
+                rows = np.flatnonzero(column >= 0)
+                parent, symbol = state[rows], column[rows].astype(np.int64) >> BITS * digit & RADIX - 1
+                new = np.ones(len(rows), bool)
+                new[1:] = (parent[1:] != parent[:-1]) | (symbol[1:] != symbol[:-1])
+                places, used = _placed(parent[new], symbol[new], used)
+                edges.append((parent[new], symbol[new], places))
+                state[rows] = places[np.cumsum(new) - 1]
+        size = max(int(p.max(initial=0)) for *_, p in edges) + RADIX
+        # States without children point to places behind all others.
+        base, check, accept = np.full(size, size, np.int32), np.full(size + RADIX, -1, np.int32), np.full(size, -1, np.int32)
+        for parent, symbol, place in edges:
+            base[parent], check[place] = place - symbol, parent
         accept[state] = np.arange(len(sequences))
-        return cls(base, check, accept, symbols, depth)
+        return cls(base, check, accept, digits, sequences.shape[1])
 
     def walk(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each depth from 1: the positions of ``text`` from which so many symbols lead to a state, and that state.
+        """For each length from 1: the positions of ``text`` from which so many numbers lead to a state, and that state.
 
         Numbers below 0 are in no sequence.
         """
-        at = np.flatnonzero((text >= 0) & (text < self.symbols))
-        state = text[at].astype(np.int64)
-        yield at, state
-        for more in range(1, self.depth):
-            go = (self.base[state] >= 0) & (at + more < len(text))
-            at, state = at[go], state[go]
-            symbol = text[at + more]
-            go = (symbol >= 0) & (symbol < self.symbols)
-            at, state = at[go], state[go]
-            place = self.base[state].astype(np.int64) + symbol[go]
-            go = self.check[place] == state
-            at, state = at[go], place[go]
+        at, state = np.arange(len(text)), np.zeros(len(text), np.int64)
+        for more in range(self.length):
+            here = np.flatnonzero(at < len(text) - more)
+            here = here[text[at[here] + more] >= 0]
+            at, state = at[here], state[here]
+            number = text[at + more]
+            for digit in reversed(range(self.digits)):
+                place = self.base[state] + (number >> BITS * digit & RADIX - 1)
+                go = np.flatnonzero(self.check[place] == state)
+                at, state, number = at[go], place[go], number[go]
             yield at, state
 
 
-def _placed(parent, symbol, symbols, used, low):
-    """A free place for each edge, at one distance from the symbols of its parent; ``low``: where there may be room."""
-    first = np.flatnonzero(np.concatenate(([True], parent[1:] != parent[:-1])))
+def _placed(parent: np.ndarray, symbol: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A free place for each edge, at one distance from the symbols of its parent.
+
+    The states with most children come first; each time there are half as many
+    children the search begins at the front again.
+    """
+    first = np.flatnonzero(np.concatenate((np.ones(len(parent[:1]), bool), parent[1:] != parent[:-1])))
     count = np.diff(np.append(first, len(parent)))
-    places = np.empty(len(parent), np.int64)
+    places, low, most = np.empty(len(parent), np.int64), 0, 0
     for group in np.argsort(-count, kind="stable"):
         if count[group] == 1:
             break
+        if 2 * count[group] <= most or not most:
+            low, most = 0, count[group]
         own = slice(first[group], first[group] + count[group])
-        wanted, width = symbol[own], max(1, TRIES // count[group] // 64)
-        start = low - wanted[0]
+        wanted = symbol[own]
         while True:
-            if len(used) < start + width + symbols:
-                used = np.concatenate((used, np.zeros(max(len(used), width + symbols), bool)))
-            free = np.flatnonzero(~used[start + np.arange(width)[:, None] + wanted].any(1))
-            if len(free):
+            if len(used) < low + WIDTH + 2 * RADIX:
+                used = np.concatenate((used, np.zeros(len(used) + WIDTH, bool)))
+            start = np.flatnonzero(~used[low:low + WIDTH]) + low - wanted[0]
+            start = start[start >= 0]
+            fits = np.flatnonzero(~used[start[:, None] + wanted].any(1))
+            if len(fits):
                 break
-            start += width
-        if start > low - wanted[0]:
-            low += width // 4 + 1
-        places[own] = start + free[0] + wanted
+            low += WIDTH
+        places[own] = start[fits[0]] + wanted
         used[places[own]] = True
     # An only child goes to any free place.
     single = first[count == 1]
-    if len(single):
-        used = np.concatenate((used, np.zeros(len(single), bool)))
-        places[single] = np.flatnonzero(~used[symbols:])[:len(single)] + symbols
-        used[places[single]] = True
-    return places, used, low
+    used = np.concatenate((used, np.zeros(len(single) + RADIX, bool)))
+    places[single] = np.flatnonzero(~used)[:len(single)]
+    used[places[single]] = True
+    return places, used

@@ -91,10 +91,11 @@ def test_sums_beyond_64_bits(spark):
 @pytest.mark.parametrize("seed", range(8))
 def test_trie_equals_dictionary(seed):
     rng = random.Random(seed)
-    symbols = rng.choice([3, 20, 300])
+    symbols = rng.choice([3, 20, 300, 70_000])
     sequences = sorted({tuple(rng.randrange(symbols) for _ in range(rng.randrange(1, 5))) for _ in range(rng.choice([1, 40, 900]))})
     matrix = np.array([[*s, *[-1] * (4 - len(s))] for s in sequences], np.int32)
-    trie, text = DoubleArray.of(matrix), np.array([rng.randrange(-1, symbols + 3) for _ in range(2000)], np.int32)
+    trie = DoubleArray.of(matrix, symbols + 3)
+    text = np.array([*[rng.randrange(-1, symbols + 3) for _ in range(2000)], *matrix.ravel()], np.int32)
     number = {s: i for i, s in enumerate(sequences)}
     want = {(i, m, number[t]) for m in range(1, 5) for i in range(len(text) - m + 1) if (t := tuple(text[i:i + m].tolist())) in number}
     got = set()
