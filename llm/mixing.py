@@ -2,131 +2,129 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
-from itertools import islice
 from math import isfinite
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, stored, table
+from .common import stored, table
 
 #: Weights are whole numbers of parts of the stream, one in this many.
-PARTS = 1 << 48
-#: Slots after which the schedule of ``op3_mixing`` repeats, as its SQL has it.
-CYCLE = 4096
+PARTS = 1 << 40
 #: Rows in a block.
 BLOCK_ROWS = 8
 #: A source's default weight grows as its number of rows to this power.
 TEMPERING = 0.8
-#: Slots that are handed on together.
-SLOTS = 1 << 16
-
-
-#: One cycle, slot by slot: block j (from 0) of a source with q blocks a cycle is released at slot j * cycle div q and
-#: due by slot ceil((j + 1) * cycle / q); of the released blocks the one due first runs, ties to the first source.
-SCHEDULE = """
-aggregate(sequence(0, {cycle} - 1),
-    named_struct('done', transform(quotas, q -> 0), 'turns', CAST(array() AS array<int>)),
-    (s, t) -> transform(
-        array(array_min(transform(quotas, (q, i) -> CASE WHEN s.done[i] < q AND s.done[i] * {cycle} DIV q <= t
-            THEN named_struct('due', ((s.done[i] + 1) * {cycle} + q - 1) DIV q, 'i', i) END)).i),
-        turn -> named_struct('done', transform(s.done, (d, i) -> IF(i = turn, d + 1, d)),
-                             'turns', concat(s.turns, array(turn))))[0],
-    s -> s.turns)"""
-
-
-def quotas(weights: np.ndarray) -> np.ndarray:
-    """Parts of the stream for each source: the weights to the precision of ``PARTS``, at least one."""
-    q = np.maximum(np.rint(weights / weights.sum() * PARTS), 1).astype(np.int64)
-    q[np.argmax(q)] += PARTS - q.sum()
-    return q
-
-
-def schedule(parts: list[int], blocks: list[int]) -> Iterator[tuple[int, int]]:
-    """(source, its block) slot by slot, until every source has given its ``blocks``.
-
-    Block j (from 0) of a source with q of all parts is released at slot
-    j * all div q and due by slot ceil((j + 1) * all / q); of the released
-    blocks the one due first runs, ties to the first source.
+#: Slots that are scheduled together: at least so many; more, up to the second number, where there would be more stretches than the third.
+STRETCH, LONGEST, STRETCHES = 4096, 1 << 20, 4096
+#: Slots whose turns are gathered before they are put to the others.
+GATHERED = 64
+
+# Of the sources of one weight ("class": ``m`` sources of ``q`` parts, in their order) block j of the first comes before block j
+# of the second and so on, so the class's n-th turn is block n DIV m of its source n % m.  It is released at slot
+# floor(j * PARTS / q) and due by slot ceil((j + 1) * PARTS / q).  A stretch counts both from its first slot: ``e`` is the
+# first block that is released in the stretch, ``rho`` its release time times q, less whole slots before.
+_RELEASE = "((d DIV m[i] - e[i]) * {parts} + rho[i]) DIV q[i]"
+_DUE = "((d DIV m[i] - e[i] + 1) * {parts} + rho[i] + q[i] - 1) DIV q[i]"
+#: The class that runs in slot t: of the released blocks the one due first, ties to the first class.
+_TURN = f"array_min(transform(s.done, (d, i) -> IF(d < ends[i] AND {_RELEASE} <= t, named_struct('due', {_DUE}, 'i', i), NULL))).i"
+#: Turns of all classes after a stretch in which only blocks that it releases may run.
+LATE = f"""
+aggregate(sequence(0, {{stretch}} - 1), named_struct('done', transform(e, (v, i) -> v * m[i])), (s, t) -> named_struct('done',
+    transform(array({_TURN}), turn -> transform(s.done, (d, i) -> IF(i = turn, d + 1, d)))[0]), s -> s.done)"""
+#: Class and number of the turn in each slot of a stretch that begins after the turns ``x``.
+TURNS = f"""
+flatten(aggregate(sequence(0, {{stretch}} - 1, {GATHERED}),
+    named_struct('done', x, 'turns', CAST(array() AS array<array<struct<i: int, n: bigint>>>)), (outer, first) ->
+    transform(array(aggregate(sequence(first, least(first + {GATHERED}, {{stretch}}) - 1),
+        named_struct('done', outer.done, 'turns', CAST(array() AS array<struct<i: int, n: bigint>>)), (s, t) ->
+        transform(array({_TURN}), turn -> named_struct('done', transform(s.done, (d, i) -> IF(i = turn, d + 1, d)),
+            'turns', concat(s.turns, array(named_struct('i', turn, 'n', s.done[turn])))))[0])),
+        r -> named_struct('done', r.done, 'turns', concat(outer.turns, array(r.turns))))[0], s -> s.turns))"""
+#: Turns of all classes at each border, from those at the border before.  At a border a class has had all blocks that are due;
+#: of the block that is released but not due yet so many of its sources as there is room for, the one due first first.
+BORDERS = """
+aggregate(borders, named_struct('x', transform(m, v -> 0L), 'all', array(transform(m, v -> 0L))), (s, b) ->
+    transform(transform(array(zip_with(s.x, b.due_turns, (x, v) -> greatest(x, v))), y -> zip_with(y, array_sort(aggregate(
+        array_sort(transform(y, (v, i) -> named_struct('due', b.due[i], 'i', i, 'n', IF(b.room[i] < 0, b.due_turns[i] + m[i] - v, b.room[i])))),
+        named_struct('left', (b.k + 1) * {stretch} - aggregate(y, 0L, (a, v) -> a + v),
+                     'took', CAST(array() AS array<struct<i: int, n: bigint>>)),
+        (a, o) -> named_struct('left', a.left - least(a.left, o.n),
+                               'took', concat(a.took, array(named_struct('i', o.i, 'n', least(a.left, o.n))))), a -> a.took)),
+        (v, t) -> v + t.n)), x -> named_struct('x', x, 'all', concat(s.all, array(x))))[0], s -> s.all)"""
+
+
+def _parts(counts: DataFrame) -> DataFrame:
+    """Whole parts ``q`` of the stream for each source, at least one; the first of the largest takes what rounding left."""
+    total = counts.agg(F.sum("w").alias("total"))
+    rounded = counts.join(F.broadcast(total)).withColumn(
+        "q", F.greatest(F.rint(F.col("w") / F.col("total") * PARTS).cast("long"), F.lit(1)))
+    every = Window.partitionBy()
+    first = F.row_number().over(Window.orderBy(F.desc("q"), F.asc_nulls_first("source"))) == 1
+    return rounded.withColumn("q", F.col("q") + F.when(first, PARTS - F.sum("q").over(every)).otherwise(0)).drop("w", "total")
+
+
+def _at_border(k: str, stretch: int) -> tuple[str, str]:
+    """For each class the blocks due by the first slot of stretch ``k``, and parts of the next one that are past then."""
+    parts = f"CAST(v AS decimal(20, 0)) * {k} * {stretch}"
+    due = f"transform(q, v -> CAST({parts} DIV {PARTS} AS bigint))"
+    return due, f"transform(q, v -> CAST({parts} % {PARTS} AS bigint))"
+
+
+def _slots(counts: DataFrame, block: int, least_stretch: int) -> DataFrame:
+    """The block that runs in each slot, until every source has given all its rows once.
+
+    Earliest deadline first, with all of it in columns.  The slots are cut into
+    stretches.  First each stretch finds out, by itself, how many turns each
+    class could have of the blocks that the stretch releases.  From that the
+    turns at the borders follow one after the other, a few numbers for each
+    class and border.  Then the stretches are scheduled beside each other
+    between their borders.  The result is the schedule of all slots in a row.
     """
-    whole, slot, left, done = sum(parts), 0, len(parts), [0] * len(parts)
-    ready, waiting = [(-(-whole // q), i) for i, q in enumerate(parts)], []
-    heapify(ready)
-    while left:
-        while waiting and waiting[0][0] <= slot:
-            i = heappop(waiting)[1]
-            heappush(ready, (-(-(done[i] + 1) * whole // parts[i]), i))
-        i = heappop(ready)[1]
-        yield i, done[i]
-        done[i] += 1
-        left -= done[i] == blocks[i]
-        heappush(waiting, (done[i] * whole // parts[i], i))
-        slot += 1
-
-
-def _slots(counts: DataFrame, block: int) -> DataFrame:
-    """The block that runs in each slot, from the sources' numbers of rows and weights: one task, one step a slot."""
-    def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        sources = pa.Table.from_batches(batches).combine_chunks()
-        n = sources.column("n").to_numpy()
-        parts = quotas(sources.column("w").to_numpy())
-        weight, slot = parts / PARTS, 0
-        turns = schedule(parts.tolist(), (-(-n // block)).tolist())
-        while some := list(islice(turns, SLOTS)):
-            i, j = np.array(some, np.int64).T
-            yield pa.RecordBatch.from_arrays(
-                [sources.column("source").take(pa.array(i)).combine_chunks(), pa.array(n[i]), pa.array(weight[i]), pa.array(j),
-                 pa.array(np.arange(slot, slot + len(some)))], ["source", "n", "weight", "block", "slot"])
-            slot += len(some)
-
-    ordered = counts.repartition(1).sortWithinPartitions(F.asc_nulls_first("source")).select("source", "n", "w")
-    schema = counts.select("source", "n").schema.add("weight", "double").add("block", "long").add("slot", "long")
-    return mapped(ordered, run, schema)
-
-
-def _slots_of_cycles(counts: DataFrame, block: int, cycle: int) -> DataFrame:
-    """The same with weights rounded to blocks a cycle: one for each source, and the rest by weight with largest remainders."""
-    every, order = Window.partitionBy(), Window.orderBy(F.desc("rest"), F.asc_nulls_first("source"))
-    shares = counts.withColumn("sources", F.count(F.lit(1)).over(every)) \
-        .withColumn("share", F.col("w") / F.sum("w").over(every) * (F.lit(cycle) - F.col("sources"))) \
-        .withColumn("rest", F.col("share") - F.floor("share"))
-    left = F.lit(cycle) - F.col("sources") - F.sum(F.floor("share")).over(every)
-    parts = shares.withColumn("q", (1 + F.floor("share") + F.when(F.row_number().over(order) <= left, 1).otherwise(0)).cast("int"))
-    listed = parts.agg(F.array_sort(F.collect_list(F.struct(
-        F.col("source").isNotNull().alias("named"), "source", "n", "q"))).alias("all"))
-    turns = listed.withColumn("quotas", F.col("all.q")).select(
-        "all", F.posexplode(F.expr(SCHEDULE.format(cycle=cycle))).alias("slot", "i"))
-    slots = turns.groupBy("i").agg(F.first("all").alias("all"), F.array_sort(F.collect_list("slot")).alias("slots")) \
-        .select(F.expr("all[i].source AS source"), F.expr("all[i].n AS n"), F.expr("all[i].q AS q"), "slots")
-    # The stream ends with the slot in which the last source has given all its rows once.
-    blocks = f"((n + {block} - 1) DIV {block})"
-    ends = slots.withColumn("end", F.expr(
-        f"max(({blocks} - 1) DIV q * {cycle} + slots[CAST(({blocks} - 1) % q AS int)] + 1) OVER ()"))
-    return ends.withColumn("block", F.explode(F.expr(
-        f"sequence(0L, end DIV {cycle} * q + size(filter(slots, x -> x < end % {cycle})) - 1)"))).select(
-        "source", "n", (F.col("q") / F.lit(cycle)).alias("weight"), "block",
-        F.expr(f"block DIV q * {cycle} + slots[CAST(block % q AS int)]").alias("slot"))
-
-
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, cycle: int | None = None,
+    sources = stored(_parts(counts).withColumn("rank", (F.row_number().over(
+        Window.partitionBy("q").orderBy(F.asc_nulls_first("source"))) - 1).cast("long"))
+        .withColumn("blocks", F.expr(f"(n + {block} - 1) DIV {block}")))
+    end = sources.agg(F.max(F.expr(f"CAST(CAST(blocks + 1 AS decimal(20, 0)) * {PARTS} DIV q AS bigint)")).alias("end")).first().end or 0
+    stretch = min(max(least_stretch, -(-end // STRETCHES)), max(least_stretch, LONGEST))
+    one = sources.groupBy("q").agg(F.count(F.lit(1)).alias("m")).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("q")).alias("order"), "q", "m"))).alias("all")).select("all.q", "all.m")
+    (due, past), (due_next, past_next) = _at_border("k", stretch), _at_border("(k + 1)", stretch)
+    lengths = {"stretch": stretch, "parts": PARTS}
+    stretches = counts.sparkSession.range(-(-end // stretch)).select(F.col("id").alias("k")) \
+        .withColumns({name: one.select(name).scalar() for name in ("q", "m")}) \
+        .withColumns({"before": F.expr(due), "past": F.expr(past)}) \
+        .withColumns({"e": F.expr("transform(before, (v, i) -> IF(past[i] > 0, v + 1, v))"),
+                      "rho": F.expr(f"transform(past, v -> IF(v > 0, {PARTS} - v, 0L))")}).drop("before", "past")
+    turned = stored(stretches.repartition("k").withColumn("ends", F.expr("transform(m, v -> 9223372036854775807L)"))
+                    .withColumns({"late": F.expr(LATE.format(**lengths)), "blocks": F.expr(due_next), "past": F.expr(past_next)})
+                    .select("k", "m", F.expr("transform(blocks, (v, i) -> v * m[i])").alias("due_turns"), F.expr(
+                        "transform(blocks, (v, i) -> IF(past[i] = 0, 0L, IF(v < e[i], -1L, greatest(late[i] - v * m[i], 0L))))").alias("room"),
+                        F.expr(f"transform(blocks, (v, i) -> ((v - e[i] + 1) * {PARTS} + rho[i] + q[i] - 1) DIV q[i])").alias("due")))
+    # A few numbers for each class and stretch, and no more stretches than there may be.
+    borders = turned.agg(F.any_value("m").alias("m"), F.array_sort(F.collect_list(F.struct("k", "due_turns", "room", "due"))).alias("borders")) \
+        .where("m IS NOT NULL").select(F.expr(BORDERS.format(stretch=stretch)).alias("x")) \
+        .select(F.posexplode(F.expr("arrays_zip(slice(x, 1, size(x) - 1), slice(x, 2, size(x) - 1))")).alias("k", "pair")) \
+        .select(F.col("k").cast("long").alias("k"), F.col("pair.0").alias("x"), F.col("pair.1").alias("ends"))
+    turns = stretches.join(borders, "k").repartition("k").select("k", "q", "m", F.posexplode(F.expr(TURNS.format(**lengths))).alias("t", "turn"))
+    slots = turns.select(F.expr("q[turn.i]").alias("q"), F.expr("turn.n % m[turn.i]").alias("rank"), F.expr("turn.n DIV m[turn.i]").alias("block"),
+                         (F.col("k") * stretch + F.col("t")).alias("slot")) \
+        .join(sources.select("q", "rank", "source", "n", "blocks"), ["q", "rank"])
+    slots = stored(slots.select("source", "n", "blocks", (F.col("q") / F.lit(PARTS)).alias("weight"), "block", "slot"))
+    last = slots.where(F.col("block") == F.col("blocks") - 1).agg(F.max("slot"))
+    return slots.where(F.col("slot") <= last.scalar()).drop("blocks")
+
+
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, stretch: int = STRETCH,
         tempering: float = TEMPERING, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Put the rows of all sources into one stream that keeps to the target weights everywhere.
 
     A source of weight w gives blocks of ``block_rows`` rows; its block j may
     run from slot floor(j / w) and must have run by slot ceil((j + 1) / w).
     Earliest deadline first meets every window, so at each slot border each
-    source is less than one block away from its share.  Weights (default: rows
-    to the power ``tempering``) are taken to 48 bits.  With ``cycle`` they are
-    rounded to parts of so many slots instead, each source getting one part at
-    least, and the schedule repeats; the stream then keeps to the rounded ones.
-    That needs no Python, and holds as far as the sources fit into a cycle.
+    source is less than one block away from its share.  Ties go to the larger
+    weight, then to the source that comes first.  Weights (default: rows to the
+    power ``tempering``) are taken to 40 bits.  Slots are scheduled in stretches
+    of at least ``stretch``, beside each other; their length changes no row.
 
     The stream goes on until every row has been in it once.  Sources that run
     out earlier start anew, so their rows come more than once, numbered by
@@ -139,10 +137,11 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     A null source is a source of its own; null ids come first in their source;
     rows with equal ids are put in any order.  An empty table gives no rows.  A
     source without a weight in ``weights`` is an error.  There may be any
-    number of sources: one task holds a few numbers for each.
+    number of sources; those of equal weight are scheduled as one class, and a
+    slot looks at each class.
     """
-    if block_rows < 1 or cycle is not None and cycle < 1:
-        raise ValueError("block_rows and cycle must be positive")
+    if block_rows < 1 or stretch < 1:
+        raise ValueError("block_rows and stretch must be positive")
     if weights is not None and not all(isfinite(v) and v > 0 for v in weights.values()):
         raise ValueError("weights must be positive")
     # Contiguous ranges of (source, id): even if one source holds most rows.  "at" has the range in its upper bits and the
@@ -159,7 +158,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
                        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     # The rows themselves, which may be long, only join once it is known where they go.
     ranks = rows.select("source", "part", "at") \
-        .join(runs, (F.col("part") == F.col("run_part")) & F.col("source").eqNullSafe(F.col("run_source"))) \
+        .hint("merge").join(runs, (F.col("part") == F.col("run_part")) & F.col("source").eqNullSafe(F.col("run_source"))) \
         .select(F.col("source").alias("rank_source"), (F.col("before") + F.col("at") - F.col("first")).alias("rank"), "at")
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
@@ -168,46 +167,40 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
         given = [F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in weights.items()]
         weighed = counts.withColumn("w", F.coalesce(*given, F.raise_error(F.concat(
             F.lit("no weight is given for source "), F.coalesce(F.col("source").cast("string"), F.lit("null"))))))
-    # A cycle with fewer slots than sources is none.
-    cycles = cycle is not None and counts.count() <= cycle
-    slots = _slots_of_cycles(weighed, block_rows, cycle) if cycles else _slots(weighed, block_rows)
+    slots = _slots(weighed, block_rows, stretch)
+    # Rows meet by sorting: no side is small enough to be sent.
     copies = slots.repartition("slot") \
         .withColumn("k", F.explode(F.expr(f"sequence(block * {block_rows}, (block + 1) * {block_rows} - 1)"))) \
         .select("source", "weight", F.expr("k DIV n").alias("epoch"), "block", F.expr("k % n").alias("turn"),
                 F.expr(f"slot * {block_rows} + k % {block_rows}").alias("position"))
-    placed = copies.join(ranks, F.col("source").eqNullSafe(F.col("rank_source")) & (F.col("turn") == F.col("rank"))) \
+    placed = copies.hint("merge").join(ranks, F.col("source").eqNullSafe(F.col("rank_source")) & (F.col("turn") == F.col("rank"))) \
         .select("source", "weight", "epoch", "block", "position", "at")
-    return placed.join(rows.select("at", "row"), "at").select("row", "source", "weight", "epoch", "block", "position")
+    return placed.hint("merge").join(rows.select("at", "row"), "at").select("row", "source", "weight", "epoch", "block", "position")
 
 
 def op3_mixing(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"), cycle=CYCLE) \
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source")) \
         .select("row.doc_id", "source", "weight", "epoch", "block", "position")
 
 
+#: Slot by slot, with a number for each source: the schedule as its definition has it.
 OP3_SQL = f"""
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n, pow(count(*), {TEMPERING}) AS w FROM documents GROUP BY source),
-shares AS (SELECT *, w / sum(w) OVER () * ({CYCLE} - count(*) OVER ()) AS share, count(*) OVER () AS m FROM counts),
-quotas AS (SELECT source, n, (1 + floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, source NULLS FIRST)
-        <= {CYCLE} - m - sum(floor(share)) OVER () THEN 1 ELSE 0 END)::bigint AS q,
-    row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM shares),
-listed AS (SELECT list(q ORDER BY i) AS qs FROM quotas),
+rounded AS (SELECT *, greatest(round_even(w / sum(w) OVER () * {PARTS}, 0), 1)::bigint AS p FROM counts),
+sources AS (SELECT source, n, (n + {BLOCK_ROWS} - 1) // {BLOCK_ROWS} AS blocks, (p + CASE WHEN row_number() OVER (ORDER BY p DESC, source NULLS FIRST) = 1
+    THEN {PARTS} - sum(p) OVER () ELSE 0 END)::bigint AS q FROM rounded),
+numbered AS (SELECT *, row_number() OVER (ORDER BY q DESC, source NULLS FIRST) AS i FROM sources),
+listed AS (SELECT list(q ORDER BY i) AS qs, list(blocks ORDER BY i) AS bs FROM numbered),
 edf(t, done, turn) AS (
-    SELECT -1, list_transform((SELECT qs FROM listed), lambda x: 0::bigint), 0::bigint
+    SELECT -1::bigint, list_transform((SELECT qs FROM listed), lambda x: 0::bigint), 0::bigint
     UNION ALL
     SELECT t + 1, list_transform(done, lambda d, i: CASE WHEN i = nxt THEN d + 1 ELSE d END), nxt
-    FROM (SELECT t, done, list_min(list_filter(list_transform(done, lambda d, i:
-            CASE WHEN d < qs[i] AND d * {CYCLE} // qs[i] <= t + 1 THEN ((d + 1) * {CYCLE} + qs[i] - 1) // qs[i] * 100000 + i END),
-            lambda x: x IS NOT NULL)) % 100000 AS nxt FROM edf, listed WHERE t < {CYCLE} - 1)),
-turns AS (SELECT turn AS i, t AS slot, row_number() OVER (PARTITION BY turn ORDER BY t) - 1 AS nth FROM edf WHERE t >= 0),
-ends AS (SELECT max(((n + {BLOCK_ROWS} - 1) // {BLOCK_ROWS} - 1) // q * {CYCLE} + slot + 1) AS e
-    FROM quotas JOIN turns USING (i) WHERE nth = ((n + {BLOCK_ROWS} - 1) // {BLOCK_ROWS} - 1) % q),
-emitted AS (SELECT i, (any_value(e) // {CYCLE} * any_value(q) + count(*) FILTER (WHERE slot < e % {CYCLE})) * {BLOCK_ROWS} AS rows_out
-    FROM quotas JOIN turns USING (i), ends GROUP BY i),
-ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS r FROM documents),
-copies AS (SELECT doc_id, d.source, q, i, epoch, r + epoch * n AS k
-    FROM ranked d JOIN quotas s ON d.source IS NOT DISTINCT FROM s.source JOIN emitted USING (i),
-        LATERAL unnest(range((rows_out - 1 - r) // n + 1)) u(epoch))
-SELECT doc_id, source, q / {CYCLE} AS weight, epoch, k // {BLOCK_ROWS} AS block,
-    ((k // {BLOCK_ROWS}) // q * {CYCLE} + slot) * {BLOCK_ROWS} + k % {BLOCK_ROWS} AS position
-FROM copies JOIN turns ON turns.i = copies.i AND nth = (k // {BLOCK_ROWS}) % q"""
+    FROM (SELECT t, done, list_min(list_filter(list_transform(done, lambda d, i: CASE WHEN d * {PARTS} // qs[i] <= t + 1
+            THEN ((d + 1) * {PARTS} + qs[i] - 1) // qs[i] * 100000 + i END), lambda x: x IS NOT NULL)) % 100000 AS nxt
+        FROM edf, listed WHERE len(list_filter(list_transform(done, lambda d, i: d < bs[i]), lambda x: x)) > 0)),
+turns AS (SELECT turn AS i, t AS slot, row_number() OVER (PARTITION BY turn ORDER BY t) - 1 AS block FROM edf WHERE t >= 0),
+given AS (SELECT source, n, q, block, slot * {BLOCK_ROWS} + o AS position, block * {BLOCK_ROWS} + o AS k
+    FROM turns JOIN numbered USING (i), range({BLOCK_ROWS}) r(o)),
+ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS r FROM documents)
+SELECT doc_id, g.source, q / {PARTS} AS weight, k // n AS epoch, block, position
+FROM given g JOIN ranked d ON d.source IS NOT DISTINCT FROM g.source AND d.r = k % n"""

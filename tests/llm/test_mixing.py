@@ -1,11 +1,11 @@
 """Target weights: less than a block of deviation, and no row left out."""
 
+import random
 from collections import Counter
 
-import numpy as np
 import pytest
 
-from llm.mixing import BLOCK_ROWS, mix, quotas, schedule
+from llm.mixing import PARTS, mix
 
 
 def docs_of(spark, sizes):
@@ -57,21 +57,63 @@ def test_deviation_from_the_weights_given(spark, sizes, weights):
         assert all(abs(seen[s] - slot * w / every) < 1 for s, w in target.items())
 
 
-def test_cycles_keep_to_the_weights_in_the_long_run():
-    """Ten large sources and one of one row: the latter comes by its weight, not in every cycle."""
-    sizes = [1_000_000] * 10 + [1]
-    weights = np.array(sizes) ** 0.8
-    seen = Counter(i for i, _ in schedule(quotas(weights).tolist(), [-(-n // BLOCK_ROWS) for n in sizes]))
-    assert all(abs(seen[i] - sum(seen.values()) * w / weights.sum()) < 1 for i, w in enumerate(weights)) and seen[10] <= 3
-
-
-@pytest.mark.parametrize("sources, cycle", [(4500, None), (4500, 4096), (1500, 4096), (0, 4096)])
-def test_many_sources(spark, sources, cycle):
+def plain_schedule(sizes, parts, block):
+    """(source, its block) slot by slot by earliest deadline first, ties to the larger weight and then the first source."""
+    order = sorted(sizes, key=lambda s: (-parts[s], s is not None, s or ""))
+    done, slot = dict.fromkeys(order, 0), 0
+    while any(done[s] * block < sizes[s] for s in order):
+        ready = [s for s in order if done[s] * PARTS // parts[s] <= slot]
+        turn = min(ready, key=lambda s: -(-(done[s] + 1) * PARTS // parts[s]))
+        yield turn, done[turn]
+        done[turn] += 1
+        slot += 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_stretches_beside_each_other_make_one_schedule(spark, seed):
+    """However short the stretches are, and with many sources of equal weight, the schedule is that of all slots in a row."""
+    rng = random.Random(seed)
+    sizes = {f"s{i:02}": rng.choice([1, 2, 3, 40, rng.randrange(1, 90)]) for i in range(rng.choice([2, 7, 25]))} | {None: 5}
+    weights = {s: rng.choice([1, 1, 2, 3.7, 50]) for s in sizes}
+    found = mix(docs_of(spark, sizes), weights, block_rows=2, stretch=rng.choice([1, 3, 10, 37])).collect()
+    check(found, sizes, 2)
+    parts = {r.source: round(r.weight * PARTS) for r in found}
+    assert sum(parts.values()) == PARTS
+    turns = [(r.source, r.block) for r in sorted(found, key=lambda r: r.position)[::2]]
+    assert turns == list(plain_schedule(sizes, parts, 2))
+
+
+def test_one_row_beside_very_many(spark):
+    """The row of a small source comes by its weight, and one that is wanted all the time comes again and again."""
+    docs = spark.range(40_001).selectExpr("id AS doc_id", "IF(id = 0, 'one', 'many') AS source")
+    default = Counter(r.source for r in mix(docs, block_rows=1).select("source").collect())
+    assert abs(default["one"] - sum(default.values()) / (1 + 40_000 ** 0.8)) < 1
+    half = mix(docs, {"one": 1, "many": 2}, block_rows=1, stretch=5000).select("row.doc_id", "source", "position").collect()
+    seen = 0
+    for slot, r in enumerate(sorted(half, key=lambda r: r.position), 1):
+        seen += r.source == "one"
+        assert r.position == slot - 1 and abs(seen - slot / 3) < 1
+    assert len({r.doc_id for r in half}) == 40_001
+
+
+@pytest.mark.parametrize("sources", [5000, 0])
+def test_many_sources(spark, sources):
     docs = spark.range(2 * sources).selectExpr("id AS doc_id", f"concat('s', id % {sources or 1}) AS source")
-    found = mix(docs, block_rows=1, cycle=cycle).select("row.doc_id", "source", "weight", "position").collect()
+    found = mix(docs, block_rows=1).select("row.doc_id", "source", "weight", "position").collect()
     assert sorted(r.position for r in found) == list(range(len(found))) and {r.doc_id for r in found} == set(range(2 * sources))
-    off = 1 / cycle if cycle and sources <= cycle else 1e-9
-    assert len({r.source for r in found}) == sources and all(abs(r.weight - 1 / sources) < off for r in found)
+    assert len({r.source for r in found}) == sources and all(abs(r.weight - 1 / sources) < 1e-8 for r in found)
+    firsts = {r.source for r in found if r.position < sources}
+    assert len(firsts) == sources
+
+
+def test_many_sources_of_different_weights(spark):
+    sizes = {f"s{i}": 1 + i % 40 for i in range(400)}
+    check(mix(docs_of(spark, sizes), block_rows=4).collect(), sizes, 4)
+
+
+def test_no_python_on_the_executors(spark):
+    plan = mix(docs_of(spark, {"a": 20, "b": 3}))._jdf.queryExecution().toString()
+    assert "Arrow" not in plan and "Python" not in plan and "BroadcastHashJoin" not in plan.split("== Physical Plan ==")[0]
 
 
 def test_weights_that_leave_rows_out(spark):

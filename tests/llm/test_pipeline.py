@@ -75,7 +75,7 @@ def test_odd_rows(spark, tmp_path):
 
 def stream(sizes, weights):
     """(source, rank) of every row by earliest deadline first, slot by slot, until all rows have come once."""
-    order = sorted(sizes, key=lambda x: (x is not None, x or ""))
+    order = sorted(sizes, key=lambda x: (-weights[x], x is not None, x or ""))
     done, out = dict.fromkeys(order, 0), []
     while any(done[s] * BLOCK_ROWS < sizes[s] for s in order):
         slot = len(out) // BLOCK_ROWS
