@@ -26,6 +26,8 @@ UNKNOWN = "und"
 
 #: Words that are sent to the tasks at a time, and phrases in one trie: what bounds a broadcast.
 WORD_BLOCK, TRIE_PHRASES = 1 << 20, 1 << 19
+#: Phrases whose counts go from task to task as one row; divides ``TRIE_PHRASES``.
+CHUNK = 1 << 12
 #: Bytes of text cut into words at a time; different words or numbers that a task gathers before it hands them on.
 RUN_BYTES, GATHERED = 1 << 20, 1 << 19
 
@@ -187,22 +189,44 @@ def _longer(coded: DataFrame, phrases: DataFrame, size: int, vocabulary: int, le
 
 
 def _occurrences(coded: DataFrame, phrases: DataFrame, size: int, vocabulary: int, longest: int) -> DataFrame:
-    """Each phrase's occurrences ``a``: all positions advance through a trie, a shard counts its accepting states, shards add up."""
+    """Each phrase's occurrences ``a``: all positions advance through a trie, a shard counts its accepting states, shards add up.
+
+    What is added up are the shards' counts of ``CHUNK`` phrases that follow each other.
+    """
+    def add(batches):
+        chunk, total = None, None
+        for batch in batches:
+            for mine, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                counts = np.frombuffer(counts, np.int64)
+                if mine != chunk and total is not None:
+                    yield out(chunk, total)
+                total = counts if mine != chunk else total + counts
+                chunk = mine
+        if total is not None:
+            yield out(chunk, total)
+
+    def out(chunk, total):
+        met = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(met + chunk * CHUNK), pa.array(total[met])], ["nth", "a"])
+
     found = []
     for low, sent in _tries(phrases, size, longest, vocabulary):
         def read(batches, sent=sent, low=low):
-            trie, total = sent.value, None
+            trie = sent.value
+            many = int(trie.accept.max()) + 1
+            total = np.zeros(-(-many // CHUNK) * CHUNK, np.int64)
             for batch in batches:
                 for ids in batch.column("ids").to_pylist():
                     for _, state in trie.walk(np.frombuffer(ids, np.int32)):
                         ends = trie.accept[state]
-                        counts = np.bincount(ends[ends >= 0], minlength=int(trie.accept.max()) + 1)
-                        total = counts if total is None else total + counts
-            if total is not None:
-                met = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(met + low), pa.array(total[met])], ["nth", "a"])
-
-        found.append(stored(mapped(coded, read, "nth long, a long").groupBy("nth").agg(F.sum("a").alias("a"))))
+                        total += np.bincount(ends[ends >= 0], minlength=len(total))
+            parts = [(low // CHUNK + i, part.tobytes()) for i, part in enumerate(total.reshape(-1, CHUNK)) if part.any()]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())],
+                                                 ["chunk", "counts"])
+
+        counts = mapped(coded, read, "chunk long, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+        found.append(stored(counts.mapInArrow(add, "nth long, a long")))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -66,7 +66,8 @@ def test_equals_plain_python(spark, seed, least):
 def test_blocks_of_words_and_tries(spark, monkeypatch):
     """Words and candidates that do not fit into one broadcast go in several, with the same rows."""
     monkeypatch.setattr(phrases, "WORD_BLOCK", 5)
-    monkeypatch.setattr(phrases, "TRIE_PHRASES", 7)
+    monkeypatch.setattr(phrases, "TRIE_PHRASES", 8)
+    monkeypatch.setattr(phrases, "CHUNK", 4)
     monkeypatch.setattr(phrases, "RUN_BYTES", 40)
     monkeypatch.setattr(phrases, "GATHERED", 10)
     rows = texts(3, 60)
