@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass, field
+from functools import cached_property
 from math import exp
 
 import numpy as np
@@ -12,122 +12,195 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_training_part, mapped, slices, table, texts_as_bytes
+from .common import in_training_part, mapped, slices, stored, table
 
 #: Bound on the labelled rows that are learned from: about so many, drawn by a hash of the id.
 SAMPLE = 20_000
 #: What the channel may have written for a letter (fixed values).
 DISGUISES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li",
              "+": "t", "€": "e", "£": "l"}
-#: Costs (negative log probabilities) of a disguised letter, a lengthened one, a sign put inside a word, and of a blank between
-#: spaced-out letters that is a real one.
-SWAP, LENGTHEN, GAP, BLANK = 1.0, 0.5, 0.3, 4.0
+#: Costs (negative log probabilities) of a disguised letter, a lengthened one, a sign put inside a word, of a blank between
+#: spaced-out letters that is a real one, and of a blank put between pieces of a word.
+SWAP, LENGTHEN, GAP, BLANK, JOIN = 1.0, 0.5, 0.3, 4.0, 1.0
 #: A letter repeated this often may have been lengthened.
-RUN = 3
+RUN = 2
 
-#: Symbols of the language model: a-z, other letters, digits and the like, gaps.
-OTHER, SIGN, SPACE, SYMBOLS = 26, 27, 28, 29
+#: Symbols of the language model: the most frequent letters, all other letters, digits and the like, gaps.
+LETTERS = 93
+OTHER, SIGN, SPACE, SYMBOLS = LETTERS, LETTERS + 1, LETTERS + 2, LETTERS + 3
 #: Added to each trigram count.
 SMOOTHING = 0.1
+#: Characters that stand for signs and gaps among those that are counted, the one after each text, and the bits of each in a triple.
+SIGN_CHAR, GAP_CHAR, END, CHAR_BITS = ord("0"), ord(" "), 0x110000, 21
+#: Different triples that a task gathers before it hands them on.
+GATHERED = 1 << 19
 
-#: Three or more single characters, each set off by one blank, dot, dash, underscore or star.
-SPACED = re.compile(r"(?<!\S)[\w@$!|+](?:[ .\-_*][\w@$!|+]){2,}(?!\S)")
 SEPARATORS = ".-_*"
-_SPLIT = re.compile(r"\w[.\-_*]\w+[.\-_*]\w")
-_LENGTHENED = re.compile(r"([^\W\d_])\1\1")
+#: Three or more single characters, each set off by blanks, dots, dashes, underscores or stars.
+SPACED = re.compile(r"(?<!\S)[\w@$!|+](?:[ .\-_*]{1,3}[\w@$!|+]){2,}(?!\S)")
+#: Three or more pieces of one or two letters, set off by blanks, of which one is a single letter.
+PIECES = re.compile(r"(?<!\S)(?=(?:\w\w {1,3})*\w(?!\w))[\w@$!|+]{1,2}(?: {1,3}[\w@$!|+]{1,2}){2,}(?!\S)")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
+_ENDS = SEPARATORS + ",;:?\"'()[]{}<>~&%#=/\\“”‘’«»…–—"
 #: Words kept with what was found out about them, for each task.
-CACHE = 100_000
+CACHE = 200_000
 
-BUCKETS = 1 << 20
 #: Evidence a feature needs: labelled texts with it, standard deviations to the lower end of its share of toxic ones, and how many
-#: times the odds of all labelled texts the odds at that end must be.
+#: times the odds of all labelled texts the odds at that end must be.  Besides, its share must be too unlikely for chance to bring it
+#: about in any of all the features that are looked at.
 LEAST_TEXTS, SURE, LIFT = 3, 2.0, 2.0
+#: Least hashes of its features by which copies of a labelled text are told.
+SKETCH = 3
 #: The most that a text without any such feature scores, whatever the share of toxic labels: nothing speaks against it.
 UNSURE = 0.4
 #: Of the regression: steps, and the pull of weights to zero.
 STEPS, RIDGE = 1000, 1e-7
 
 
-def symbol(char: str) -> int:
-    if "a" <= char <= "z":
-        return ord(char) - 97
+@dataclass(frozen=True)
+class Characters:
+    """Costs of each symbol after each two.  ``letters`` numbers the letters that have a symbol of their own."""
+
+    letters: dict
+    costs: np.ndarray
+
+    @cached_property
+    def rows(self) -> list:
+        return self.costs.tolist()
+
+    def symbol(self, char: str) -> int:
+        found = self.letters.get(char)
+        if found is None:
+            found = (OTHER, SIGN, SPACE)[kind(char)]
+        return found
+
+
+def kind(char: str) -> int:
+    """0: a letter, 1: a digit or a sign that may stand for a letter, 2: anything else."""
     if char in DISGUISES or char.isdigit():
-        return SIGN
-    return OTHER if char.isalpha() else SPACE
-
-
-_BYTE = np.full(256, SPACE, np.int64)
-_BYTE[97:123] = _BYTE[65:91] = np.arange(26)
-_BYTE[[ord(c) for c in "0123456789@$!|+"]] = SIGN
-_BYTE[0xC3:0xE0] = OTHER
-_BYTE[0xE0:] = OTHER
-
-
-def trigrams(column: pa.Array) -> np.ndarray:
-    """Counts of the symbol triples of some texts; gaps that follow each other are one, characters beyond ASCII are letters."""
-    data, offsets = texts_as_bytes(column)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    whole = (data & 0xC0) != 0x80  # not the further bytes of a character
-    codes, owner = _BYTE[data[whole]], owner[whole]
-    keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != SPACE) | (codes[:-1] != SPACE) | (owner[1:] != owner[:-1])
-    codes, owner = codes[keep], owner[keep]
-    if len(codes) < 3:
-        return np.zeros(SYMBOLS ** 3, np.int64)
-    inside = owner[2:] == owner[:-2]
-    return np.bincount(((codes[:-2] * SYMBOLS + codes[1:-1]) * SYMBOLS + codes[2:])[inside], minlength=SYMBOLS ** 3)
-
-
-def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Costs of each symbol after each two, from the trigrams of all texts: one array of fixed size from each task, added up."""
+        return 1
+    return 0 if char.isalpha() else 2
+
+
+class Triples:
+    """Counts triples of neighbouring characters of lower-cased texts; gaps that follow each other are one."""
+
+    def __init__(self):
+        self.known, self.counts = {END: END}, {}
+
+    def add(self, texts: list[str]) -> None:
+        if not texts:
+            return
+        codes = np.frombuffer("".join([t + "\0" for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        codes[ends] = END
+        present = np.flatnonzero(np.bincount(codes))
+        for c in present.tolist():
+            if c not in self.known:
+                self.known[c] = (c, SIGN_CHAR, GAP_CHAR)[kind(chr(c))]
+        meant, numbers = np.unique([self.known[c] for c in present.tolist()], return_inverse=True)
+        number = np.zeros(END + 1, np.int64)
+        number[present] = numbers
+        codes = number[codes]
+        keep = np.ones(len(codes), bool)
+        gap = np.searchsorted(meant, GAP_CHAR)
+        keep[1:] = (codes[1:] != codes[:-1]) | (codes[1:] != gap) if gap < len(meant) and meant[gap] == GAP_CHAR else True
+        codes, n = codes[keep], len(meant)
+        triples = (codes[:-2] * n + codes[1:-1]) * n + codes[2:]
+        if n ** 3 <= 1 << 24:
+            counts = np.bincount(triples, minlength=n ** 3)
+            found = np.flatnonzero(counts)
+            counts = counts[found]
+        else:
+            found, counts = np.unique(triples, return_counts=True)
+        one, two, three = meant[found // (n * n)], meant[found // n % n], meant[found % n]
+        inside = (one != END) & (two != END) & (three != END)
+        packed = (one << 2 * CHAR_BITS | two << CHAR_BITS | three)[inside]
+        for triple, n in zip(packed.tolist(), counts[inside].tolist(), strict=True):
+            self.counts[triple] = self.counts.get(triple, 0) + n
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(self.counts), pa.int64()), pa.array(list(self.counts.values()), pa.int64())],
+                                         ["triple", "n"])
+        self.counts = {}
+        return out
+
+
+def language_model(docs: DataFrame, text_col: str = "text") -> Characters:
+    """The model of the characters of all texts.
+
+    Triples of the characters themselves are counted in the tasks, summed over
+    all, and stored: a table that grows with the alphabets of the corpus.  The
+    ``LETTERS`` most frequent letters (ties: the smaller code) get symbols of
+    their own, so that what is sent is an array of fixed size.
+    """
     def count(batches):
-        total = np.zeros(SYMBOLS ** 3, np.int64)
+        triples = Triples()
         for batch in slices(batches, "text"):
-            total += trigrams(batch.column("text"))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["triple", "n"])
-
-    counts = np.full(SYMBOLS ** 3, SMOOTHING)
-    for triple, n in mapped(docs.select(F.col(text_col).alias("text")), count, "triple long, n long") \
-            .groupBy("triple").agg(F.sum("n")).collect():
-        counts[triple] += n
-    counts = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-    return -np.log(counts / counts.sum(2, keepdims=True))
+            triples.add([t.lower() for t in batch.column("text").to_pylist() if t])
+            if len(triples.counts) > GATHERED:
+                yield triples.batch()
+        yield triples.batch()
+
+    triples = stored(mapped(docs.select(F.col(text_col).alias("text")), count, "triple long, n long")
+                     .groupBy("triple").agg(F.sum("n").alias("n")))
+    mask = (1 << CHAR_BITS) - 1
+    chars = [F.shiftright("triple", 2 * CHAR_BITS), F.shiftright("triple", CHAR_BITS).bitwiseAND(F.lit(mask)), F.col("triple").bitwiseAND(F.lit(mask))]
+    common = triples.groupBy(chars[2].alias("c")).agg(F.sum("n").alias("n")).where(~F.col("c").isin(SIGN_CHAR, GAP_CHAR)) \
+        .orderBy(F.desc("n"), "c").limit(LETTERS).collect()
+    letters = {chr(r.c): i for i, r in enumerate(common)}
+    number = F.create_map(*[F.lit(x) for pair in [(SIGN_CHAR, SIGN), (GAP_CHAR, SPACE), *[(ord(c), i) for c, i in letters.items()]] for x in pair])
+    folded = triples.groupBy(*[F.coalesce(F.try_element_at(number, c.cast("int")), F.lit(OTHER)).alias(x) for c, x in zip(chars, "abc", strict=True)]) \
+        .agg(F.sum("n").alias("n")).collect()  # at most one row for each cell of the array
+    counts = np.full((SYMBOLS, SYMBOLS, SYMBOLS), SMOOTHING)
+    for a, b, c, n in folded:
+        counts[a, b, c] += n
+    return Characters(letters, -np.log(counts / counts.sum(2, keepdims=True)))
 
 
 def lattice(span: str) -> list[list[tuple[str, float]]]:
     """For each place what may have been meant there and what it costs; elsewhere the text as it is costs nothing."""
     spaced = SPACED.fullmatch(span) is not None
+    pieces = not spaced and PIECES.fullmatch(span) is not None
     out, at = [], 0
     while at < len(span):
         char, to = span[at], at + 1
         ways = [(char, 0.0)]
-        if char in DISGUISES:
-            ways += [(c, SWAP) for c in DISGUISES[char]]
-        elif spaced and at % 2:
+        if spaced and (char == " " or char in SEPARATORS):
+            while span[to] == " " or span[to] in SEPARATORS:
+                to += 1
             ways = [("", 0.0), (" ", BLANK)]
+        elif char == " ":
+            while span[to] == " ":
+                to += 1
+            ways = [(" ", 0.0)] + ([("", JOIN)] if pieces else [])
+        elif char in DISGUISES:
+            ways += [(c, SWAP) for c in DISGUISES[char]]
         elif char in SEPARATORS:
             ways = [(char, 0.0), ("", GAP)]
         elif char.isalpha():
             while to < len(span) and span[to] == char:
                 to += 1
-            ways = [(char * (to - at), 0.0)] + ([(char, LENGTHEN), (char * 2, LENGTHEN)] if to - at >= RUN else [])
+            ways = [(char * (to - at), 0.0)]
+            if to - at >= RUN:
+                ways += [(char, LENGTHEN)] + ([(char * 2, LENGTHEN)] if to - at > 2 else [])
         out.append(ways)
         at = to
     return out
 
 
-def restore(span: str, costs: list) -> str:
+def restore(span: str, model: Characters) -> str:
     """The cheapest path through the lattice under the model, by Viterbi over the last two symbols; ties go to the earlier way."""
+    costs, symbol = model.rows, model.symbol
     paths = {(SPACE, SPACE): (0.0, None)}
     for ways in [*lattice(span), [(" ", 0.0)]]:
         reached = {}
+        ways = [(text, [symbol(c) for c in text], extra) for text, extra in ways]
         for (one, two), (cost, back) in paths.items():
-            for text, extra in ways:
+            for text, codes, extra in ways:
                 a, b, total = one, two, cost + extra
-                for char in text:
-                    c = symbol(char)
+                for c in codes:
                     if c == SPACE and b == SPACE:
                         continue
                     total += costs[a][b][c]
@@ -143,37 +216,45 @@ def restore(span: str, costs: list) -> str:
 
 
 def ambiguous(word: str) -> bool:
-    """More than one path leads through the word: letters and signs together, a lengthened letter, or signs between letters."""
-    signs = any(c in DISGUISES for c in word.rstrip("!|"))
-    return signs and _LETTERS.search(word) is not None or signs and len(word) >= 4 and not word.isdigit() and \
-        any(c in "@$!|" for c in word) or _LENGTHENED.search(word) is not None or _SPLIT.search(word) is not None
+    """More than one path leads through the word: signs that may stand for letters or lie between them, or doubled letters."""
+    if word.isalpha():
+        return _DOUBLED.search(word) is not None
+    return _LETTERS.search(word) is not None and (any(c in DISGUISES or c in SEPARATORS for c in word) or _DOUBLED.search(word) is not None) \
+        or len(word) >= 4 and any(c in "@$!|" for c in word) and not word.isdigit()
 
 
-def features(word: str) -> set[int]:
-    """Hashes of the words in a restored word, and of their beginnings of four and five letters."""
-    found = set()
+def features(word: str) -> list[str]:
+    """The words in a restored word, and their beginnings of four and five letters."""
+    found = []
     for part in _LETTERS.findall(word):
-        for kind, text in (("w", part), ("4", part[:4]), ("5", part[:5])):
-            if kind == "w" or len(part) > int(kind):
-                found.add(zlib.crc32(f"{kind}{text}".encode()) % BUCKETS)
+        found.append("w" + part)
+        found += [str(n) + part[:n] for n in (4, 5) if len(part) > n]
     return found
 
 
 class Reader:
     """Features of whole texts; words that are seen again are looked up."""
 
-    def __init__(self, costs: np.ndarray, wanted: dict | None = None):
-        self.costs, self.wanted, self.words, self.spans = costs.tolist(), wanted, {}, {}
+    def __init__(self, characters: Characters, wanted: dict | None = None):
+        self.characters, self.wanted, self.words, self.spans = characters, wanted, {}, {}
+        self.maybe = None if wanted is None else Sieve(wanted).of_word
 
     def _of_word(self, word: str):
         found = self.words.get(word)
         if found is None:
-            found = features(restore(word, self.costs) if ambiguous(word) else word)
-            if self.wanted is not None:
-                found = frozenset(f for f in found if f in self.wanted)
+            core = word.strip(_ENDS)
+            if core is not word and core in self.words:
+                found = self.words[core]
+            else:
+                if self.maybe is not None and not self.maybe(core):
+                    found = []
+                else:
+                    found = features(restore(core, self.characters) if ambiguous(core) else core)
+                    if self.wanted is not None:
+                        found = [f for f in found if f in self.wanted]
             if len(self.words) >= CACHE:
                 self.words.clear()
-            self.words[word] = found
+            self.words[word] = self.words[core] = found
         return found
 
     def _span(self, match: re.Match) -> str:
@@ -181,29 +262,113 @@ class Reader:
         if len(self.spans) >= CACHE:
             self.spans.clear()
         if span not in self.spans:
-            self.spans[span] = restore(span, self.costs)
+            self.spans[span] = restore(span, self.characters)
         return self.spans[span]
 
+    def _words(self, text: str) -> list[str]:
+        return PIECES.sub(self._span, SPACED.sub(self._span, text.lower())).split()
+
     def restored(self, text: str) -> str:
-        text = SPACED.sub(self._span, text.lower())
-        return " ".join(restore(w, self.costs) if ambiguous(w) else w for w in text.split())
+        return " ".join(restore(w, self.characters) if ambiguous(w) else w for w in self._words(text))
 
-    def __call__(self, text: str | None) -> set[int]:
+    def __call__(self, text: str | None) -> set[str]:
         found = set()
-        for word in set(SPACED.sub(self._span, (text or "").lower()).split()):
+        for word in set(self._words(text or "")):
             more = self._of_word(word)
             if more:
-                found |= more
+                found.update(more)
         return found
 
 
+# --- texts without any wanted feature ---------------------------------------
+# A path through the lattice only swaps letters and signs of one group, leaves blanks and separators out, and makes runs
+# shorter.  So a feature that some path gives lies in the text's skeleton: one letter for each group, no blanks and
+# separators, no repeats.  Texts whose skeleton has no wanted one score like an empty text, and need no decoding.
+
+def _groups() -> dict[str, str]:
+    group = {}
+    for sign, letters in DISGUISES.items():
+        for c in letters:
+            group.setdefault(c, group.get(letters[0], letters[0]))
+        group[sign] = group[letters[0]]
+    return group
+
+
+_GROUPS = _groups()
+_ASCII = bytes(ord(_GROUPS.get(chr(i), chr(i))) for i in range(128)) + bytes(range(128, 256))
+_WIDE = [(c.encode(), to.encode()) for c, to in _GROUPS.items() if ord(c) > 127]
+_LEFT_OUT = b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" + SEPARATORS.encode()
+
+
+_REPEAT = re.compile(rb"(.)\1+", re.S)
+
+
+def skeleton_bytes(text: str) -> bytes:
+    data = text.encode("utf-8", "surrogatepass")
+    for sign, letter in _WIDE:
+        if sign in data:
+            data = data.replace(sign, letter)
+    return data.translate(_ASCII, _LEFT_OUT)
+
+
+def skeleton(text: str) -> np.ndarray:
+    data = np.frombuffer(skeleton_bytes(text.lower()), np.uint8)
+    keep = np.ones(len(data), bool)
+    keep[1:] = data[1:] != data[:-1]
+    return data[keep]
+
+
+class Sieve:
+    """Tells whether any of some features may be in a text."""
+
+    GRAM = 4
+
+    def __init__(self, wanted):
+        self.whole = {bytes(skeleton(f[1:])) for f in wanted}
+        self.short = [s for s in self.whole if len(s) < self.GRAM]
+        least = [s for s in self.whole if not any(o in s for o in self.whole if o != s)]
+        self.any = re.compile(b"|".join(map(re.escape, sorted(least)))) if least else None
+        self.table, self.after = np.zeros(1 << 16, bool), {}
+        for s in self.whole:
+            if len(s) >= self.GRAM:
+                code = self._codes(np.frombuffer(s[:self.GRAM], np.uint8))
+                self.table[code] = True
+                self.after.setdefault(int(code[0]), []).append(s)
+
+    def _codes(self, data: np.ndarray) -> np.ndarray:
+        code = data[:len(data) - self.GRAM + 1].astype(np.uint32)
+        for i in range(1, self.GRAM):
+            code = code * np.uint32(0x01000193) + data[i:len(data) - self.GRAM + 1 + i]
+        return (code ^ code >> np.uint32(15)) & np.uint32(0xFFFF)
+
+    def of_word(self, word: str) -> bool:
+        """The same for a lower-cased word."""
+        return self.any is not None and self.any.search(_REPEAT.sub(rb"\1", skeleton_bytes(word))) is not None
+
+    def __call__(self, text: str | None) -> bool:
+        """Whether any path through any of the words and spans of a text may give one of the features."""
+        if not text or not self.whole:
+            return False
+        data = skeleton(text)
+        whole = data.tobytes()
+        if any(s in whole for s in self.short):
+            return True
+        if len(data) < self.GRAM:
+            return False
+        codes = self._codes(data)
+        for at in np.flatnonzero(self.table[codes]).tolist():
+            if any(whole.startswith(s, at) for s in self.after[int(codes[at])]):
+                return True
+        return False
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    costs: np.ndarray
+    characters: Characters
     bias: float
     weights: dict = field(default_factory=dict)
 
-    def score(self, found: set[int]) -> float:
+    def score(self, found: set[str]) -> float:
         x = self.bias + sum(self.weights[f] for f in sorted(found))
         return 1 / (1 + exp(-x)) if x > -700 else 0.0
 
@@ -232,7 +397,7 @@ def _regression(rows: list[np.ndarray], labels: np.ndarray, size: int, prior: fl
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text",
+def fit(docs: DataFrame, labels: DataFrame, characters: Characters, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic") -> ToxicityModel:
     """Learn from about ``sample`` of the labelled rows given, all of which may be learned from.
 
@@ -248,37 +413,45 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, sample: int = SAM
     drawn = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20)))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "doc_id")
 
-    def read(wanted):
-        def found(batches):
-            reader = Reader(costs, wanted)
-            for batch in slices(batches, "text"):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("label").cast(pa.int32()), pa.array([sorted(reader(t.as_py())) for t in batch.column("text")],
-                                                                      pa.list_(pa.int32()))], ["label", "found"])
-        return mapped(texts, found, "label int, found array<int>")
-
-    total = dict(texts.groupBy((F.col("label") > 0).cast("int")).count().collect())
+    def read(batches):
+        reader = Reader(characters)
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label").cast(pa.int32()), pa.array([sorted(reader(t.as_py())) for t in batch.column("text")],
+                                                                  pa.list_(pa.string()))], ["label", "found"])
+
+    # Read once: the sample's features are needed for the counts and for the fit.  Copies of a text, told by its features of the
+    # least hashes, are one piece of evidence and not many.
+    sketch = F.slice(F.array_sort(F.transform("found", lambda f: F.xxhash64(f))), 1, SKETCH)
+    found = stored(mapped(texts, read, "label int, found array<string>").groupBy((F.col("label") > 0).cast("int").alias("label"), sketch.alias("sketch"))
+                   .agg(F.min("found").alias("found")).drop("sketch"))
+    total = dict(found.groupBy("label").count().collect())
     bad, all_ = total.get(1, 0), sum(total.values())
     prior = (bad + 0.5) / (all_ + 1)
     if not bad or bad == all_:
-        return ToxicityModel(costs, _bias(prior))
+        return ToxicityModel(characters, _bias(prior))
     share = F.col("bad") / F.col("n")
     low = share - SURE * F.sqrt(share * (1 - share) / F.col("n") + 1 / (4 * F.col("n") * F.col("n")))
-    kept = read(None).select("label", F.explode("found").alias("feature")).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("label") > 0).cast("int")).alias("bad")) \
-        .where((F.col("bad") >= LEAST_TEXTS) & (low * (1 - prior) > LIFT * prior * (1 - low))).select("feature").collect()
+    counted = stored(found.select("label", F.explode("found").alias("feature")).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")))
+    surprise = F.col("n") * (share * F.log(share / prior) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - prior))).otherwise(0))
+    kept = counted.where((F.col("bad") >= LEAST_TEXTS) & (low * (1 - prior) > LIFT * prior * (1 - low))
+                         & (surprise >= float(np.log(max(counted.count(), 1))))).select("feature").collect()
     place = {r.feature: i for i, r in enumerate(sorted(kept))}
-    rows = sorted((tuple(place[f] for f in r.found), int(r.label > 0)) for r in read(place).collect())
+    of_them = F.filter("found", lambda f: f.isin(list(place))) if place else F.array().cast("array<string>")
+    rows = sorted((tuple(place[f] for f in r.found), r.label) for r in found.select("label", of_them.alias("found")).collect())
     w = _regression([np.array(r, np.int64) for r, _ in rows], np.array([x for _, x in rows]), len(place), prior)
-    return ToxicityModel(costs, float(w[-1]), {f: float(w[i]) for f, i in place.items()})
+    return ToxicityModel(characters, float(w[-1]), {f: float(w[i]) for f, i in place.items()})
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row`` (a struct of all columns) and ``score`` (0 to 1, higher: more likely toxic) of every whole text.
 
-    Spans through which more than one path leads (letters mixed with signs that
-    look like letters, lengthened letters, spaced-out words) are decoded by
-    Viterbi under the character model; elsewhere the text is the only path.
+    Words and spans through which more than one path leads (signs that look like
+    letters or lie between them, doubled letters, spaced-out words and pieces of
+    words) are decoded by Viterbi under the character model; elsewhere the text
+    is the only path.  Texts in which no path of any kind can give a feature of the
+    model are told by their skeletons first and score as a text without any.
 
     A null text and an empty one get the score of a text without any feature.
     Rows with equal ids are scored each by its text; ids may be null.  An empty
@@ -287,9 +460,10 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
 
     def judge(batches):
-        reader = Reader(model.costs, model.weights)
+        reader, sieve = Reader(model.characters, model.weights), Sieve(model.weights)
+        nothing = model.score(set())
         for batch in slices(batches, "text"):
-            scores = [model.score(reader(t.as_py())) for t in batch.column("text")]
+            scores = [model.score(reader(t)) if sieve(t) else nothing for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
 
     return mapped(rows, judge, rows.select("row").schema.add("score", "double"))

@@ -2,45 +2,61 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from llm.toxicity import SPACE, SYMBOLS, Reader, ToxicityModel, ambiguous, fit, language_model, lattice, op8_toxicity, restore, score, symbol, \
-    trigrams
+from llm.toxicity import OTHER, SIGN, SPACE, SYMBOLS, Characters, Reader, Sieve, ToxicityModel, ambiguous, features, fit, kind, language_model, \
+    lattice, op8_toxicity, restore, score
 
 SF = "/root/testdata/sf0.01"
 
 
-def test_trigrams():
-    texts = ["Ab, cd!", None, "", "é 1x", "a  b", "xyz"]
-    want = np.zeros(SYMBOLS ** 3, np.int64)
+def plain_counts(texts):
+    """Triples of characters, with one sign and one gap for all, gaps that follow each other as one."""
+    counts = Counter()
     for text in texts:
-        codes = [symbol(c) for c in (text or "").lower()]
-        codes = [c for i, c in enumerate(codes) if c != SPACE or i == 0 or codes[i - 1] != SPACE]
-        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
-            want[(a * SYMBOLS + b) * SYMBOLS + c] += 1
-    assert (trigrams(pa.array(texts, pa.string())) == want).all()
-
-
-def cost(text, costs):
+        chars = [(c, "0", " ")[kind(c)] for c in (text or "").lower()]
+        chars = [c for i, c in enumerate(chars) if c != " " or i == 0 or chars[i - 1] != " "]
+        counts.update(zip(chars, chars[1:], chars[2:], strict=False))
+    return counts
+
+
+@pytest.mark.parametrize("texts", [["Ab, cd!", None, "", "é 1x", "a  b", "xyz", "x\0\0y z", "…word… “x”", "日本語 текст"] * 3,
+                                   ["".join(map(chr, range(0x4E00, 0x4F00))) + " abc abc"]])
+def test_model_of_the_real_characters(spark, texts):
+    counts = plain_counts(texts)
+    common = Counter()
+    for (_, _, c), n in counts.items():
+        common[c] += n
+    common = sorted((c for c in common if c not in "0 "), key=lambda c: (-common[c], c))[:93]
+    model = language_model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert model.letters == {c: i for i, c in enumerate(common)}
+    number = {"0": SIGN, " ": SPACE} | model.letters
+    want = np.full((SYMBOLS, SYMBOLS, SYMBOLS), 0.1)
+    for triple, n in counts.items():
+        want[tuple(number.get(c, OTHER) for c in triple)] += n
+    assert np.allclose(model.costs, -np.log(want / want.sum(2, keepdims=True)))
+
+
+def cost(text, model):
     a = b = SPACE
     total = 0.0
     for char in text + " ":
-        c = symbol(char)
+        c = model.symbol(char)
         if c == SPACE and b == SPACE:
             continue
-        total += costs[a][b][c]
+        total += model.costs[a, b, c]
         a, b = b, c
     return total
 
 
-@pytest.mark.parametrize("span", ["l0s3r", "a b c", "m.o.r", "sooon", "1d10t", "x", "$+@", "a_b-c", "iii1"])
+@pytest.mark.parametrize("span", ["l0s3r", "a b c", "m.o.r", "sooon", "1d10t", "x", "$+@", "a_b-c", "iii1", "id-iot", "mo.ron", "id i ot", "a  b c"])
 def test_viterbi_is_the_cheapest_path(span):
     rng = np.random.default_rng(len(span))
-    costs = rng.random((SYMBOLS, SYMBOLS, SYMBOLS)).tolist()
+    costs = Characters({c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}, rng.random((SYMBOLS, SYMBOLS, SYMBOLS)))
     best = min(((cost("".join(t for t, _ in path), costs) + sum(e for _, e in path)) for path in itertools.product(*lattice(span))))
     got = restore(span, costs)
     # the cost of what was found, by the cheapest way to write it
@@ -66,18 +82,59 @@ def model(spark):
     return fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), costs)
 
 
-@pytest.mark.parametrize("text", ["what a l0ser", "i d i o t", "p.a.t.h.e.t.i.c", "M0R0N", "1d10t", "looooser", "p@thet1c", "m-o-r-o-n here"])
+@pytest.mark.parametrize("text", ["what a l0ser", "i d i o t", "p.a.t.h.e.t.i.c", "M0R0N", "1d10t", "looooser", "p@thet1c", "m-o-r-o-n here", "id-iot", "mo.ron",
+                                  "idi*ot", "idiiot", "id i ot", "i  d  i  o  t", "an idiot, he", "(moron)"])
 def test_disguises(model, text):
-    assert model.score(Reader(model.costs, model.weights)(text)) > 0.5
+    assert model.score(Reader(model.characters, model.weights)(text)) > 0.5
 
 
 @pytest.mark.parametrize("text", ["the green house", "s t o n e", "br1dge", "", None, "call 555 1234", "a b c"])
 def test_clean_texts(model, text):
-    assert model.score(Reader(model.costs, model.weights)(text)) < 0.5
+    assert model.score(Reader(model.characters, model.weights)(text)) < 0.5
+
+
+def test_words_with_several_paths():
+    assert all(map(ambiguous, ["id-iot", "mo.ron", "idi*ot", "idiiot", "l0ser", "well-known", "1d10t", "h@llo"]))
+    assert not any(map(ambiguous, ["house", "1234", "don't", "(555)", "-", "..."]))
+
 
+def test_usual_words_stay_as_they_are(spark):
+    text = "a well-known house, the green hills and a deep pool in it. The well-known river flows off to the sea"
+    model = language_model(spark.createDataFrame([(text,)] * 30, "text string"))
+    assert Reader(model).restored(text) == text.lower()
 
-def test_plain_words_have_one_path():
-    assert not any(map(ambiguous, ["house", "House!", "1234", "don't", "well-known", "(555)"]))
+
+def every_feature(word):
+    """Of all paths through a word, and not of the cheapest alone."""
+    return {f for path in itertools.product(*lattice(word)) for f in features("".join(t for t, _ in path))}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sieve_lets_every_path_through(model, seed):
+    """A text of which any path gives a feature of the model is decoded."""
+    rng = random.Random(seed)
+    for _ in range(1500):
+        word = rng.choice(["loser", "idiot", "moron", "stone", "bloom", "x"])
+        span = "".join(rng.choice({"o": "o0", "i": "i1!|", "l": "l1|£", "s": "s$5", "e": "e3€"}.get(c, c)) * rng.choice([1, 1, 2, 3])
+                       + rng.choice(["", "", "", ".", "-", " ", "  "]) for c in word).strip()
+        if 3 ** sum(len(w) > 1 for w in lattice(span)) > 3000:
+            continue
+        wanted = {f for f in every_feature(span) if rng.random() < 0.2}
+        for f in wanted:
+            assert Sieve({f})("so " + span + " they say")
+    assert not Sieve(model.weights)("the green house") and not Sieve({})("idiot") and not Sieve(model.weights)(None)
+
+
+def test_score_is_that_of_decoding_every_text(spark, model):
+    """Brute force: no sieve, no looking up of words that were seen before."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 200")
+    learned = fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"),
+                  language_model(spark.read.parquet(f"{SF}/documents.parquet")))
+    assert learned.weights
+    reader = Reader(learned.characters)
+    for r in score(docs, learned).collect():
+        found = {f for w in reader.restored(r.row.text or "").split() for f in features(w)}
+        assert r.score == learned.score(found & set(learned.weights))
 
 
 def test_odd_rows(spark, model):
