@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 from functools import cached_property
+from heapq import nsmallest
 from math import exp
 
 import numpy as np
@@ -50,7 +52,7 @@ CACHE = 200_000
 #: times the odds of all labelled texts the odds at that end must be.  Besides, its share must be too unlikely for chance to bring it
 #: about in any of all the features that are looked at.
 LEAST_TEXTS, SURE, LIFT = 3, 2.0, 2.0
-#: Least hashes of its features by which copies of a labelled text are told.
+#: Least hashes of its triples of words by which copies of a labelled text are told.
 SKETCH = 3
 #: The most that a text without any such feature scores, whatever the share of toxic labels: nothing speaks against it.
 UNSURE = 0.4
@@ -232,6 +234,12 @@ def features(word: str) -> list[str]:
     return found
 
 
+def sketch(text: str | None) -> list[int]:
+    words = (text or "").lower().split()
+    triples = set(zip(words, words[1:], words[2:], strict=False)) or {tuple(words)}
+    return nsmallest(SKETCH, {zlib.crc32(" ".join(t).encode("utf-8", "surrogatepass")) for t in triples})
+
+
 class Reader:
     """Features of whole texts; words that are seen again are looked up."""
 
@@ -416,14 +424,15 @@ def fit(docs: DataFrame, labels: DataFrame, characters: Characters, sample: int
     def read(batches):
         reader = Reader(characters)
         for batch in slices(batches, "text"):
+            texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label").cast(pa.int32()), pa.array([sorted(reader(t.as_py())) for t in batch.column("text")],
-                                                                  pa.list_(pa.string()))], ["label", "found"])
+                [batch.column("label").cast(pa.int32()), pa.array([sorted(reader(t)) for t in texts], pa.list_(pa.string())),
+                 pa.array([sketch(t) for t in texts], pa.list_(pa.int64()))], ["label", "found", "sketch"])
 
-    # Read once: the sample's features are needed for the counts and for the fit.  Copies of a text, told by its features of the
-    # least hashes, are one piece of evidence and not many.
-    sketch = F.slice(F.array_sort(F.transform("found", lambda f: F.xxhash64(f))), 1, SKETCH)
-    found = stored(mapped(texts, read, "label int, found array<string>").groupBy((F.col("label") > 0).cast("int").alias("label"), sketch.alias("sketch"))
+    # Read once: the sample's features are needed for the counts and for the fit.  Copies of a text, are one piece of
+    # evidence and not many.
+    found = stored(mapped(texts, read, "label int, found array<string>, sketch array<long>")
+                   .groupBy((F.col("label") > 0).cast("int").alias("label"), "sketch")
                    .agg(F.min("found").alias("found")).drop("sketch"))
     total = dict(found.groupBy("label").count().collect())
     bad, all_ = total.get(1, 0), sum(total.values())
