@@ -32,10 +32,10 @@ def _in_file_order(docs: DataFrame) -> DataFrame:
     """Rows by file name and place in the file, as Spark reads large files first; rows that are not read from files as they come."""
     place = ["place.file_name", "place.row_index"]
     try:
-        placed = docs.select("*", F.col("_metadata").alias("place"))
+        placed = docs.select(F.struct("*").alias("row"), F.col("_metadata").alias("place"))
     except AnalysisException:
         return docs
-    return placed.repartitionByRange(*place).sortWithinPartitions(*place).drop("place")
+    return placed.repartitionByRange(*place).sortWithinPartitions(*place).select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
