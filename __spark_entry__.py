@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import survey_tables as tables
-from survey_tables import BASE_CROWD, BASE_KM, DIST_SQL, MICROS, RANGES_CROWD, SUPP_CROWD, SUPP_LATE, TABLES_SQL, tables_sql
+from survey_tables import BASE_CROWD, BASE_KM, DIST_SQL, LONG_SQL, MICROS, RANGES_CROWD, SUPP_CROWD, SUPP_LATE, TABLES_SQL, tables_sql
 from waymatch import (
     MatchConfig,
     blocked_pair_counts,
@@ -146,6 +146,12 @@ def _crowded(strategy: str, intervals: bool = False, **flags):
     return query
 
 
+def range_long(spark, sf):
+    """Very long intervals over each other, which rank by a chainage of their own."""
+    cfg = MatchConfig(strategy="range", supp_columns=("rec_id",), **KEYS)
+    return merge(tables.base_raw(spark, sf), tables.range_long(spark, sf), cfg).select("rec_id", "rec_id_lmd", "chainage_diff_meters")
+
+
 def time_limit_edge(spark, sf):
     """Partners exactly at a limit that is no whole number of microseconds in floating point."""
     cfg = MatchConfig(max_time_diff_s=8.2, supp_columns=("rec_id",), **KEYS)
@@ -298,6 +304,7 @@ def survey_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "merge_crowded": _crowded("spatial"),
         "distance_crowded": _crowded("spatial", enable_road=False, enable_time=False, max_distance_m=12),
         "range_crowded": _crowded("range", intervals=True),
+        "range_long": range_long,
         "auto_blocked": _best("auto", enable_spatial=False),
         "time_limit_edge": time_limit_edge,
         "merge_without_keys": merge_without_keys,
@@ -437,6 +444,7 @@ def survey_sql() -> dict[str, str]:
         "merge_crowded": _best_sql(f"{ROAD} AND {TIME} AND {CHAIN_GAP} <= 5 AND {NEAR}", f"{TIME_GAP}, {MICROMETRES}", given=crowd),
         "distance_crowded": _best_sql(f"{LANE} AND abs(s.y - b.y) <= 0.0002 AND {DIST_SQL} <= 12", MICROMETRES, given=crowd),
         "range_crowded": _best_sql(f"{inside} AND {road_lane_any}", CHAIN_GAP, "r", given=crowd),
+        "range_long": _best_sql(f"{inside.replace('BETWEEN s.c ', 'BETWEEN s.c_start ')} AND {road_lane_any}", CHAIN_GAP, "l", given=LONG_SQL),
         "auto_blocked": _best_sql(f"{ROAD} AND {TIME} AND {CHAIN_GAP} <= 5", TIME_GAP),
         "time_limit_edge": _best_sql(f"{ROAD} AND abs(b.t - s.t) <= 8200000 AND {CHAIN_GAP} <= 5 AND {NEAR}",
                                      f"{TIME_GAP}, {MICROMETRES}", given=tables_sql(supp=SUPP_LATE)),

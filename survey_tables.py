@@ -81,6 +81,11 @@ RANGES_CROWD = {
     "Start Chainage (km)": "cast(cast((event_id % 1999) * 0.00001 as decimal(12,5)) as {text})",
     "End Chainage (km)": "cast(cast((event_id % 1999) * 0.00001 + 0.001 + (event_id % 13) * 0.003 as decimal(12,5)) as {text})",
 }
+# Intervals of up to forty kilometres that lie over each other, each with a chainage of its own inside, before or behind it.
+RANGES_LONG = {
+    **RANGES, "chainage": "cast(event_id * 5 + (event_id % 97) * 450 - 1000 as {text})",
+    "End Chainage (km)": "cast(cast(event_id * 0.005 + (event_id % 401) * 0.1 - 0.05 as decimal(12,3)) as {text})",
+}
 # Supplement rows a fixed time behind the base row of the same event.
 SUPP_LATE = {**SUPP, "TestDateUTC": "{time:late}"}
 # Chainage in kilometres under another name.
@@ -158,6 +163,10 @@ def range_crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "intervals_crowd", RANGES_CROWD)
 
 
+def range_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "intervals_long", RANGES_LONG)
+
+
 def supp_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "points_late", SUPP_LATE)
 
@@ -210,6 +219,14 @@ r AS (
 """
 
 TABLES_SQL = tables_sql()
+LONG_SQL = f"""{TABLES_SQL}, long_raw AS ({_select(RANGES_LONG)}),
+l AS (
+  SELECT * FROM (
+    SELECT *, trim(roadname) AS road, try_cast(chainage AS double) AS c,
+      try_cast("Start Chainage (km)" AS double) * 1000 AS c_start, try_cast("End Chainage (km)" AS double) * 1000 AS c_end
+    FROM long_raw)
+  WHERE c IS NOT NULL)
+"""
 
 DIST_SQL = """2 * 6371000 * asin(least(1, sqrt(
   sin((radians(s.y) - radians(b.y)) / 2) * sin((radians(s.y) - radians(b.y)) / 2)

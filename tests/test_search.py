@@ -10,6 +10,8 @@ from waymatch import (
     prepare_supp, range_join, rules_for,
 )
 from waymatch.operators import search
+from waymatch.operators.intervals import best_interval
+from waymatch.operators.rules import MatchRules
 
 KEYS = {"base_key": "rec_id", "supp_key": "rec_id", "supp_columns": ("rec_id",)}
 
@@ -131,6 +133,46 @@ def test_interval_search_equals_brute_force(spark, strategy, crowd):
     assert "time_diff_seconds" not in result.columns
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_overlapping_intervals_with_a_chainage_of_their_own(spark, seed):
+    """The nearest chainage may lie inside, before or behind the interval; keys may be missing and ends may be equal or reversed."""
+    rng = random.Random(seed)
+    places = [round(rng.uniform(0, 50), 1) for _ in range(25)]
+    some = lambda *values: rng.choice(values)
+    base = [(i, some("A", "A", "B"), some("L1", "R1"), "-27", "153", repr(rng.choice(places)), some("1", None), some("G", None), brute.stamp(i))
+            for i in range(150)]
+    supp = []
+    for j in range(300):
+        low, high = rng.choice(places), rng.choice(places)
+        if rng.random() < 0.8:
+            low, high = min(low, high), max(low, high)
+        supp.append((j, some("1", None), some("G", None), some("A", "A", "B"), some("ALL", "L1"), repr(low / 1000), repr(high / 1000),
+                     repr(rng.choice([low, round(rng.uniform(-10, 60), 1)]))))
+    frames = (spark.createDataFrame(base, brute.BASE_SCHEMA), spark.createDataFrame(supp, brute.RANGE_SCHEMA + ", chainage string"))
+    found = matches(merge(*frames, MatchConfig(strategy="range", **KEYS)))
+    want = {}
+    for i, road, lane, _, _, c, road_id, region, _ in base:
+        options = [(abs(float(c) - float(own)), j) for j, road_id2, region2, road2, lanes, low, high, own in supp
+                   if (road_id, region, road) == (road_id2, region2, road2) and lanes in ("ALL", lane)
+                   and float(low) * 1000 <= float(c) <= float(high) * 1000]
+        if options:
+            want[i] = min(options)[1]
+    assert found == want and len(want) > 100
+
+
+def test_overlap_makes_no_pairs(spark):
+    """Intervals that all lie over each other leave as many rows as ones that lie apart: a few a cell."""
+    def cells(length):
+        points = spark.range(2_000).selectExpr("'A' AS b_road", "double(id) AS b_chain")
+        intervals = spark.range(2_000).selectExpr("'A' AS s_road", "double(id) AS s_chain", "double(id) AS s_start", f"double(id + {length}) AS s_end", "id AS s_id")
+        rules = MatchRules(equal=("road",), inside_interval=True, rank="chain")
+        best = best_interval(points, intervals, rules)
+        joins = best._jdf.queryExecution().toString()
+        assert "Inequality" not in joins and "NestedLoop" not in joins and "Cartesian" not in joins
+        return {r.b_chain: r.s_id for r in best.collect()}
+    assert cells(0.5) == cells(100_000) == {float(i): i for i in range(2_000)}
+
+
 def test_interval_ends_and_spellings(spark):
     base = spark.createDataFrame(
         [(c, "A", "L1", "0", "0", str(c), "R", "G", brute.stamp(0)) for c in (999, 1000, 2000, 2001)],

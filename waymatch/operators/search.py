@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from waymatch.config import MatchConfig
 from waymatch.operators import buckets
+from waymatch.operators.intervals import best_interval
 from waymatch.operators.rules import (
     MatchRules,
     base_points,
@@ -49,6 +50,8 @@ def find_best(base: DataFrame, supp: DataFrame, rules: MatchRules, cfg: MatchCon
     base_keys, supp_keys = base_points(base, rules), supp_points(supp, rules)
     if rules.on_a_line:
         return nearest_on_line(base_keys, supp_keys, rules)
+    if buckets.available(rules) == ["interval"]:
+        return best_interval(base_keys, supp_keys, rules)
     return _in_buckets(base_keys, supp_keys, rules, cfg)
 
 
@@ -161,10 +164,6 @@ def _in_buckets(base_keys, supp_keys, rules: MatchRules, cfg: MatchConfig) -> Da
     hot_supp = _among(supp, "s_", hot, rules, names, "left_semi")
     crowd = _climb(hot_base.select(*base_columns(rules)).distinct(),
                    hot_supp.drop(*[f"s_{n}" for n in names]).distinct(), rules, hot)
-    if "level" in names:
-        # A point looks into several bins; if one is hot it has gone to the crowd.
-        cold = without(base, hot_base.select(*base_columns(rules)).distinct(), rules)
-        return _top(cold, supp, rules, names).unionByName(crowd)
     cold = _among(base, "b_", hot, rules, names, "left_anti")
     return _top(cold, _among(supp, "s_", hot, rules, names, "left_anti"), rules, names).unionByName(crowd)
 
@@ -195,13 +194,12 @@ def _top(base: DataFrame, supp: DataFrame, rules: MatchRules, names: list[str])
     """Join on keys and buckets, test exactly, keep the best per base point.
 
     A base point lies in one bucket, so grouping by bucket and point reuses the
-    join's partitioning: no second shuffle.  Interval bins are the exception, a
-    point looks into several levels.
+    join's partitioning: no second shuffle.
     """
     condition = key_condition(rules) & all_of(buckets.bucket_condition(names))
     pairs = base.join(supp, condition & residual_condition(rules))
     columns = base_columns(rules)
-    extra = [] if "level" in names else [f"b_{n}" for n in names]
+    extra = [f"b_{n}" for n in names]
     # Numbers lead the sort of the aggregate: they tell points apart at once.
     numbers_first = columns[len(rules.keys):] + columns[:len(rules.keys)]
     best = F.min(F.struct(*order_columns(rules))).alias("best")
@@ -306,7 +304,7 @@ def _split_top(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules) ->
         if big.isEmpty():
             done.append(_top(base, supp, rules, names))
             break
-        if level > PARTS or "interval" in kinds:
+        if level > PARTS:
             done.append(_shared_top(base, supp, rules, names, cells))
             break
         done.append(_top(_among(base, "b_", big, rules, names, "left_anti"),
