@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +15,15 @@ from .cuckoo import mixed
 
 #: Words of a window, and of the grams of which each window's least is its anchor.
 WINDOW, GRAM = 50, 12
-#: Multipliers of two independent families of polynomial hashes modulo 2^64: one for bytes, one for words.
-FAMILIES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
+#: Multipliers of the polynomial hashes modulo 2^64 that choose anchors: of bytes in a word, of words in a gram.  They only bring
+#: equal windows together; whether contents are equal is decided by 128-bit hashes of the words.
+BYTES, WORDS = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Bytes hashed at a time.
 RUN_BYTES = 1 << 20
 
-WORD_BLOCKS = "anchor long, block long, first integer, n integer"
+#: What is equal where contents are.
+CONTENT = ["anchor", "block", "more"]
+WORD_BLOCKS = "anchor long, block long, more long, first integer, n integer"
 
 
 @lru_cache(8)
@@ -82,8 +86,28 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:len(values) - (width - reach)], values[width - reach:]) if reach < width else values
 
 
+class Contents:
+    """128-bit hashes of any runs of consecutive words, each over the 128-bit hashes of its words, which tell where a word ends."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        whole = data.tobytes()
+        words = [whole[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        digests = dict.fromkeys(words)
+        for word in digests:
+            digests[word] = xxhash.xxh3_128_digest(word)
+        self.digests = b"".join(map(digests.__getitem__, words))
+
+    def __call__(self, first: np.ndarray, count) -> tuple[pa.Array, pa.Array]:
+        size, digests = 16, self.digests
+        ends = first + count
+        out = b"".join([xxhash.xxh3_128_digest(digests[a * size:b * size]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)])
+        pairs = np.frombuffer(out, np.int64).reshape(-1, 2)
+        return pa.array(pairs[:, 0]), pa.array(pairs[:, 1])
+
+
 def windows_of(data: np.ndarray, offsets: np.ndarray):
-    """Every window of the texts: its text's number, its first word in the text, its anchor; and a hash of any run of words.
+    """Every window of the texts: its text's number, its first word in the text, its anchor; a hash of any run of words; the window's first
+    word among all.
 
     The anchor of a window is the least hash among its grams.  It depends on the
     window's words alone, so equal windows have the same anchor.
@@ -96,9 +120,9 @@ def windows_of(data: np.ndarray, offsets: np.ndarray):
     nth = np.arange(len(rows)) - np.repeat(np.cumsum(np.maximum(count - WINDOW + 1, 0)) - np.maximum(count - WINDOW + 1, 0),
                                            np.maximum(count - WINDOW + 1, 0))
     at = before[rows] + nth
-    grams = Sequences(word_hashes(data, starts, ends, FAMILIES[0][0]), FAMILIES[0][1])
+    grams = Sequences(word_hashes(data, starts, ends, BYTES), WORDS)
     anchors = _least(grams(np.arange(len(starts) - GRAM + 1), GRAM), WINDOW - GRAM + 1)[at]
-    return rows, nth, anchors, Sequences(word_hashes(data, starts, ends, FAMILIES[1][0]), FAMILIES[1][1]), at
+    return rows, nth, anchors, Contents(data, starts, ends), at
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -118,8 +142,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
             whose = pa.array(rows[first])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(whose), batch.column("mark").take(whose), _signed(anchors[first]),
-                 _signed(content(at[first], n + WINDOW - 1)), pa.array(nth[first].astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["doc_id", "mark", "anchor", "block", "first", "n"])
+                 *content(at[first], n + WINDOW - 1), pa.array(nth[first].astype(np.int32)), pa.array(n.astype(np.int32))],
+                ["doc_id", "mark", *CONTENT, "first", "n"])
 
     return mapped(docs, read, _with(docs, WORD_BLOCKS))
 
@@ -147,8 +171,8 @@ def _windows(docs: DataFrame) -> DataFrame:
             owner = pa.array(rows[picked])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(owner), batch.column("mark").take(owner), _signed(anchors[picked]),
-                 _signed(content(at[picked], WINDOW)), pa.array(nth[picked].astype(np.int32)),
-                 pa.array(np.ones(len(picked), np.int32))], ["doc_id", "mark", "anchor", "block", "first", "n"])
+                 *content(at[picked], WINDOW), pa.array(nth[picked].astype(np.int32)),
+                 pa.array(np.ones(len(picked), np.int32))], ["doc_id", "mark", *CONTENT, "first", "n"])
 
     return mapped(docs, read, _with(docs, WORD_BLOCKS))
 
@@ -168,16 +192,17 @@ def _by_content(runs: DataFrame, *more) -> DataFrame:
     so adaptive execution can split the runs of a passage that very many
     documents share, which it cannot beside an aggregate.
     """
-    least = stored(runs.groupBy("anchor", "block").agg(*_ids()).where(SHARED).select("anchor", "block", "least"))
-    return runs.join(least, ["anchor", "block"], "left") \
+    least = stored(runs.groupBy(*CONTENT).agg(*_ids()).where(SHARED).select(*CONTENT, "least"))
+    return runs.join(least, CONTENT, "left") \
         .select("doc_id", "mark", "first", "n", F.expr("coalesce(least < doc_id, least IS NOT NULL)").alias("earlier"), *more)
 
 
 def _matched_blocks(blocks: DataFrame) -> DataFrame:
     """Of the blocks whose anchor more than one id has: ``earlier``, and ``open`` if their windows are to be matched one by one."""
-    shared = blocks.groupBy("anchor").agg(*_ids(), F.min("block").alias("low"), F.max("block").alias("high")).where(SHARED)
+    shared = blocks.groupBy("anchor").agg(*_ids(), F.min("block").alias("low"), F.max("block").alias("high"),
+                                           F.min("more").alias("low2"), F.max("more").alias("high2")).where(SHARED)
     # Where all blocks of an anchor are equal there is nothing left to match.
-    runs = stored(blocks.join(shared.select("anchor", (F.col("low") != F.col("high")).alias("differ")), "anchor"))
+    runs = stored(blocks.join(shared.select("anchor", ((F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2"))).alias("differ")), "anchor"))
     return _by_content(runs, "differ").withColumn("open", F.expr("differ AND NOT earlier")).drop("differ")
 
 
@@ -192,7 +217,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     done.  Where the blocks of an anchor differ, at the ends of what repeats,
     the windows of those that are not done are matched one by one.  So the maximal
     repeats come out exactly, and no two documents are ever paired, however many
-    share a passage.  Contents are compared by 128 bits of hash.
+    share a passage.  Contents are compared by 128-bit hashes of the 128-bit
+    hashes of their words.
 
     A window is judged on the texts as they come.  Returns ``row`` (a struct of
     all columns but the text), ``text`` (kept words joined by one space),

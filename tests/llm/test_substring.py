@@ -77,7 +77,7 @@ def test_equal_windows_have_equal_anchors():
     part = " ".join(f"v{rng.randrange(99)}" for _ in range(70))
     texts = [f"a b c {part} d", part, "q " * 20 + part, "q " * 49, None, part[:-1]]
     rows, nth, anchors, content, at = windows_of(*texts_as_bytes(pa.array(texts, pa.string())))
-    hashes = content(at, WINDOW)
+    hashes = list(zip(*(half.to_pylist() for half in content(at, WINDOW)), strict=True))
     words = [WORD.findall(t or "") for t in texts]
     seen = {}
     for r, s, a, h in zip(rows, nth, anchors, hashes, strict=True):
@@ -85,3 +85,24 @@ def test_equal_windows_have_equal_anchors():
     assert len(rows) == sum(max(0, len(w) - WINDOW + 1) for w in words)
     assert len(seen) == len({h for _, h in seen.values()})
     assert np.all(nth < np.array([len(w) for w in words])[rows])
+
+
+def thue_morse(n):
+    """Two different long words that every polynomial hash modulo 2^64 with an odd base takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_different_words_are_never_taken_for_one(spark):
+    one, two = thue_morse(4096)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*words[:30], one, *words[30:]]), "x"), (2, " ".join([*words[:30], two, *words[30:]]), "x")]
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string, n_words string"))
+    assert sorted((r.row.doc_id, r.n_removed) for r in got.select("row", "n_removed").collect()) == [(1, 0), (2, 0)]
+
+
+def test_borders_between_words_count(spark):
+    """The same letters cut into words in another way are other words."""
+    rows = [(1, " ".join(["ab", "c"] * 40), "x"), (2, " ".join(["a", "bc"] * 40), "x"), (3, " ".join(["ab", "c"] * 30), "x")]
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string, n_words string"))
+    assert sorted((r.row.doc_id, r.n_removed) for r in got.select("row", "n_removed").collect()) == [(1, 0), (2, 0), (3, 60)]
