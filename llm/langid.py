@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,14 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_training_part, mapped, slices, table, texts_as_bytes
+from .common import in_training_part, mapped, slices, stored, table, texts_as_bytes
 
 #: Buckets of hashed n-grams: the first quarter for pairs of bytes, the rest for triples.
 DIMENSIONS = 4096
-#: Bound on the labelled sample: about so many documents of each language, fewer where there are fewer.
-SAMPLE = 800
-#: Clusters per language; one with less than this share of its language's sample is noise in the labels and is left out.
-CLUSTERS, LEAST_SHARE = 4, 0.1
+#: Bound on the labelled sample: about so many documents of each language, fewer where there are fewer, and about so many in all.
+SAMPLE, SAMPLE_ALL = 800, 16_000
+#: Languages that are learned, the most frequent ones: each needs a few rows of the sample for its clusters.
+MOST_LANGS = 1_000
+#: Clusters per language.  One with less than this share of its language's sample may be noise in the labels: it is left out if half
+#: of its members lie as near to a large cluster of another language as that one's own do (this quantile of their distances).
+CLUSTERS, SMALL, OWN = 4, 0.1, 0.99
 #: A text farther from its centroid than this times the sample's 99th percentile is rejected.
 SLACK = 1.25
 #: Rows whose vectors are held at a time.
@@ -118,11 +122,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    langs = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not langs:
-        return LanguageModel(idf, np.zeros((0, DIMENSIONS), np.float32), (), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for k, n in langs.items() for x in (k, min(1.0, sample / n))])[F.col("lang")]
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    langs = stored(sizes)
+    quota = min(sample, SAMPLE_ALL // max(langs.count(), 1))
+    share = F.least(F.lit(1.0), quota / F.col("n"))
+    drawn = labelled.join(F.broadcast(langs), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20))
 
     def sparse(batches):
         for batch in small_slices(batches):
@@ -132,22 +136,30 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                  pa.array([c[c > 0].astype(np.int32).tobytes() for c in counts], pa.binary())], ["lang", "at", "n"])
 
     rows = mapped(drawn, sparse, "lang string, at binary, n binary").collect()
-    centroids, names, reach = [], [], []
-    for lang in sorted(langs):
-        own = sorted((bytes(r["at"]), bytes(r["n"])) for r in rows if r["lang"] == lang)
-        if not own:
-            continue
+    by_lang = defaultdict(list)
+    for r in rows:
+        by_lang[r["lang"]].append((bytes(r["at"]), bytes(r["n"])))
+    found = []
+    for lang, own in sorted(by_lang.items()):
         counts = np.zeros((len(own), DIMENSIONS), np.int32)
-        for i, (at, n) in enumerate(own):
+        for i, (at, n) in enumerate(sorted(own)):
             counts[i, np.frombuffer(at, np.int16)] = np.frombuffer(n, np.int32)
         x = _unit(np.log1p(counts, dtype=np.float32) * idf)
         centres, whose = _clusters(x, CLUSTERS)
         for i, centre in enumerate(centres):
-            if (whose == i).mean() >= LEAST_SHARE:
-                centroids.append(centre)
-                names.append(lang)
-                reach.append(SLACK * np.quantile(1 - x[whose == i] @ centre, 0.99))
-    return LanguageModel(idf, np.array(centroids, np.float32), tuple(names), np.array(reach))
+            if (members := x[whose == i]).size:
+                small = len(members) < SMALL * len(x)
+                found.append((lang, centre, np.quantile(1 - members @ centre, OWN), members if small else None))
+    kept = [c for c in found if c[3] is None or not _strays(c, found)]
+    return LanguageModel(idf, np.array([c[1] for c in kept], np.float32).reshape(-1, DIMENSIONS), tuple(c[0] for c in kept),
+                         np.array([SLACK * c[2] for c in kept]))
+
+
+def _strays(cluster: tuple, found: list) -> bool:
+    """Half of a small cluster's members lie among those of a large cluster of another language: they are labelled wrongly."""
+    lang, _, _, members = cluster
+    return any(members_of is None and other != lang and (1 - members @ centre <= reach).mean() >= 0.5
+               for other, centre, reach, members_of in found)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Language identification: features by hand, held-out accuracy, and rows it cannot judge."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from llm import langid
 from llm.common import in_training_part
 from llm.langid import DIMENSIONS, UNKNOWN, counts_of, fit, has_letter, identify, op1_langid
 
@@ -68,3 +70,47 @@ def test_nothing_to_learn_from(spark):
     for docs in (empty, unlabelled):
         got = identify(unlabelled, fit(docs)).first()
         assert (got.nearest, got.score, got.rejected) == (UNKNOWN, 0.0, True)
+
+
+def words_of(letters, rng, n=60):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def test_minority_of_a_language(spark):
+    """One text in twenty of a language is written in another script, which a second language shares, with other letters in use."""
+    rng = random.Random(5)
+    kinds = {"aa": "abcdefghij", "aa2": "абвгд", "bb": "жзиклмноп"}
+    rows = [(i, words_of(kinds["aa2" if i % 20 == 0 else "aa"], rng), "aa") for i in range(1200)]
+    rows += [(i, words_of(kinds["bb"], rng), "bb") for i in range(2000, 2600)]
+    # Wrong labels: texts of the second language that are called the first.
+    rows += [(i, words_of(kinds["bb"], rng), "aa") for i in range(4000, 4030)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=600)
+    tests = [(i, words_of(kinds[k], rng), k[:2]) for i, k in enumerate(["aa"] * 50 + ["aa2"] * 50 + ["bb"] * 50)]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(tests, "doc_id long, text string, want string"), model).collect()}
+    for first in (0, 50, 100):
+        own = [got[i].nearest == want and not got[i].rejected for i, _, want in tests[first:first + 50]]
+        assert np.mean(own) > 0.9
+
+
+def test_many_values_of_lang(spark, monkeypatch):
+    """Neither the sample nor the languages that reach the driver grow with them."""
+    monkeypatch.setattr(langid, "MOST_LANGS", 20)
+    monkeypatch.setattr(langid, "SAMPLE_ALL", 100)
+    rng = random.Random(1)
+    rows = [(i, words_of("abcdef", rng, 9), f"dirty {i}") for i in range(2000)] + [(i, words_of("uvwxyz", rng, 9), "real") for i in range(3000, 3300)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(set(model.langs)) <= 20 and "real" in model.langs and len(model.langs) <= 20 * 4
+    got = identify(spark.createDataFrame([(1, words_of("uvwxyz", rng))], "doc_id long, text string"), model).first()
+    assert got.nearest == "real"
+
+
+def test_identify_equals_plain_python(spark, model):
+    """Each text's weights and cosines by hand."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    for r in identify(docs, model).join(docs, "doc_id").collect():
+        x = {i: np.log1p(n) * float(model.idf[i]) for i, n in plain_counts(r.text).items()}
+        size = sum(v * v for v in x.values()) ** 0.5
+        cosines = [sum(v * float(c[i]) for i, v in x.items()) / size if size else 0.0 for c in model.centroids]
+        if has_letter(r.text):
+            assert abs(r.score - min(max(max(cosines), 0), 1)) < 1e-4 and cosines[model.langs.index(r.nearest)] <= max(cosines)
+            assert max(c for c, lang in zip(cosines, model.langs, strict=True) if lang == r.nearest) > max(cosines) - 1e-4
