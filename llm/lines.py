@@ -17,8 +17,8 @@ from .common import mapped, slices, stored, table
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Repeated keys in one shard's filter, about.
 SHARD_KEYS = 1 << 18
-#: Bytes of all filters up to which they are sent to the tasks that look lines up; beyond, all lines go to the exact table.
-SENT_BYTES = 32 << 20
+#: References of one shard that are looked up in its filter together.
+LOOKED_UP = 1 << 19
 
 WHITE = b" \t\n\x0b\x0c\r"
 KEY = "hi long, lo long"
@@ -133,23 +133,27 @@ class LineIndex:
                                             .applyInPandas(update, "shard int, cells binary")))
 
     def _maybe_repeated(self, refs: DataFrame) -> DataFrame:
-        """Without the references whose key the filters have not; as it is, if the filters are too large to be sent."""
-        if (self.filters.agg(F.sum(F.length("cells"))).first()[0] or 0) > SENT_BYTES:
-            return refs
-        sent = refs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.cells) for r in self.filters.collect()})
-        shards = self.shards
-
-        def look(batches):
-            cells = {k: cuckoo.unpacked(v) for k, v in sent.value.items()}
-            for batch in batches:
-                keys, found = batch.column("hi").to_numpy(), np.zeros(batch.num_rows, bool)
-                for shard in np.unique(keys % shards):
-                    if shard in cells:
-                        own = np.flatnonzero(keys % shards == shard)
-                        found[own] = cuckoo.holds(cells[shard], keys[own])
-                yield batch.filter(pa.array(found))
-
-        return refs.mapInArrow(look, refs.schema)
+        """Without the references whose key the filter of its shard has not.
+
+        References meet the one filter of their shard, those of a large shard
+        (by its exact counts, so with the references of a very frequent line) in
+        as many lots as it takes, each with a copy of the filter.
+        """
+        shard = F.expr(f"CAST(pmod(hi, {self.shards}) AS int)").alias("shard")
+        # One row for each shard.
+        lots = F.broadcast(self.counts.groupBy(shard).agg((F.sum("n") / LOOKED_UP + 1).cast("int").alias("lots")))
+        left = refs.select("*", shard).join(lots, "shard").withColumn("lot", F.pmod(F.xxhash64("doc_id", "lo"), "lots").cast("int"))
+        right = self.filters.join(lots, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "cells")
+        schema = refs.schema
+
+        def look(rows, filters):
+            if not filters.num_rows or not rows.num_rows:
+                return rows.select(names).slice(0, 0)
+            cells = cuckoo.unpacked(filters.column("cells")[0].as_py())
+            return rows.select(names).filter(pa.array(cuckoo.holds(cells, rows.column("hi").to_numpy())))
+
+        names = refs.columns
+        return left.drop("lots").groupBy("shard", "lot").cogroup(right.groupBy("shard", "lot")).applyInArrow(look, schema)
 
     def dropped(self) -> DataFrame:
         """For each document that loses lines, their keys: repeated ones, but not in the document of the largest id."""
@@ -174,8 +178,8 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, id_col: str = "
     the lines dropped, ``n_lines`` before dropping and ``n_dropped``.
 
     A null text stays null and counts as one empty line, as an empty text does.
-    Rows are counted as documents even where ids repeat; all rows of the largest
-    id keep the line.  A null id is smaller than any other, so where only rows
+    Rows are counted as documents even where ids repeat (in the SQL too); all
+    rows of the largest id keep the line.  A null id is smaller than any other, so where only rows
     without an id hold a key it is kept in all of them.  An empty table gives
     no rows.
     """
@@ -216,12 +220,13 @@ def op6_line_dedup(spark, sf_dir):
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 OP6_SQL = f"""
-WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nth FROM documents),
+WITH docs AS (SELECT *, row_number() OVER () AS d FROM documents),
+lines AS (SELECT d, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nth FROM docs),
 keyed AS (SELECT *, translate(trim(line, {WHITE_SQL}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
 repeated AS (SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= {MIN_CHARS}
-    GROUP BY key HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-judged AS (SELECT k.*, keep IS NOT NULL AND k.doc_id <> keep AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
+    GROUP BY key HAVING count(DISTINCT d) >= {MIN_DOCS}),
+judged AS (SELECT k.*, keep IS NOT NULL AND k.doc_id IS DISTINCT FROM keep AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id"""
+FROM judged GROUP BY d, doc_id"""

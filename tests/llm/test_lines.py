@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from llm import cuckoo
+from llm import cuckoo, lines
 from llm.lines import LineIndex, dedup_lines
 
 LONG = "This Line is long enough to count"
@@ -53,6 +53,17 @@ def test_dedup(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_large_shards_are_looked_up_in_lots(spark, monkeypatch):
+    """At any size the filters decide what goes on to the exact counts."""
+    monkeypatch.setattr(lines, "LOOKED_UP", 2)
+    index = LineIndex.of(frame(spark, ROWS), shards=2)
+    assert found(dedup_lines(frame(spark, ROWS), index)) == plain(ROWS)
+    repeated = index.counts.where("n >= 3").select("hi", "lo")
+    went_on = index._maybe_repeated(index.refs)
+    assert went_on.join(repeated, ["hi", "lo"]).count() == index.refs.join(repeated, ["hi", "lo"]).count()
+    assert went_on.count() < index.refs.count()
+
+
 def state(index):
     return sorted(map(tuple, index.counts.collect())), {r.shard: (np.frombuffer(r.cells, np.uint16) > 0).sum()
                                                         for r in index.filters.collect() if any(r.cells)}
