@@ -64,6 +64,8 @@ class Pieces:
         words = [n for n in names if not n.startswith(2 * BLANK)]
         if any(n.startswith(2 * BLANK) and n.strip(BLANK) for n in names) or any(BLANK in n[1:] for n in words) or BLANK not in names:
             raise ValueError("pieces with blanks inside words are not handled")
+        if any(sp.get_score(i) % 1 for i in names.values()):
+            raise ValueError("a byte-pair model is needed, whose scores are the ranks of its merges; a unigram model has log probabilities")
         chars = sorted((n for n in words if len(n) == 1))
         merged = sorted((n for n in words if len(n) > 1), key=lambda n: (-sp.get_score(names[n]), names[n]))
         rank = {n: r for r, n in enumerate(merged)}

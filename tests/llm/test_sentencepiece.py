@@ -8,7 +8,7 @@ import pytest
 
 sentencepiece = pytest.importorskip("sentencepiece")
 
-from llm.sentencepiece import BLANK, MODEL, Encoder, _merge, decode, encode, pieces, round_trip  # noqa: E402
+from llm.sentencepiece import BLANK, MODEL, Encoder, Pieces, _merge, decode, encode, pieces, round_trip  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
 
@@ -74,3 +74,10 @@ def test_broken_bytes(spark):
     ids = [int(model.bytes[0xC3]), int(model.bytes[0x41])]
     df = spark.createDataFrame([((1,), ids), ((2,), None)], "row struct<doc_id:long>, ids array<int>")
     assert {r.row.doc_id: r.text for r in decode(df).collect()} == {1: "�A", 2: None}
+
+
+def test_other_kinds_of_models_are_refused(monkeypatch):
+    real = sentencepiece.SentencePieceProcessor.get_score
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "get_score", lambda self, i: real(self, i) * 0.37 - 0.1)
+    with pytest.raises(ValueError, match="byte-pair"):
+        Pieces()
