@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib.util
 import os
 import uuid
+import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,21 +19,27 @@ from waymatch import (
     blocked_pair_counts,
     coverage,
     cross_pair_count,
+    kept_rows,
     match_pairs,
     match_report,
     merge,
     null_counts,
+    number_rows,
     prepare_base,
     prepare_supp,
     preview,
     radius_join,
     range_join,
+    read_checked,
+    read_survey,
+    rejects,
     rules_for,
     run_merge_job,
+    supp_catalogue,
 )
 from waymatch.functions.text import lenient_double, spoken_double, survey_micros
 from waymatch.session import checkpoint_folder
-from waymatch.sources.csv import read_survey
+from waymatch.sources.csv import as_text
 
 KEYS = {"base_key": "rec_id", "supp_key": "rec_id"}
 
@@ -186,6 +194,78 @@ def job_counts(spark, sf):
     return spark.createDataFrame([tuple(summary.counts.values())], ", ".join(f"{k} long" for k in summary.counts))
 
 
+def row_numbers(spark, sf):
+    """Numbers of the rows kept, by file and line, in files of very unlike size."""
+    folder = os.path.join(checkpoint_folder(spark), f"csv-{uuid.uuid4().hex}")
+    raw = tables.base_raw(spark, sf)
+    for name, some in (("a", "rec_id % 10 = 0"), ("b", "rec_id % 10 BETWEEN 1 AND 8"), ("c", "rec_id % 10 = 9")):
+        raw.where(some).repartitionByRange("rec_id").sortWithinPartitions("rec_id").write.option("header", True).csv(f"{folder}/{name}")
+    numbered = number_rows(prepare_base(read_survey(spark, f"{folder}/*")))
+    return numbered.select(F.col("rec_id").cast("long").alias("rec_id"), "row_number")
+
+
+def damaged_rows(spark, sf):
+    """Rows with a field too few or too many are rejected with their whole text; the others are read."""
+    path = os.path.join(checkpoint_folder(spark), f"csv-{uuid.uuid4().hex}")
+    line = "concat(event_id, ',', event_type, IF(event_id % 53 = 1, '', concat(',', user_id)), IF(event_id % 53 != 1 AND event_id % 59 = 2, ',more', ''))"
+    spark.read.parquet(f"{sf}/events.parquet").select(F.expr(line).alias("event_id,event_type,user_id")) \
+        .write.options(header=True, sep="\x01").csv(path)
+    checked = read_checked(spark, path)
+    kept = kept_rows(checked).select(F.col("event_id").cast("long").alias("event_id"), F.lit(False).alias("rejected"),
+                                     F.concat_ws(",", "event_id", "event_type", "user_id").alias("row"))
+    return kept.unionByName(rejects(checked).select(
+        F.split_part("row", F.lit(","), F.lit(1)).cast("long").alias("event_id"), F.lit(True).alias("rejected"), "row"))
+
+
+def job_nulls(spark, sf):
+    """Null counts of the job's output, from its summary."""
+    return spark.createDataFrame(list(_csv_job(spark, sf).nulls.items()), "column_name string, nulls long")
+
+
+def column_catalogue(spark, sf):
+    """Columns of a prepared supplement that may be asked for."""
+    supp = _supp(spark, sf)
+    names = F.array(*[F.lit(c) for c in supp_catalogue(supp)])
+    return supp.agg(F.count(F.lit(1)).alias("supp_rows")).select(F.explode(names).alias("column_name"), "supp_rows")
+
+
+def all_as_text(spark, sf):
+    """A merge with every column as text."""
+    out = as_text(merge(tables.base_raw(spark, sf), tables.supp_raw(spark, sf), PAYLOAD))
+    return out.select("rec_id", "tsd_d0", "time_diff_seconds", F.expr("try_cast(chainage_diff_meters AS double)").alias("chainage_diff_meters"))
+
+
+def missing_interval_columns(spark, sf):
+    """A supplement without interval ends: the error names them, and ``auto`` does without."""
+    base, supp = tables.base_raw(spark, sf), tables.supp_range_raw(spark, sf).drop("End Chainage (km)")
+    try:
+        merge(base, supp, MatchConfig(strategy="range", **KEYS))
+        said = None
+    except ValueError as error:
+        said = str(error)
+    cfg = MatchConfig(strategy="auto", supp_columns=("rec_id",), **KEYS)
+    return merge(base, supp.withColumn("lane", F.lit("L1")), cfg).select("rec_id", "rec_id_lmd", F.lit(said).alias("said"))
+
+
+def without_coordinates(spark, sf):
+    """Distances are asked for, but the supplement has no coordinates: the road decides, even if it is turned off."""
+    cfg = MatchConfig(strategy="auto", enable_road=False, supp_columns=("rec_id",), **KEYS)
+    return merge(tables.base_raw(spark, sf), tables.supp_raw(spark, sf).drop("lat", "lon"), cfg).select(
+        "rec_id", "rec_id_lmd", "time_diff_seconds")
+
+
+def parameter_ranges(spark, sf):
+    """Base rows with a match for limits inside and outside their usual ranges, and whether these were warned about."""
+    rows = []
+    for seconds, metres, far in ((10, 5.0, 100), (1, 0.1, 10), (300, 100, 1000), (0.5, 5.0, 100), (10, 0.05, 5)):
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            cfg = MatchConfig(max_time_diff_s=seconds, max_chainage_diff_m=metres, max_distance_m=far, supp_columns=("rec_id",), **KEYS)
+        report = match_report(merge(tables.base_raw(spark, sf), tables.supp_raw(spark, sf), cfg))
+        rows.append(report.select(F.lit(float(seconds)).alias("max_time_s"), F.lit(len(said)).cast("long").alias("warned"), "matched_rows"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def csv_order(spark, sf):
     """The rows of each output file in base order: how many come after a larger one, and the version in the name."""
     summary = _csv_job(spark, sf)
@@ -312,6 +392,14 @@ def survey_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "location_chainage": location_chainage,
         "job_counts": job_counts,
         "csv_order": csv_order,
+        "row_numbers": row_numbers,
+        "damaged_rows": damaged_rows,
+        "job_nulls": job_nulls,
+        "column_catalogue": column_catalogue,
+        "all_as_text": all_as_text,
+        "missing_interval_columns": missing_interval_columns,
+        "without_coordinates": without_coordinates,
+        "parameter_ranges": parameter_ranges,
     }
 
 
@@ -457,6 +545,24 @@ def survey_sql() -> dict[str, str]:
         "job_counts": _sql("""SELECT (SELECT count(*) FROM base_raw) AS base_read, (SELECT count(*) FROM b) AS base_kept,
             (SELECT count(*) FROM supp_raw) AS supp_read, (SELECT count(*) FROM s) AS supp_kept, (SELECT count(*) FROM best) AS matched""",
             DEFAULT_BEST),
+        "row_numbers": _sql("""SELECT rec_id, row_number() OVER (ORDER BY CASE WHEN rec_id % 10 = 0 THEN 1 WHEN rec_id % 10 = 9 THEN 3 ELSE 2 END, rec_id) - 1
+            AS row_number FROM b"""),
+        "damaged_rows": """SELECT event_id, event_id % 53 = 1 OR event_id % 59 = 2 AS rejected, event_id || ',' || CASE WHEN event_id % 53 = 1
+            THEN event_type ELSE event_type || ',' || user_id || CASE WHEN event_id % 59 = 2 THEN ',more' ELSE '' END END AS row FROM events""",
+        "job_nulls": _sql(" UNION ALL ".join(f"SELECT '{n}' AS column_name, count(*) - count(\"{n}\") AS nulls FROM merged"
+                                             for n in default_names), f"{DEFAULT_BEST}, merged AS ({DEFAULT_MERGE})"),
+        "column_catalogue": _sql("""SELECT unnest(['rec_id', 'lat', 'lon', 'chainage', 'TestDateUTC', 'tsd_d0', 'Filename', 'RoadName', 'Lane'])
+            AS column_name, (SELECT count(*) FROM s) AS supp_rows"""),
+        "all_as_text": _sql("""SELECT b.rec_id::varchar AS rec_id, m.tsd_d0, CAST(floor(tgap / 1000000) AS bigint)::varchar AS time_diff_seconds,
+            cgap AS chainage_diff_meters FROM b LEFT JOIN best ON bid = b.rec_id LEFT JOIN s m ON m.rec_id = sid""", DEFAULT_BEST),
+        "missing_interval_columns": _sql("""SELECT b.rec_id, sid AS rec_id_lmd, 'supplement table lacks End Chainage (km)' AS said
+            FROM b LEFT JOIN best ON bid = b.rec_id""", _best_cte("b.road = s.road AND b.code = 'L1' AND abs(b.c - s.c) <= 5", CHAIN_GAP, "r")),
+        "without_coordinates": _sql("""SELECT b.rec_id, sid AS rec_id_lmd, CAST(floor(tgap / 1000000) AS bigint) AS time_diff_seconds
+            FROM b LEFT JOIN best ON bid = b.rec_id""", _best_cte(f"b.road IS NOT DISTINCT FROM s.road AND {LANE} AND {TIME}", TIME_GAP)),
+        "parameter_ranges": _sql(" UNION ALL ".join(f"""SELECT {seconds}::double AS max_time_s, {warned}::bigint AS warned, count(DISTINCT b.rec_id) AS matched_rows
+            FROM b JOIN s ON {ROAD} AND abs(b.t - s.t) <= {seconds} * 1000000 AND {CHAIN_GAP} <= {metres}
+                AND abs(s.y - b.y) <= {far} / 100000.0 AND {DIST_SQL} <= {far}"""
+            for seconds, metres, far, warned in ((10, 5.0, 100, 0), (1, 0.1, 10, 0), (300, 100, 1000, 0), (0.5, 5.0, 100, 1), (10, 0.05, 5, 2)))),
         "csv_order": _sql("SELECT count(*) AS rows_out, 0::bigint AS out_of_order, 'LMD_MSD_Merged_V7.csv' AS name FROM b"),
     }
 

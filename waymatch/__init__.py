@@ -14,13 +14,13 @@ from waymatch.operators.pairs import (
     radius_join,
     range_join,
 )
-from waymatch.operators.prepare import prepare_base, prepare_supp
+from waymatch.operators.prepare import number_rows, prepare_base, prepare_supp
 from waymatch.operators.report import coverage, match_report, null_counts
 from waymatch.operators.rules import MatchRules, rules_for
 from waymatch.operators.search import find_best
 from waymatch.plans.merge import merge, run_merge_job
 from waymatch.plans.strategy import choose_strategy
-from waymatch.sources.csv import preview, read_survey, supp_catalogue, write_merged
+from waymatch.sources.csv import kept_rows, preview, read_checked, read_survey, rejects, supp_catalogue, write_merged
 
 __all__ = [
     "DEFAULT_SUPP_COLUMNS",
@@ -34,17 +34,21 @@ __all__ = [
     "coverage",
     "cross_pair_count",
     "find_best",
+    "kept_rows",
     "match_pairs",
     "match_report",
     "merge",
     "null_counts",
+    "number_rows",
     "plan_names",
     "prepare_base",
     "prepare_supp",
     "preview",
     "radius_join",
     "range_join",
+    "read_checked",
     "read_survey",
+    "rejects",
     "rules_for",
     "run_merge_job",
     "supp_catalogue",

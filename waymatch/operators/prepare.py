@@ -3,7 +3,7 @@
 Raw columns stay as they are.  The canonical values sit beside them under
 private names, so that a raw ``lat`` and the parsed latitude never meet:
 
-``_m_id`` row id, ``_m_road`` and ``_m_lane`` text, ``_m_time`` microseconds,
+``_m_id`` row id, ``_m_place`` place in the files read, ``_m_road`` and ``_m_lane`` text, ``_m_time`` microseconds,
 ``_m_chain`` metres, ``_m_lat`` and ``_m_lon`` degrees.
 
 Both functions are one narrow stage: a projection and a filter.  ``store``, if
@@ -15,12 +15,12 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymatch import config as C
 from waymatch.functions.text import lane_code, lenient_double, strip, survey_micros
-from waymatch.session import all_of, quoted
+from waymatch.session import all_of, quoted, saved
 
 log = logging.getLogger(__name__)
 
@@ -74,11 +74,36 @@ def _prepare(df: DataFrame, key: str | None, found: dict, numbers: dict, needed,
     if has_time(df):
         kept.append(F.col("_m_time").isNotNull())
     kept += [F.col(f"_m_{role}").isNotNull() for role in needed]
+    added["_m_place"] = _place()
     added["_m_id"] = F.col(quoted(key)).try_cast("long") if key else F.monotonically_increasing_id()
     ready = df.withColumns(added)
     return (store(ready) if store else ready).where(all_of(kept))
 
 
+def _place() -> Column:
+    """File, first byte of the split and a number that grows along it; rows that no file gave go by partition."""
+    at, file = F.monotonically_increasing_id(), F.input_file_name()
+    return F.struct(file.alias("file"), F.when(file == "", F.shiftright(at, 33)).otherwise(F.input_file_block_start()).alias("split"), at.alias("at"))
+
+
+def number_rows(prepared: DataFrame, name: str = "row_number") -> DataFrame:
+    """The rows kept with their number, 0-based and without gaps, by file name and line.
+
+    Each split of a file is counted and numbered by itself; what lies before a
+    split comes from the splits' counts, one row each.  So neither the number of
+    files nor their sizes and the order in which Spark reads them matter.
+    """
+    rows = saved(prepared)
+    split = [F.col("_m_place.file"), F.col("_m_place.split")]
+    before = Window.orderBy("in_file", "in_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(split[0].alias("in_file"), split[1].alias("in_split")).agg(F.count(F.lit(1)).alias("n")).select(
+        "in_file", "in_split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_m_start"))
+    along = Window.partitionBy(*split).orderBy("_m_place.at")
+    numbered = rows.withColumn("_m_nth", F.row_number().over(along)).join(
+        starts, (split[0] == F.col("in_file")) & (split[1] == F.col("in_split")))
+    return numbered.select(*[F.col(quoted(c)) for c in rows.columns], (F.col("_m_start") + F.col("_m_nth") - 1).alias(name))
+
+
 def prepare_base(df: DataFrame, key: str | None = None, columns: dict | None = None, store=None) -> DataFrame:
     """The base survey: position and chainage are required in every row kept."""
     aliases = {"lat": C.LAT_ALIASES, "lon": C.LON_ALIASES, "chain": C.CHAIN_ALIASES,

@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymatch import config as C
@@ -19,17 +19,22 @@ from waymatch.operators.rules import both_timed, check_columns, rules_for
 from waymatch.operators.search import find_best
 from waymatch.plans.strategy import choose_strategy
 from waymatch.session import quoted, saved
-from waymatch.sources.csv import output_path, read_survey, write_merged
+from waymatch.sources.csv import DAMAGED, kept_rows, output_path, read_checked, write_merged
 
 log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class MergeSummary:
+    """What a job did.  ``counts`` has the rows read, kept after cleaning, and matched, ``rejected`` those that were damaged, ``nulls``
+    the nulls of each column of the output."""
+
     path: str
     strategy: str
     report: dict
     counts: dict
+    nulls: dict
+    rejected: dict
 
 
 def merge(base_df: DataFrame, supp_df: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
@@ -48,24 +53,36 @@ def _prepared(base_df, supp_df, cfg: MatchConfig):
     used = {*cfg.requested_columns, "road_id", "region_id", C.START_KM, C.END_KM, C.RANGE_LANES, C.TIME_COLUMN}
 
     def base():
-        return prepare_base(base_df, cfg.base_key, cfg.base_map, lambda df: saved(_numbered(df, cfg.base_key)))
+        return prepare_base(base_df, cfg.base_key, cfg.base_map, lambda df: _stored(df, cfg.base_key, df.columns))
 
     def supp():
-        return prepare_supp(supp_df, cfg.supp_key, cfg.supp_map, lambda df: saved(
-            _numbered(df, cfg.supp_key).select(*[F.col(quoted(c)) for c in df.columns if c.startswith("_m_") or c in used])))
+        return prepare_supp(supp_df, cfg.supp_key, cfg.supp_map, lambda df: _stored(
+            df, cfg.supp_key, [c for c in df.columns if c.startswith("_m_") or c in used]))
 
     with ThreadPoolExecutor(2) as pool:
         other = pool.submit(inheritable_thread_target(base_df.sparkSession)(supp))
         return base(), other.result()
 
 
-def _numbered(df: DataFrame, key: str | None) -> DataFrame:
-    """``_m_id`` made unique: a key gives the order, numbers first, and a generated number tells equal ones apart."""
-    if not key:
-        return df
-    return df.withColumn("_m_id", F.struct(
-        F.col("_m_id").isNull().alias("last"), F.col("_m_id").alias("number"),
-        F.col(quoted(key)).cast("string").alias("text"), F.monotonically_increasing_id().alias("row")))
+def _stored(df: DataFrame, key: str | None, columns: list[str]) -> DataFrame:
+    """The columns wanted, written down, with ``_m_id`` made unique.
+
+    A key gives the order, numbers first, and a generated number tells equal ones
+    apart.  Without one the line in the files does, by file name: what a split
+    holds before a row plus what all splits before it hold.
+    """
+    columns = [F.col(quoted(c)) for c in columns if c not in ("_m_id", "_m_place")]
+    if key:
+        number = F.struct(F.col("_m_id").isNull().alias("last"), F.col("_m_id").alias("number"),
+                          F.col(quoted(key)).cast("string").alias("text"), F.col("_m_place.at").alias("row"))
+        return saved(df.select(*columns, number.alias("_m_id")))
+    rows = saved(df.select(*columns, "_m_place.*"))
+    before = Window.orderBy("in_file", "in_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy(F.col("file").alias("in_file"), F.col("split").alias("in_split")) \
+        .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).select(
+        "in_file", "in_split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(splits, (F.col("file") == F.col("in_file")) & (F.col("split") == F.col("in_split"))) \
+        .select(*columns, (F.col("at") + F.col("shift")).alias("_m_id"))
 
 
 def _rules(base, supp, cfg, strategy):
@@ -78,12 +95,14 @@ def run_merge_job(spark: SparkSession, base_path: str, supp_path: str,
                   output_dir: str | None = None, cfg: MatchConfig = MatchConfig()) -> MergeSummary | None:
     """Read two CSV sources, write the merged CSV in base order.
 
-    Nothing is written and ``None`` returned when no base row has a match.  The
-    report is gathered by the write itself, without another pass, and the rows
-    read by the cleaning.
+    Rows with too many or too few fields are rejected and counted, see
+    ``read_checked``.  Nothing is written and ``None`` returned when no base row
+    has a match.  Report, null counts and row counts are gathered by the write
+    itself and by the cleaning, without another pass.
     """
     read = Observation("base"), Observation("supplement")
-    base, supp = _prepared(*[read_survey(spark, path).observe(seen, F.count(F.lit(1)).alias("rows"))
+    damaged = F.count_if(F.col(quoted(DAMAGED)).isNotNull()).alias("rejected")
+    base, supp = _prepared(*[kept_rows(read_checked(spark, path).observe(seen, F.count(F.lit(1)).alias("rows"), damaged))
                              for path, seen in zip((base_path, supp_path), read, strict=True)], cfg)
     strategy = choose_strategy(base, supp, cfg)
     rules = _rules(base, supp, cfg, strategy)
@@ -94,10 +113,13 @@ def run_merge_job(spark: SparkSession, base_path: str, supp_path: str,
     result = assemble(base, supp, best, rules, replace(cfg), keep_id=True)
     result = result.orderBy("_m_id").drop("_m_id")
     seen = Observation("merge")
+    nulls = [F.count_if(F.col(quoted(c)).isNull()).alias(f"nulls {i}") for i, c in enumerate(result.columns)]
     path = write_merged(
-        result.observe(seen, *report_columns(result)),
+        result.observe(seen, *report_columns(result), *nulls),
         output_path(base_path, supp_path, output_dir))
-    report = seen.get
+    report = dict(seen.get)
+    nulls = {c: report.pop(f"nulls {i}") for i, c in enumerate(result.columns)}
     counts = {"base_read": read[0].get["rows"], "base_kept": report["base_rows"], "supp_read": read[1].get["rows"],
               "supp_kept": supp.count(), "matched": report["matched_rows"]}
-    return MergeSummary(path, strategy, report, counts)
+    rejected = {side: seen.get["rejected"] for side, seen in zip(("base", "supp"), read, strict=True)}
+    return MergeSummary(path, strategy, report, counts, nulls, rejected)

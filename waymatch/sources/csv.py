@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,39 @@ def read_survey(spark: SparkSession, path: str, multi_line: bool = False) -> Dat
     return spark.read.options(**_DIALECT, multiLine=multi_line).csv(path, inferSchema=False)
 
 
+# Holds the text of a row that does not fit the header.
+DAMAGED = "_damaged_row"
+
+
+def read_checked(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """``read_survey`` with one more column, ``DAMAGED``: the whole text of rows with too many or too few fields, else null.
+
+    The header of the first file gives the columns.  All columns are parsed, as
+    a row could not be judged otherwise.
+    """
+    names = read_survey(spark, path, multi_line).columns
+    if DAMAGED in names:
+        raise ValueError(f"the column name {DAMAGED} is reserved")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, DAMAGED]])
+    return spark.read.options(**_DIALECT, multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=DAMAGED,
+                              columnPruning=False).schema(schema).csv(path)
+
+
+def _damaged(checked: DataFrame) -> Column:
+    """The text of a damaged row.  Spark refuses to read that column alone, so another one takes part with nothing."""
+    return F.concat(DAMAGED, F.substring(F.coalesce(F.col(quoted(checked.columns[0])), F.lit("")), 1, 0))
+
+
+def kept_rows(checked: DataFrame) -> DataFrame:
+    """The rows that fit the header."""
+    return checked.where(_damaged(checked).isNull()).drop(DAMAGED)
+
+
+def rejects(checked: DataFrame) -> DataFrame:
+    """The text of each row that does not fit the header, and the file it is in."""
+    return checked.select(F.input_file_name().alias("file"), _damaged(checked).alias("row")).where(F.col("row").isNotNull())
+
+
 def preview(df: DataFrame, rows: int = C.PREVIEW_ROWS) -> DataFrame:
     """The first rows of a source, for a look at it."""
     return df.limit(rows)
