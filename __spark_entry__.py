@@ -25,6 +25,7 @@ from waymatch import (
     merge,
     null_counts,
     number_rows,
+    pair_volume,
     prepare_base,
     prepare_supp,
     preview,
@@ -115,6 +116,21 @@ def road_lane_pairs(spark, sf):
     return counts.withColumn("pairs", F.col("pairs").cast("long"))
 
 
+VOLUMES = {
+    "cross, time": MatchConfig(strategy="cross", enable_road=False), "cross": MatchConfig(strategy="cross", enable_road=False, enable_time=False),
+    "blocked, time": MatchConfig(strategy="blocked", enable_road=False), "blocked": MatchConfig(strategy="blocked", enable_time=False),
+    "range": MatchConfig(strategy="range"), "blocked, time and chainage": MatchConfig(strategy="blocked"),
+}
+
+
+def pair_volumes(spark, sf):
+    """Candidate pairs and those that pass, counted without forming them."""
+    base, points, intervals = _base(spark, sf), _supp(spark, sf), _ranges(spark, sf)
+    rows = [pair_volume(base, intervals if cfg.strategy == "range" else points, cfg).select(F.lit(name).alias("kind"), *[
+        F.col(c).cast("long").alias(c) for c in ("candidates", "filtered")]) for name, cfg in VOLUMES.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def chainage_range_join(spark, sf):
     return range_join(_base(spark, sf), _ranges(spark, sf)).select(
         "base_id", "supp_id", "lane_base", "lane_supp", "region_id_base", "start_m", "end_m",
@@ -355,6 +371,7 @@ def survey_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cross_pairs_count": cross_pairs_count,
         "road_lane_pairs": road_lane_pairs,
         "chainage_range_join": chainage_range_join,
+        "pair_volumes": pair_volumes,
         "tolerance_all": _pairs("spatial"),
         "tolerance_road_off": _pairs("spatial", enable_road=False),
         "tolerance_time_off": _pairs("spatial", enable_time=False),
@@ -450,6 +467,7 @@ def survey_sql() -> dict[str, str]:
     inside = ("b.road_id IS NOT DISTINCT FROM s.road_id AND b.region_id IS NOT DISTINCT FROM s.region_id "
               "AND b.c BETWEEN s.c AND s.c_end")
     road_lane_any = "b.road = s.road AND (s.\"Lanes\" = 'ALL' OR b.code = s.\"Lanes\")"
+    block = "b.road IS NOT DISTINCT FROM s.road AND b.code IS NOT DISTINCT FROM s.code"
     near20 = f"{ROAD} AND {CHAIN_GAP} <= 20 AND {NEAR}"
     canonical = "rec_id, road, code, t AS time_us, y AS lat_deg, x AS lon_deg, c AS chain_m"
     default_names = ["rec_id", "RoadName", "Lane", "latitude", "longitude", "chainage", "road_id",
@@ -479,6 +497,15 @@ def survey_sql() -> dict[str, str]:
             b.code AS lane_base, s."Lanes" AS lane_supp, b.region_id AS region_id_base,
             s.c AS start_m, s.c_end AS end_m, {CHAIN_GAP} AS chainage_diff_m
             FROM b JOIN r s ON {inside}"""),
+        "pair_volumes": _sql(" UNION ALL ".join(
+            f"""SELECT '{kind}' AS kind, (SELECT count(*) FROM b JOIN {supp} s ON {candidate}) AS candidates, {filtered} AS filtered"""
+            for kind, supp, candidate, filtered in (
+                ("cross, time", "s", "true", f"(SELECT count(*) FROM b JOIN s ON {LANE} AND {TIME})"),
+                ("cross", "s", "true", f"(SELECT count(*) FROM b JOIN s ON {LANE})"),
+                ("blocked, time", "s", block, f"(SELECT count(*) FROM b JOIN s ON {block} AND {TIME})"),
+                ("blocked", "s", block, f"(SELECT count(*) FROM b JOIN s ON {ROAD})"),
+                ("range", "r", inside, f"(SELECT count(*) FROM b JOIN r s ON {inside} AND {road_lane_any})"),
+                ("blocked, time and chainage", "s", block, "NULL::bigint")))),
         "tolerance_all": _pair_sql(f"{ROAD} AND {TIME} AND {CHAIN_GAP} <= 5 AND {NEAR}"),
         "tolerance_road_off": _pair_sql(f"{LANE} AND {TIME} AND {NEAR}"),
         "tolerance_time_off": _pair_sql(f"{ROAD} AND {CHAIN_GAP} <= 5 AND {NEAR}"),

@@ -6,7 +6,7 @@ import pytest
 
 from tests import brute
 from waymatch import (
-    MatchConfig, blocked_pair_counts, cross_pair_count, match_pairs, merge, prepare_base,
+    MatchConfig, blocked_pair_counts, cross_pair_count, match_pairs, merge, pair_volume, prepare_base,
     prepare_supp, range_join, rules_for,
 )
 from waymatch.operators import search
@@ -215,6 +215,43 @@ def test_pair_counts_without_pairs(spark):
     assert sum(int(r["pairs"]) for r in blocked_pair_counts(b, s).collect()) == expected
 
 
+@pytest.mark.parametrize("crowd", [False, True])
+@pytest.mark.parametrize("strategy, flags", [("cross", {"enable_road": False}), ("cross", {"enable_road": False, "enable_time": False}),
+                                             ("blocked", {"enable_road": False}), ("blocked", {"enable_time": False}), ("blocked", {})])
+def test_pair_volume_equals_all_pairs(spark, strategy, flags, crowd):
+    """Copies count as often as they come, limits include their ends, and a crowd in one key is spread over parts."""
+    base, supp = brute.survey(90, 5, crowd=crowd), brute.survey(110, 6, crowd=crowd)
+    cfg = MatchConfig(strategy=strategy, max_time_diff_s=2, **flags)
+    rules = rules_for(strategy, cfg, True)
+    frames = prepare_base(brute.as_base(spark, base)), prepare_supp(brute.as_supp(spark, supp))
+    got = pair_volume(*frames, cfg).first()
+    block = lambda b, s: strategy == "cross" or b[1:3] == s[1:3]
+    assert got.candidates == sum(block(b, s) for b in base for s in supp)
+    if len(rules.values) > 1:
+        assert got.filtered is None
+        return
+    passed = 0
+    for b in base:
+        for s in supp:
+            road = b[1] == s[1] and ("road" in rules.same or b[1] is not None) or "road" not in rules.keys
+            time = rules.max_time_s is None or abs(b[6] - s[6]) <= rules.max_time_s * 1_000_000
+            passed += b[2] == s[2] and road and time
+    assert got.filtered == passed
+
+
+def test_pair_volume_of_intervals(spark):
+    rng = random.Random(3)
+    base = [(i, "A", "L1", "-27", "153", repr(rng.randrange(60) / 2), "1", rng.choice(["G", None]), brute.stamp(i)) for i in range(100)]
+    supp = [(j, "1", rng.choice(["G", None]), "A", rng.choice(["ALL", "L1", "R1"]), repr(rng.randrange(30) / 1000), repr(rng.randrange(30) / 1000))
+            for j in range(100)]
+    frames = prepare_base(spark.createDataFrame(base, brute.BASE_SCHEMA)), prepare_supp(spark.createDataFrame(supp, brute.RANGE_SCHEMA))
+    got = pair_volume(*frames, MatchConfig(strategy="range")).first()
+    inside = [(b, s) for b in base for s in supp if b[7] == s[2] and float(s[5]) * 1000 <= float(b[5]) <= float(s[6]) * 1000]
+    assert got.candidates == len(inside) and got.filtered == sum(s[4] != "R1" for _, s in inside)
+    with pytest.raises(ValueError, match="spatial"):
+        pair_volume(*frames, MatchConfig())
+
+
 def test_unlimited_pairs_are_refused(spark):
     b = prepare_base(brute.as_base(spark, brute.survey(3, 7)), "rec_id")
     s = prepare_supp(brute.as_supp(spark, brute.survey(3, 8)), "rec_id")
