@@ -6,13 +6,14 @@ the id of its best supplement row, ``s_id``.
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymatch.config import MatchConfig
+from waymatch.config import EARTH_RADIUS_M, MatchConfig
 from waymatch.operators import buckets
 from waymatch.operators.intervals import best_interval
 from waymatch.operators.rules import (
@@ -39,6 +40,9 @@ STRIDE = 16
 # Steps finer than this (metres, seconds) part nothing that matters.
 FINEST = {"dist": 1e-3, "chain": 1e-5, "time": 1e-6}
 
+# Narrowest band in which neighbours are looked for: microseconds, metres.
+NARROWEST = {"time": 16, "chain": 1e-3}
+
 # Reach (metres) of the steps where the rank has no limit of its own.
 OPEN_REACH_M = 64.0
 
@@ -86,8 +90,8 @@ def without(points: DataFrame, settled: DataFrame, rules: MatchRules) -> DataFra
 
 # --- one number: nearest neighbour on a line --------------------------------
 
-def nearest_on_line(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules) -> DataFrame:
-    """Nearest value per key without forming pairs.
+def nearest_on_line(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules, gap: bool = False) -> DataFrame:
+    """Nearest value per key without forming pairs; with ``gap`` how near it is, too.
 
     All points are range-partitioned by key and value, so even a single key
     that holds most rows is cut into even parts.  The nearest neighbours are
@@ -143,8 +147,8 @@ def nearest_on_line(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRule
     limit = rules.max_time_us if value == "time" else rules.max_chain_m
     if limit is not None:
         near = near.where(F.col("best.gap") <= limit)
-    return near.select(*[F.col(k).alias(f"b_{k}") for k in keys],
-                       F.col("value").alias(f"b_{value}"), F.col("best.s_id").alias("s_id"))
+    return near.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("value").alias(f"b_{value}"), F.col("best.s_id").alias("s_id"),
+                       *([F.col("best.gap").alias("gap")] if gap else []))
 
 
 # --- several numbers: bucket join -------------------------------------------
@@ -266,7 +270,81 @@ def _steps(supp_keys: DataFrame, rules: MatchRules, crowd: int) -> list[MatchRul
     return [*steps, limited(1.0)] if rules.rank_limit is None else steps
 
 
+def _fine_cells(base: DataFrame, supp: DataFrame, rules: MatchRules):
+    """Cells of the limited numbers beside the rank, such that rows in the same cell are within those limits for sure.
+
+    A base row lies in one, a supplement row in its own and those next to it: two
+    rows that share a cell are less than two cell widths apart.
+    """
+    names, just_below = [], 1 - 1e-9
+    spans = []
+    if rules.rank != "chain" and rules.max_chain_m is not None:
+        spans.append(("fine_chain", "chain", max(rules.max_chain_m, 1e-9) / 2 * just_below))
+    if rules.max_dist_m is not None:
+        # Two thirds of the limit either way at most; degrees of longitude are never longer than those of latitude.
+        degrees = math.degrees(max(rules.max_dist_m, 1e-6) / 3 / EARTH_RADIUS_M)
+        spans += [("fine_lat", "lat", degrees), ("fine_lon", "lon", degrees)]
+    for name, field, width in spans:
+        base = base.withColumn(f"b_{name}", F.floor(F.col(f"b_{field}") / width))
+        at = F.floor(F.col(f"s_{field}") / width)
+        supp = supp.withColumn(f"s_{name}", F.explode(F.sequence(at - 1, at + 1)))
+        names.append(name)
+    return base, supp, names
+
+
+def _bounded(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules, hot: DataFrame) -> DataFrame:
+    """Search a crowd in a fixed number of jobs.
+
+    The nearest row of the rank in a cell where all other limits hold for sure
+    is a match, so nothing farther away can be the best one.  It is found without
+    pairs.  Each base row is then compared with what lies within a power of four
+    of that bound only.  Rows without such a bound, and those whose neighbours
+    all tie, go the longer way.
+    """
+    base_keys, supp_keys = saved_both(base_keys, supp_keys)
+    rank = rules.rank
+    base, near, fine = _fine_cells(base_keys, supp_keys, rules)
+    line = MatchRules(equal=(*rules.equal, *fine), same=rules.same, rank=rank,
+                      max_time_s=rules.max_time_s if rank == "time" else None, max_chain_m=rules.max_chain_m if rank == "chain" else None)
+    found = nearest_on_line(base.select(*[f"b_{f}" for f in line.fields]).distinct(), near.select(*[f"s_{f}" for f in line.fields], "s_id"), line, gap=True)
+    found = found.select(*[F.col(f"b_{f}").alias(f"f_{f}") for f in line.fields], "gap")
+    bounds = base.join(found, all_of(same_fields(line, line.fields, "b_", "f_")), "left").select(*base_columns(rules), "gap")
+    bounds = saved(bounds)
+
+    unit = NARROWEST[rank]
+    level = F.greatest(F.ceil(F.log(F.greatest(F.col("gap") / unit, F.lit(1.0))) / math.log(4) + 1e-6), F.lit(0)).cast("int")
+    base = bounds.where("gap IS NOT NULL").withColumn("b_level", level).drop("gap")
+    width = lambda side: F.pow(F.lit(4.0), F.col(f"{side}_level")) * unit
+    slot = lambda value, side: F.floor(value / width(side))
+    levels = base.agg(F.array_sort(F.collect_set("b_level"))).scalar()
+    base = base.withColumn("b_slot", slot(F.col(f"b_{rank}"), "b"))
+    value = F.col(f"s_{rank}")
+    reach = width("s") * (1 + 1e-9)
+    supp = supp_keys.withColumn("s_level", F.explode(levels)).withColumn("s_slot", F.explode(F.sequence(slot(value - reach, "s"), slot(value + reach, "s"))))
+    others = [kind for kind in buckets.usual(rules) if kind != rank][:1] or [k for k in buckets.available(rules) if k != rank][:1]
+    base, supp, names = buckets.place(base, supp, rules, others)
+    names = ["level", "slot", *names]
+    big = saved(_counted(base, supp, rules, names).where(F.col("b_rows") * F.col("s_rows") > PAIRS))
+    alone = saved(bounds.where("gap IS NULL").drop("gap"))
+    settled = []
+    if big.isEmpty():
+        settled.append(_top(base, supp, rules, names))
+    else:
+        settled.append(_top(_among(base, "b_", big, rules, names, "left_anti"), _among(supp, "s_", big, rules, names, "left_anti"), rules, names))
+        settled.append(_in_steps(_among(base, "b_", big, rules, names, "left_semi").select(*base_columns(rules)).distinct(), supp_keys, rules, hot))
+    if not alone.isEmpty():
+        settled.append(_split_top(alone, supp_keys, rules))
+    return reduce(DataFrame.unionByName, settled)
+
+
 def _climb(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules, hot: DataFrame) -> DataFrame:
+    """The best matches in crowded places."""
+    # Distances have no line to look along, and a neighbour in a cell need not lie in an interval too, so it bounds nothing there.
+    search = _in_steps if rules.rank == "dist" or rules.inside_interval else _bounded
+    return search(base_keys, supp_keys, rules, hot)
+
+
+def _in_steps(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules, hot: DataFrame) -> DataFrame:
     """Search crowded places with a small limit first, then a larger one.
 
     A match within a small limit of the rank beats everything outside it, so
