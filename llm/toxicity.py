@@ -40,8 +40,9 @@ GATHERED = 1 << 19
 SEPARATORS = ".-_*"
 #: Three or more single characters, each set off by blanks, dots, dashes, underscores or stars.
 SPACED = re.compile(r"(?<!\S)[\w@$!|+](?:[ .\-_*]{1,3}[\w@$!|+]){2,}(?!\S)")
-#: Three or more pieces of one or two letters, set off by blanks, of which one is a single letter.
-PIECES = re.compile(r"(?<!\S)(?=(?:\w\w {1,3})*\w(?!\w))[\w@$!|+]{1,2}(?: {1,3}[\w@$!|+]{1,2}){2,}(?!\S)")
+#: Three or more pieces of one or two letters, set off by blanks; of one letter at least once, which is looked at apart.
+PIECES = re.compile(r"(?<!\S)[\w@$!|+]{1,2}(?: {1,3}[\w@$!|+]{1,2}){2,}(?!\S)")
+_SINGLE = re.compile(r"(?<!\S)\w(?!\S)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DOUBLED = re.compile(r"([^\W\d_])\1")
 _ENDS = SEPARATORS + ",;:?\"'()[]{}<>~&%#=/\\“”‘’«»…–—"
@@ -164,7 +165,7 @@ def language_model(docs: DataFrame, text_col: str = "text") -> Characters:
 def lattice(span: str) -> list[list[tuple[str, float]]]:
     """For each place what may have been meant there and what it costs; elsewhere the text as it is costs nothing."""
     spaced = SPACED.fullmatch(span) is not None
-    pieces = not spaced and PIECES.fullmatch(span) is not None
+    pieces = not spaced and PIECES.fullmatch(span) is not None and _SINGLE.search(span) is not None
     out, at = [], 0
     while at < len(span):
         char, to = span[at], at + 1
@@ -273,8 +274,11 @@ class Reader:
             self.spans[span] = restore(span, self.characters)
         return self.spans[span]
 
+    def _pieces(self, match: re.Match) -> str:
+        return self._span(match) if _SINGLE.search(match.group(0)) else match.group(0)
+
     def _words(self, text: str) -> list[str]:
-        return PIECES.sub(self._span, SPACED.sub(self._span, text.lower())).split()
+        return PIECES.sub(self._pieces, SPACED.sub(self._span, text.lower())).split()
 
     def restored(self, text: str) -> str:
         return " ".join(restore(w, self.characters) if ambiguous(w) else w for w in self._words(text))

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -98,6 +99,15 @@ def test_words_with_several_paths():
     assert not any(map(ambiguous, ["house", "1234", "don't", "(555)", "-", "..."]))
 
 
+def test_long_texts_take_time_in_proportion(spark):
+    """Spans are found in one go along the text, whatever it consists of."""
+    model = language_model(spark.createDataFrame([("to be or not to be",)], "text string"))
+    for word in ("to ", "a ", "to be x ", "a.b ", "aa bb "):
+        start = time.perf_counter()
+        Reader(model)(word * (200_000 // len(word)) + "end.")
+        assert time.perf_counter() - start < 20
+
+
 def test_usual_words_stay_as_they_are(spark):
     text = "a well-known house, the green hills and a deep pool in it. The well-known river flows off to the sea"
     model = language_model(spark.createDataFrame([(text,)] * 30, "text string"))
