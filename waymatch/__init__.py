@@ -19,7 +19,7 @@ from waymatch.operators.report import coverage, match_report, null_counts
 from waymatch.operators.rules import MatchRules, rules_for
 from waymatch.operators.search import find_best
 from waymatch.operators.volume import pair_volume
-from waymatch.plans.merge import merge, run_merge_job
+from waymatch.plans.merge import merge, prepare_sides, run_merge_job
 from waymatch.plans.strategy import choose_strategy
 from waymatch.sources.csv import kept_rows, preview, read_checked, read_survey, rejects, supp_catalogue, write_merged
 
@@ -44,6 +44,7 @@ __all__ = [
     "pair_volume",
     "plan_names",
     "prepare_base",
+    "prepare_sides",
     "prepare_supp",
     "preview",
     "radius_join",

@@ -286,9 +286,14 @@ def _fine_cells(base: DataFrame, supp: DataFrame, rules: MatchRules):
         spans += [("fine_lat", "lat", degrees), ("fine_lon", "lon", degrees)]
     for name, field, width in spans:
         base = base.withColumn(f"b_{name}", F.floor(F.col(f"b_{field}") / width))
-        at = F.floor(F.col(f"s_{field}") / width)
-        supp = supp.withColumn(f"s_{name}", F.explode(F.sequence(at - 1, at + 1)))
+        supp = supp.withColumn(f"s_{name}", F.floor(F.col(f"s_{field}") / width))
         names.append(name)
+    # Rows of one cell and rank are alike but for the id: the lowest is copied for them all.
+    line = [f"s_{f}" for f in (*rules.keys, *names, rules.rank)]
+    supp = supp.repartition(_parts(supp), *line).groupBy(*line).agg(F.min("s_id").alias("s_id"))
+    for name in names:
+        at = F.col(f"s_{name}")
+        supp = supp.withColumn(f"s_{name}", F.explode(F.sequence(at - 1, at + 1)))
     return base, supp, names
 
 
@@ -324,13 +329,14 @@ def _bounded(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules, hot:
     others = [kind for kind in buckets.usual(rules) if kind != rank][:1] or [k for k in buckets.available(rules) if k != rank][:1]
     base, supp, names = buckets.place(base, supp, rules, others)
     names = ["level", "slot", *names]
-    big = saved(_counted(base, supp, rules, names).where(F.col("b_rows") * F.col("s_rows") > PAIRS))
+    cells = saved(_counted(base, supp, rules, names))
+    big = cells.where(F.col("b_rows") * F.col("s_rows") > PAIRS)
     alone = saved(bounds.where("gap IS NULL").drop("gap"))
     settled = []
     if big.isEmpty():
-        settled.append(_top(base, supp, rules, names))
+        settled.append(_even_top(base, supp, rules, names, cells))
     else:
-        settled.append(_top(_among(base, "b_", big, rules, names, "left_anti"), _among(supp, "s_", big, rules, names, "left_anti"), rules, names))
+        settled.append(_even_top(_among(base, "b_", big, rules, names, "left_anti"), _among(supp, "s_", big, rules, names, "left_anti"), rules, names, cells))
         settled.append(_in_steps(_among(base, "b_", big, rules, names, "left_semi").select(*base_columns(rules)).distinct(), supp_keys, rules, hot))
     if not alone.isEmpty():
         settled.append(_split_top(alone, supp_keys, rules))
@@ -380,13 +386,13 @@ def _split_top(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules) ->
         cells = saved(_counted(base, supp, rules, names))
         big = cells.where(F.col("b_rows") * F.col("s_rows") > PAIRS)
         if big.isEmpty():
-            done.append(_top(base, supp, rules, names))
+            done.append(_even_top(base, supp, rules, names, cells))
             break
         if level > PARTS:
             done.append(_shared_top(base, supp, rules, names, cells))
             break
-        done.append(_top(_among(base, "b_", big, rules, names, "left_anti"),
-                         _among(supp, "s_", big, rules, names, "left_anti"), rules, names))
+        done.append(_even_top(_among(base, "b_", big, rules, names, "left_anti"),
+                              _among(supp, "s_", big, rules, names, "left_anti"), rules, names, cells))
         base, supp = saved_both(_among(base, "b_", big, rules, names, "left_semi"),
                                 _among(supp, "s_", big, rules, names, "left_semi"))
         base, supp, parts = buckets.refined(base, supp, rules, kinds, level)
@@ -394,6 +400,15 @@ def _split_top(base_keys: DataFrame, supp_keys: DataFrame, rules: MatchRules) ->
     return reduce(DataFrame.unionByName, done)
 
 
+def _even_top(base, supp, rules, names, cells) -> DataFrame:
+    """``_top`` of the buckets up to ``PAIRS`` pairs, in as many tasks as their pairs take: a task sorts what it lets through."""
+    product = F.col("b_rows") * F.col("s_rows")
+    pairs = cells.where(product <= PAIRS).agg(F.sum(product)).first()[0] or 0
+    if pairs > PAIRS:
+        base = _spread(base, rules, names, math.ceil(2 * pairs / PAIRS))
+    return _top(base, supp, rules, names)
+
+
 def _shared_top(base, supp, rules, names, cells) -> DataFrame:
     """``_top`` with each bucket shared by as many tasks as its pairs take.
 
@@ -411,11 +426,14 @@ def _shared_top(base, supp, rules, names, cells) -> DataFrame:
     return _top(_spread(base, rules, [*names, "salt"]), supp, rules, [*names, "salt"])
 
 
-def _spread(base: DataFrame, rules: MatchRules, names: list[str]) -> DataFrame:
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _spread(base: DataFrame, rules: MatchRules, names: list[str], tasks: int = 0) -> DataFrame:
     """Partition for the coming join by a fixed number.
 
     The work in a crowd is far larger than its bytes, by which adaptive
     execution would merge the partitions.
     """
-    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return base.repartition(parts, *[f"b_{c}" for c in [*rules.keys, *names]])
+    return base.repartition(max(_parts(base), tasks), *[f"b_{c}" for c in [*rules.keys, *names]])

@@ -18,7 +18,7 @@ from waymatch.operators.report import report_columns
 from waymatch.operators.rules import both_timed, check_columns, rules_for
 from waymatch.operators.search import find_best
 from waymatch.plans.strategy import choose_strategy
-from waymatch.session import quoted, saved
+from waymatch.session import numbered, quoted, saved
 from waymatch.sources.csv import DAMAGED, kept_rows, output_path, read_checked, write_merged
 
 log = logging.getLogger(__name__)
@@ -37,18 +37,21 @@ class MergeSummary:
     rejected: dict
 
 
-def merge(base_df: DataFrame, supp_df: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+def merge(base_df: DataFrame, supp_df: DataFrame, cfg: MatchConfig = MatchConfig(),
+          sides: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Every base row once, with the chosen columns of its best match or nulls.
 
     Calling it runs Spark jobs: each side is cleaned and written down, buckets
     are counted, and crowded ones searched.  The last joins run with the result.
+    ``sides`` are both tables as ``prepare_sides`` returns them, for several merges
+    of the same tables that differ in their limits only.
     """
-    base, supp = _prepared(base_df, supp_df, cfg)
+    base, supp = sides or prepare_sides(base_df, supp_df, cfg)
     rules = _rules(base, supp, cfg, choose_strategy(base, supp, cfg))
     return assemble(base, supp, find_best(base, supp, rules, cfg), rules, cfg)
 
 
-def _prepared(base_df, supp_df, cfg: MatchConfig):
+def prepare_sides(base_df: DataFrame, supp_df: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, DataFrame]:
     """Both sides cleaned, in one read of each; of the supplement only the columns that may be used."""
     used = {*cfg.requested_columns, "road_id", "region_id", C.START_KM, C.END_KM, C.RANGE_LANES, C.TIME_COLUMN}
 
@@ -57,15 +60,15 @@ def _prepared(base_df, supp_df, cfg: MatchConfig):
 
     def supp():
         return prepare_supp(supp_df, cfg.supp_key, cfg.supp_map, lambda df: _stored(
-            df, cfg.supp_key, [c for c in df.columns if c.startswith("_m_") or c in used]))
+            df, cfg.supp_key, [c for c in df.columns if c.startswith("_m_") or c in used], plain=True))
 
     with ThreadPoolExecutor(2) as pool:
         other = pool.submit(inheritable_thread_target(base_df.sparkSession)(supp))
         return base(), other.result()
 
 
-def _stored(df: DataFrame, key: str | None, columns: list[str]) -> DataFrame:
-    """The columns wanted, written down, with ``_m_id`` made unique.
+def _stored(df: DataFrame, key: str | None, columns: list[str], plain: bool = False) -> DataFrame:
+    """The columns wanted, written down, with ``_m_id`` made unique; ``plain`` makes it one number.
 
     A key gives the order, numbers first, and a generated number tells equal ones
     apart.  Without one the line in the files does, by file name: what a split
@@ -75,7 +78,9 @@ def _stored(df: DataFrame, key: str | None, columns: list[str]) -> DataFrame:
     if key:
         number = F.struct(F.col("_m_id").isNull().alias("last"), F.col("_m_id").alias("number"),
                           F.col(quoted(key)).cast("string").alias("text"), F.col("_m_place.at").alias("row"))
-        return saved(df.select(*columns, number.alias("_m_id")))
+        rows = saved(df.select(*columns, number.alias("_m_id")))
+        # The search compares and joins ids of the supplement all the time.
+        return numbered(rows.withColumnRenamed("_m_id", "_m_order"), ["_m_order"], "_m_id").drop("_m_order") if plain else rows
     rows = saved(df.select(*columns, "_m_place.*"))
     before = Window.orderBy("in_file", "in_split").rowsBetween(Window.unboundedPreceding, -1)
     splits = rows.groupBy(F.col("file").alias("in_file"), F.col("split").alias("in_split")) \
@@ -102,8 +107,8 @@ def run_merge_job(spark: SparkSession, base_path: str, supp_path: str,
     """
     read = Observation("base"), Observation("supplement")
     damaged = F.count_if(F.col(quoted(DAMAGED)).isNotNull()).alias("rejected")
-    base, supp = _prepared(*[kept_rows(read_checked(spark, path).observe(seen, F.count(F.lit(1)).alias("rows"), damaged))
-                             for path, seen in zip((base_path, supp_path), read, strict=True)], cfg)
+    base, supp = prepare_sides(*[kept_rows(read_checked(spark, path).observe(seen, F.count(F.lit(1)).alias("rows"), damaged))
+                                 for path, seen in zip((base_path, supp_path), read, strict=True)], cfg)
     strategy = choose_strategy(base, supp, cfg)
     rules = _rules(base, supp, cfg, strategy)
     best = saved(find_best(base, supp, rules, cfg))
