@@ -53,3 +53,15 @@ def test_ids_of_the_supplement_are_numbers_in_the_order_of_their_keys(spark):
     _, kept = prepare_sides(brute.as_base(spark, crowd(1)), supp, MatchConfig(**KEYS))
     assert dict(kept.dtypes)["_m_id"] == "bigint"
     assert [(r["_m_id"], r["rec_id"]) for r in kept.orderBy("_m_id").collect()] == list(enumerate(["9", "9", "10", None, "a", "b"]))
+
+
+@pytest.mark.parametrize("shift", [0, -(1 << 40), 1 << 62])
+def test_best_intervals_without_a_sort(spark, shift):
+    """Equal chainages go to the lower id, a missing one first, whatever the size of the ids."""
+    points = spark.createDataFrame([("A", 5.0), ("A", 20.0), ("A", 50.0), (None, 5.0)], "b_road string, b_chain double")
+    rows = [("A", 4.0, 0.0, 10.0, 2), ("A", 4.0, 4.0, 30.0, 3), ("A", 6.0, 0.0, 5.0, 1), ("A", 30.0, 20.0, 25.0, 5), ("A", 30.0, 0.0, 30.0, 4), (None, 5.0, 0.0, 9.0, None)]
+    intervals = spark.createDataFrame([(*r[:4], r[4] if r[4] is None else r[4] + shift) for r in rows],
+                                      "s_road string, s_chain double, s_start double, s_end double, s_id long")
+    best = best_interval(points, intervals, MatchRules(equal=(), same=("road",), inside_interval=True, rank="chain"))
+    assert "SortAggregate" not in best._jdf.queryExecution().toString()
+    assert {(r.b_road, r.b_chain): r.s_id for r in best.collect()} == {("A", 5.0): 1 + shift, ("A", 20.0): 4 + shift, (None, 5.0): None}
