@@ -27,6 +27,7 @@ from waymatch import (
     number_rows,
     pair_volume,
     prepare_base,
+    prepare_sides,
     prepare_supp,
     preview,
     radius_join,
@@ -272,12 +273,14 @@ def without_coordinates(spark, sf):
 
 def parameter_ranges(spark, sf):
     """Base rows with a match for limits inside and outside their usual ranges, and whether these were warned about."""
-    rows = []
+    rows, sides = [], None
+    base, supp = tables.base_raw(spark, sf), tables.supp_raw(spark, sf)
     for seconds, metres, far in ((10, 5.0, 100), (1, 0.1, 10), (300, 100, 1000), (0.5, 5.0, 100), (10, 0.05, 5)):
         with warnings.catch_warnings(record=True) as said:
             warnings.simplefilter("always")
             cfg = MatchConfig(max_time_diff_s=seconds, max_chainage_diff_m=metres, max_distance_m=far, supp_columns=("rec_id",), **KEYS)
-        report = match_report(merge(tables.base_raw(spark, sf), tables.supp_raw(spark, sf), cfg))
+        sides = sides or prepare_sides(base, supp, cfg)     # cleaned once, as only the limits differ
+        report = match_report(merge(base, supp, cfg, sides))
         rows.append(report.select(F.lit(float(seconds)).alias("max_time_s"), F.lit(len(said)).cast("long").alias("warned"), "matched_rows"))
     return reduce(DataFrame.unionByName, rows)
 

@@ -65,3 +65,13 @@ def test_best_intervals_without_a_sort(spark, shift):
     best = best_interval(points, intervals, MatchRules(equal=(), same=("road",), inside_interval=True, rank="chain"))
     assert "SortAggregate" not in best._jdf.queryExecution().toString()
     assert {(r.b_road, r.b_chain): r.s_id for r in best.collect()} == {("A", 5.0): 1 + shift, ("A", 20.0): 4 + shift, (None, 5.0): None}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+def test_limits_share_one_cleaning(spark, monkeypatch):
+    cleaned, merged = [], []
+    clean, whole = plan.prepare_base, entry.merge
+    monkeypatch.setattr(plan, "prepare_base", lambda *a, **k: cleaned.append(1) or clean(*a, **k))
+    monkeypatch.setattr(entry, "merge", lambda *a, **k: merged.append(1) or whole(*a, **k))
+    entry.parameter_ranges(spark, SF)
+    assert (len(cleaned), len(merged)) == (1, 5)
