@@ -40,7 +40,7 @@ from waymatch import (
     supp_catalogue,
 )
 from waymatch.functions.text import lenient_double, spoken_double, survey_micros
-from waymatch.session import checkpoint_folder
+from waymatch.session import checkpoint_folder, saved
 from waymatch.sources.csv import as_text
 
 KEYS = {"base_key": "rec_id", "supp_key": "rec_id"}
@@ -126,7 +126,8 @@ VOLUMES = {
 
 def pair_volumes(spark, sf):
     """Candidate pairs and those that pass, counted without forming them."""
-    base, points, intervals = _base(spark, sf), _supp(spark, sf), _ranges(spark, sf)
+    # Each side is asked for by several kinds, so it is cleaned once and written down.
+    base, points, intervals = [saved(side(spark, sf)) for side in (_base, _supp, _ranges)]
     rows = [pair_volume(base, intervals if cfg.strategy == "range" else points, cfg).select(F.lit(name).alias("kind"), *[
         F.col(c).cast("long").alias(c) for c in ("candidates", "filtered")]) for name, cfg in VOLUMES.items()]
     return reduce(DataFrame.unionByName, rows)

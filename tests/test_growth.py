@@ -75,3 +75,9 @@ def test_limits_share_one_cleaning(spark, monkeypatch):
     monkeypatch.setattr(entry, "merge", lambda *a, **k: merged.append(1) or whole(*a, **k))
     entry.parameter_ranges(spark, SF)
     assert (len(cleaned), len(merged)) == (1, 5)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+def test_volumes_read_cleaned_tables(spark):
+    """No kind of volume cleans the raw tables again."""
+    assert not [f for f in entry.pair_volumes(spark, SF).inputFiles() if "/survey-" in f]

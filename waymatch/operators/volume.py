@@ -20,10 +20,11 @@ from waymatch.session import all_of, saved
 _PAIRS = "decimal(38,0)"
 
 
-def _marks(df: DataFrame, prefix: str, keys, value: Column, turn: int, mark: int, ask: int) -> DataFrame:
-    """``turn`` puts questions for "below" before and for "up to" after the marks of the same value."""
-    return df.select(*[F.col(prefix + k).alias(k) for k in keys], value.alias("value"), F.lit(turn).alias("turn"),
-                     F.lit(mark).alias("mark"), F.lit(ask).alias("ask"))
+def _marks(df: DataFrame, prefix: str, keys, *marks: tuple[Column, int, int, int]) -> DataFrame:
+    """Value, turn, mark and question of each; ``turn`` puts questions for "below" before and for "up to" after the marks of the same value."""
+    each = F.inline(F.array(*[F.struct(value.alias("value"), F.lit(turn).alias("turn"), F.lit(mark).alias("mark"), F.lit(ask).alias("ask"))
+                              for value, turn, mark, ask in marks]))
+    return df.select(*[F.col(prefix + k).alias(k) for k in keys], each)
 
 
 def _asked(marks: DataFrame, keys) -> DataFrame:
@@ -50,9 +51,8 @@ def band_pairs(base: DataFrame, supp: DataFrame, rules: MatchRules) -> DataFrame
     value, keys = rules.rank, rules.keys
     points, others = base_fields(base, rules), supp_fields(supp, rules)
     at = F.col(f"b_{value}")
-    return _asked(_marks(others, "s_", keys, F.col(f"s_{value}"), 0, 1, 0)
-                  .unionByName(_marks(points, "b_", keys, at + limit, 1, 0, 1))
-                  .unionByName(_marks(points, "b_", keys, at - limit, -1, 0, -1)), keys)
+    return _asked(_marks(others, "s_", keys, (F.col(f"s_{value}"), 0, 1, 0))
+                  .unionByName(_marks(points, "b_", keys, (at + limit, 1, 0, 1), (at - limit, -1, 0, -1))), keys)
 
 
 def interval_pairs(base: DataFrame, supp: DataFrame, rules: MatchRules) -> DataFrame:
@@ -60,9 +60,8 @@ def interval_pairs(base: DataFrame, supp: DataFrame, rules: MatchRules) -> DataF
     keys = rules.keys
     points = base_fields(base, rules)
     intervals = supp_fields(supp, rules).where(F.col("s_start") <= F.col("s_end"))
-    return _asked(_marks(points, "b_", keys, F.col("b_chain"), 0, 1, 0)
-                  .unionByName(_marks(intervals, "s_", keys, F.col("s_end"), 1, 0, 1))
-                  .unionByName(_marks(intervals, "s_", keys, F.col("s_start"), -1, 0, -1)), keys)
+    return _asked(_marks(points, "b_", keys, (F.col("b_chain"), 0, 1, 0))
+                  .unionByName(_marks(intervals, "s_", keys, (F.col("s_end"), 1, 0, 1), (F.col("s_start"), -1, 0, -1))), keys)
 
 
 def _same_key_pairs(base: DataFrame, supp: DataFrame, rules: MatchRules) -> DataFrame:
